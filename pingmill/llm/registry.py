@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pingmill.llm import language, mixing, simhash
+from pingmill.llm import bpe, language, mixing, simhash
 from pingmill.llm.common import Query
 
 
@@ -14,6 +14,7 @@ def _pipeline(spark, sf_dir: str):
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_bpe_transducer": bpe.op1,
         "op4_simhash_gray": simhash.op4,
         "op5_curriculum_mix": mixing.op5,
         "op8_language_bitmask": language.op8,
