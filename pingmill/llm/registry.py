@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pingmill.llm import bpe, language, mixing, simhash
+from pingmill.llm import bpe, language, mixing, secrets, simhash
 from pingmill.llm.common import Query
 
 
@@ -17,7 +17,9 @@ def queries() -> dict[str, Query]:
         "op1_bpe_transducer": bpe.op1,
         "op4_simhash_gray": simhash.op4,
         "op5_curriculum_mix": mixing.op5,
+        "op6_secret_forest": secrets.op6,
         "op8_language_bitmask": language.op8,
+        "pipeline": _pipeline,
     }
 
 
