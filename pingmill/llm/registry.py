@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pingmill.llm import bpe, language, mixing, secrets, simhash
+from pingmill.llm import bpe, huffman, language, mixing, secrets, simhash
 from pingmill.llm.common import Query
 
 
@@ -15,6 +15,7 @@ def _pipeline(spark, sf_dir: str):
 def queries() -> dict[str, Query]:
     return {
         "op1_bpe_transducer": bpe.op1,
+        "op3_huffman_ids": huffman.op3,
         "op4_simhash_gray": simhash.op4,
         "op5_curriculum_mix": mixing.op5,
         "op6_secret_forest": secrets.op6,
