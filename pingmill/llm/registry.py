@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pingmill.llm import bpe, huffman, language, mixing, secrets, simhash
+from pingmill.llm import bpe, huffman, language, media, mixing, secrets, simhash, warc
 from pingmill.llm.common import Query
 
 
@@ -20,9 +20,11 @@ def queries() -> dict[str, Query]:
         "op5_curriculum_mix": mixing.op5,
         "op6_secret_forest": secrets.op6,
         "op8_language_bitmask": language.op8,
+        "op9_media_archives": media.op9,
+        "op10_warc_chunks": warc.op10,
         "pipeline": _pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_curriculum_mix": mixing.ORACLE}
+    return {"op5_curriculum_mix": mixing.ORACLE, "op10_warc_chunks": warc.ORACLE}
