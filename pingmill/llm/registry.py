@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pingmill.llm import bpe, huffman, language, media, mixing, secrets, simhash, warc
+from pingmill.llm import bpe, huffman, language, media, mixing, secrets, simhash, substring, warc
 from pingmill.llm.common import Query
 
 
@@ -15,6 +15,7 @@ def _pipeline(spark, sf_dir: str):
 def queries() -> dict[str, Query]:
     return {
         "op1_bpe_transducer": bpe.op1,
+        "op2_gear_passages": substring.op2,
         "op3_huffman_ids": huffman.op3,
         "op4_simhash_gray": simhash.op4,
         "op5_curriculum_mix": mixing.op5,
