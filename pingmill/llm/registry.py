@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pingmill.llm import bpe, huffman, language, media, mixing, secrets, simhash, substring, warc
+from pingmill.llm import bpe, capfilter, huffman, language, media, mixing, secrets, simhash, substring, warc
 from pingmill.llm.common import Query
 
 
@@ -20,6 +20,7 @@ def queries() -> dict[str, Query]:
         "op4_simhash_gray": simhash.op4,
         "op5_curriculum_mix": mixing.op5,
         "op6_secret_forest": secrets.op6,
+        "op7_cap_filters": capfilter.op7,
         "op8_language_bitmask": language.op8,
         "op9_media_archives": media.op9,
         "op10_warc_chunks": warc.op10,
