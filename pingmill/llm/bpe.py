@@ -20,7 +20,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import struct
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -32,10 +33,10 @@ from pingmill.llm.common import fresh, ship, table
 
 #: White space as the Unicode property has it.
 SPACE = r"\t\n\x0B\f\r \x85\xA0  -     　"
-MOST_STATES = 200_000
+MOST_STATES = 250_000
 MOST_PAIRS = 500_000
 #: Chunks remembered by each of two generations, and the longest chunk remembered.
-MEMO, MEMO_CHARS = 150_000, 64
+MEMO, MEMO_CHARS = 160_000, 64
 NEVER = 1 << 60
 
 
@@ -44,21 +45,28 @@ class Transducer:
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.most_states = most_states
-        self.trie: dict = {}
+        #: The trie by node number: bytes to nodes, and the token that ends there (-1: none). Node 0 is the root.
+        self.below: list[dict[int, int]] = [{}]
+        self.ends: list[int] = [-1]
         self.spines: dict[int, tuple[list, list]] = {}
-        self.hopeful: dict[tuple[int, int], bool] = {}
+        self.hopeful: dict[int, bool] = {}
         for token, i in ranks.items():
-            node = self.trie
+            node = 0
             for b in token:
-                node = node.setdefault(b, {})
-            node[-1] = i
+                child = self.below[node].get(b)
+                if child is None:
+                    child = self.below[node][b] = len(self.below)
+                    self.below.append({})
+                    self.ends.append(-1)
+                node = child
+            self.ends[node] = i
         self._reset()
 
     def _reset(self) -> None:
-        self.states: dict[tuple, dict] = {}
+        self.states: dict[bytes, dict] = {}
         if len(self.hopeful) > MOST_PAIRS:
             self.hopeful.clear()
-        self.start = self._state(((None, self.trie, ()),))
+        self.start = self._state([(-1, 0, ())])
 
     # -- the merges
 
@@ -115,39 +123,42 @@ class Transducer:
             else:
                 right, taken_right = next(rights)
 
-    def alive(self, last: int, node: dict) -> bool:
+    def alive(self, last: int, node: int) -> bool:
         """Whether any token below the node may stand beside `last`. Without this check dead hypotheses would multiply the states."""
-        key = (last, id(node))
+        key = last << 32 | node
         known = self.hopeful.get(key)
         if known is None:
-            known, todo = False, [x for b, x in node.items() if b >= 0]
+            known, todo = False, list(self.below[node].values())
             while todo and not known:
                 x = todo.pop()
-                known = -1 in x and self.stay_apart(last, x[-1])
-                todo += [y for b, y in x.items() if b >= 0]
+                known = self.ends[x] >= 0 and self.stay_apart(last, self.ends[x])
+                todo += self.below[x].values()
             self.hopeful[key] = known
         return known
 
-    # -- the automaton: a state maps a byte to (state, tokens sent); -1 holds the tokens owed at the end, -2 the hypotheses
+    # -- the automaton: a state maps a byte to (state, tokens sent); -1 holds the tokens owed at the end, -2 the packed hypotheses
 
-    def _state(self, hypotheses: tuple) -> dict:
-        key = tuple((last, id(node), out) for last, node, out in hypotheses)
-        state = self.states.get(key)
+    def _state(self, hypotheses: list[tuple]) -> dict:
+        packed = array("i", [x for last, node, out in hypotheses for x in (last, node, len(out), *out)]).tobytes()
+        state = self.states.get(packed)
         if state is None:
-            owed = next((out for _, node, out in hypotheses if node is self.trie), None)
-            state = self.states[key] = {-1: owed, -2: hypotheses}
+            owed = next((out for _, node, out in hypotheses if not node), None)
+            state = self.states[packed] = {-1: owed, -2: packed}
         return state
 
     def _step(self, state: dict, byte: int) -> tuple[dict, tuple]:
-        after = []
-        for last, node, out in state[-2]:
-            node = node.get(byte)
+        after, packed, at = [], array("i", state[-2]), 0
+        while at < len(packed):
+            last, node, n = packed[at : at + 3]
+            out = tuple(packed[at + 3 : at + 3 + n])
+            at += 3 + n
+            node = self.below[node].get(byte)
             if node is None:
                 continue
-            token = node.get(-1)
-            if token is not None and (self.spine(token) is not None if last is None else self.stay_apart(last, token)):
-                after.append((token, self.trie, (*out, token)))
-            if len(node) > (token is not None) and (last is None or self.alive(last, node)):
+            token = self.ends[node]
+            if token >= 0 and (self.spine(token) is not None if last < 0 else self.stay_apart(last, token)):
+                after.append((token, 0, (*out, token)))
+            if self.below[node] and (last < 0 or self.alive(last, node)):
                 after.append((last, node, out))
         sent = after[0][2]
         for _, _, out in after[1:]:
@@ -159,7 +170,7 @@ class Transducer:
             sent = sent[:n]
         if len(self.states) >= self.most_states:
             self._reset()
-        reached = self._state(tuple((last, node, out[len(sent) :]) for last, node, out in after))
+        reached = self._state([(last, node, out[len(sent) :]) for last, node, out in after])
         state[byte] = found = (reached, sent)
         return found
 
@@ -219,6 +230,7 @@ class Codec:
         pattern = pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")
         self.pieces = regex.compile(pattern)
         self.double = regex.compile(f"[{SPACE}][{SPACE}]")
+        self.cut = regex.compile("(?= )", regex.V1)
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -227,10 +239,11 @@ class Codec:
             return b"".join(self._whole(x) for x in self.pieces.findall(chunk))
         packed = self.old.get(chunk)
         if packed is None:
-            found = self.pieces.findall(chunk)
+            # Letters with a space before them are one piece, and a last character of another kind is the next.
+            body = chunk[1:] if chunk[0] == " " else chunk
+            found = [chunk] if body.isalpha() else [chunk[:-1], chunk[-1]] if body[:-1].isalpha() and chunk[-1] in ".,;:!?" else self.pieces.findall(chunk)
             if len(found) == 1:
-                ids = self.fst.piece(chunk.encode())
-                packed = struct.pack(f"<{len(ids)}I", *ids)
+                packed = self._ids(chunk)
             else:
                 packed = b"".join([self.new.get(x) or self._pack(x) for x in found])
         if len(self.new) >= MEMO:
@@ -241,8 +254,13 @@ class Codec:
     def _whole(self, piece: str) -> bytes:
         if len(piece) <= MEMO_CHARS:
             return self.new.get(piece) or self._pack(piece)
-        ids = self.fst.piece(piece.encode())
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return self._ids(piece)
+
+    def _ids(self, piece: str) -> bytes:
+        ids = array("I", self.fst.piece(piece.encode()))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def steps(self, text: str, most: int = 1 << 20) -> Iterator[str]:
         """The text in parts that the pattern treats as it treats the whole: cut before a space between two other characters."""
@@ -266,13 +284,11 @@ class Codec:
                 out += [self._whole(m[0]) for m in self.pieces.finditer(part)]
                 continue
             # Without two white-space characters in a row, no match reaches over the border before a space.
-            first, *rest = part.split(" ")
-            get = self.new.get
-            if first:
-                out.append(get(first) or self._pack(first))
-            for x in rest:
-                x = " " + x
-                out.append(self.new.get(x) or self._pack(x))
+            chunks = part.replace(" ", "\0 ").split("\0") if "\0" not in part else self.cut.split(part)
+            packed = list(map(self.new.get, chunks))
+            if None in packed:
+                packed = [p if p is not None else self._pack(c) if c else b"" for c, p in zip(chunks, packed, strict=True)]
+            out += packed
         return b"".join(out)
 
     def decode(self, packed: bytes, ids_at_once: int = 1 << 16) -> Iterator[bytes]:
