@@ -14,7 +14,8 @@ def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colu
     """Great-circle distance; the sine's argument is held to 1, so antipodes are no NaN."""
     d_lat, d_lon = F.radians(lat2 - lat1) / 2, F.radians(lon2 - lon1) / 2
     a = F.sin(d_lat) * F.sin(d_lat) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(d_lon) * F.sin(d_lon)
-    return F.lit(2 * EARTH_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    root = F.sqrt(a)  # least() would turn a null into 1
+    return F.lit(2 * EARTH_KM) * F.asin(F.when(root > 1, F.lit(1.0)).otherwise(root))
 
 
 def in_box(lon: Column, lat: Column, west: Column, south: Column, east: Column, north: Column) -> Column:
@@ -94,7 +95,8 @@ def simplify(ring: Column, tolerance: float = 0.0008) -> Column:
 
 def register(spark: SparkSession) -> None:
     """haversine_km for SQL text, as an expression that the optimizer sees through."""
+    root = "sqrt(pow(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2))"
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION haversine_km(lon1 DOUBLE, lat1 DOUBLE, lon2 DOUBLE, lat2 DOUBLE) RETURNS DOUBLE RETURN "
-        f"2 * {EARTH_KM}D * asin(least(1D, sqrt(pow(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2))))"
+        f"2 * {EARTH_KM}D * asin(CASE WHEN {root} > 1 THEN 1D ELSE {root} END)"
     )

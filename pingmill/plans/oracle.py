@@ -7,7 +7,7 @@ R = 6371.0
 
 def km(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
     a = f"pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2)"
-    return f"(2 * {R} * asin(least(1.0, sqrt({a}))))"
+    return f"(2 * {R} * asin(CASE WHEN {a} > 1 THEN 1.0 ELSE sqrt({a}) END))"
 
 
 PINGS = """
