@@ -162,6 +162,21 @@ def _pairs(u: np.ndarray, g: np.ndarray, slab: np.ndarray, bound: float) -> Iter
             yield i[keep] + low, j[keep] + low
 
 
+def _owns(filters: np.ndarray, a: np.ndarray, b: np.ndarray, shared: np.ndarray, starts: np.ndarray, ends: np.ndarray, owned: np.ndarray, span: int) -> np.ndarray:
+    """Whether no lesser filter than the pair's own is exceeded by both. Filters of `a` are tried in ascending order; near pairs end at once."""
+    out = np.zeros(len(a), bool)
+    left, at = np.arange(len(a)), starts[a]
+    while len(left):
+        value = shared[np.minimum(at, len(shared) - 1)]
+        over = (at >= ends[a[left]]) | (value >= filters[left])
+        out[left[over]] = True
+        left, at, value = left[~over], at[~over], value[~over]
+        key = b[left] * span + value
+        miss = owned[np.minimum(np.searchsorted(owned, key), len(owned) - 1)] != key
+        left, at = left[miss], at[miss] + 1
+    return out
+
+
 def _verify(bound: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pingmill.llm.simhash import unite
@@ -172,7 +187,13 @@ def _verify(bound: float):
             sizes = np.array([len(x) for x in t.column("v")])
             ids, where = np.unique(rep, return_inverse=True)
             links, parent = np.zeros(len(ids), np.int64), np.arange(len(ids))
-            filters = t.column("filters")
+            first = np.full(len(ids), -1)
+            first[where[::-1]] = np.arange(len(rep))[::-1]
+            lists = t.column("filters").take(pa.array(first))
+            shared, ends = lists.flatten().to_numpy(), np.cumsum([len(x) for x in lists])
+            starts = np.concatenate([[0], ends[:-1]])
+            span = int(shared.max()) + 1
+            owned = np.repeat(np.arange(len(ids)), ends - starts) * span + shared  # ascending, since each list is
             for d in np.unique(sizes):
                 at = np.flatnonzero(sizes == d)
                 flat = t.column("v").take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)
@@ -181,10 +202,9 @@ def _verify(bound: float):
                     i, j = at[i], at[j]
                     keep = ~(crossed[i] & (slab[i] == slab[j])) & (rep[i] != rep[j])
                     i, j = i[keep], j[keep]
-                    own = np.array([group[x] >> 12 == np.intersect1d(filters[int(x)].values.to_numpy(), filters[int(y)].values.to_numpy(), assume_unique=True)[0] for x, y in zip(i, j, strict=True)], bool)
+                    own = _owns(group[i] >> 12, where[i], where[j], shared, starts, ends, owned, span)
                     i, j = i[own], j[own]
-                    np.add.at(links, where[i], n[j])
-                    np.add.at(links, where[j], n[i])
+                    links += np.bincount(where[i], n[j], len(ids)).astype(np.int64) + np.bincount(where[j], n[i], len(ids)).astype(np.int64)
                     parent = unite(parent, where[i], where[j])
             touched = np.flatnonzero(links)
             if not len(touched):
