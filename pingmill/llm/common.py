@@ -119,3 +119,38 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 
 Query = Callable[[SparkSession, str], DataFrame]
+
+
+#: Two characters of Unicode white space (or of the ASCII separators) in a row.
+DOUBLE_SPACE = r"[\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]{2}"
+
+
+def encode_by_chunks(texts: pa.Array, chunks: Callable[[list[str], bool], list[bytes]], whole: Callable[[str], bytes]) -> list[bytes]:
+    """Encodes texts whose codes do not reach over a space between two other characters.
+
+    Arrow cuts the texts at spaces and numbers the distinct chunks; `chunks(distinct, first)` encodes those once (as they are if
+    first, else after a space), and Arrow puts the codes in order. Texts with two spaces in a row go to `whole`.
+    """
+    import numpy as np
+    import pyarrow.compute as pc
+
+    texts = pc.fill_null(texts, "")
+    odd = pc.match_substring_regex(texts, DOUBLE_SPACE)
+    lists = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
+    out: list[bytes] = []
+    if len(lists):
+        bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        flat = lists.flatten()
+        later, first = flat.dictionary_encode(), flat.take(pa.array(bounds[:-1])).dictionary_encode()
+        at = later.indices.to_numpy().astype(np.int64)
+        at[bounds[:-1]] = len(later.dictionary) + first.indices.to_numpy()
+        codes = chunks(later.dictionary.to_pylist(), False) + chunks(first.dictionary.to_pylist(), True)
+        done = pa.array(codes, pa.large_binary()).take(pa.array(at))
+        _, offsets, data = done.buffers()
+        ends = np.frombuffer(offsets, np.int64)[: len(done) + 1][bounds].tolist()
+        view = memoryview(data) if data is not None else b""
+        out = [bytes(view[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+    if len(out) == len(texts):
+        return out
+    rest, plain = iter(out), odd.to_pylist()
+    return [whole(t.as_py()) if o else next(rest) for t, o in zip(texts, plain, strict=True)]

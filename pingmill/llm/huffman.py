@@ -26,10 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pingmill.llm.common import discard, new_path, ship, table, written
+from pingmill.llm.common import discard, encode_by_chunks, new_path, ship, table, text_slices, written
 
 LIMIT, BLOCK, LANE, END = 18, 1 << 16, 256, 2
 MEMO, MEMO_CHARS, TOGETHER = 300_000, 64, 200
+AT_ONCE = 6 << 20
+FIRST, MARKS = "\udc00", ".,;:!?"
 _SPACES = r"\s\x1c-\x1f\x85"
 
 _BLOCKS = "part int, block int, first long, n_ids int, doc_ids array<long>, doc_lengths array<int>, checkpoints array<int>, payload binary"
@@ -128,6 +130,17 @@ class Code:
 # ---- text to ids, by the tokenizers library
 
 
+def id_kind(size: int) -> tuple[str, int]:
+    """How ids of a vocabulary travel: little-endian unsigned integers of two bytes where they fit, else four."""
+    return ("<u2", 2) if size <= 1 << 16 else ("<u4", 4)
+
+
+def vocabulary_kind(path: str) -> tuple[str, int]:
+    from tokenizers import Tokenizer
+
+    return id_kind(Tokenizer.from_file(path).get_vocab_size())
+
+
 class Encoder:
     """Whole texts to ids with a byte-level vocabulary of the tokenizers library.
 
@@ -144,52 +157,72 @@ class Encoder:
         size = self.library.get_vocab_size()
         self.size = size
         self.opens = np.array([(self.library.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
-        self.double = re.compile(f"[{_SPACES}][{_SPACES}]")
         self.cut = re.compile(f"(?<=[^{_SPACES}])(?= [^{_SPACES}])")
-        self.new: dict[str, bytes] = {}
+        self.kind, self.width = id_kind(size)
+        self.marks = {m: np.array(self.library.encode(m, add_special_tokens=False).ids, self.kind).tobytes() for m in MARKS}
+        self.new: dict[str, bytes] = {"": self._empty(), FIRST: b""}
         self.old: dict[str, bytes] = {}
 
-    def _chunks(self, text: str) -> list[str]:
-        if self.double.search(text):
-            return self.cut.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+    def _empty(self) -> bytes:
+        """A space with nothing after it: only the end of a text has one."""
+        return np.array(self.library.encode(" ", add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of new chunks. Plain words are encoded in one text: only their first ids begin with a space."""
+    def _learn(self, keys: list[str]) -> dict[str, bytes]:
+        """Ids of new chunks. Plain words are encoded many in one text: only their first ids begin with a space."""
         found: dict[str, bytes] = {}
-        plain = [c for c in chunks if c[0] == " " and len(c) > 1 and " " not in c[1:] and not c[1].isspace() and not c[-1].isspace()]
+        plain = [k for k in keys if k and k[0] != FIRST and " " not in k and not k[0].isspace() and not k[-1].isspace()]
         parts = [plain[at : at + TOGETHER] for at in range(0, len(plain), TOGETHER)]
-        for part, e in zip(parts, self.library.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
+        for part, e in zip(parts, self.library.encode_batch_fast([" " + " ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.kind)
             starts = np.flatnonzero(self.opens[ids])
             if len(starts) == len(part):
-                packed, at = ids.tobytes(), (4 * starts).tolist()
+                packed, at = ids.tobytes(), (self.width * starts).tolist()
                 found.update(zip(part, [packed[x:y] for x, y in zip(at, [*at[1:], len(packed)], strict=True)], strict=True))
-        odd = [c for c in chunks if c not in found]
-        for c, e in zip(odd, self.library.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-            found[c] = np.array(e.ids, "<u4").tobytes()
+        odd = [k for k in keys if k not in found]
+        for k, e in zip(odd, self.library.encode_batch_fast([k[1:] if k[:1] == FIRST else " " + k for k in odd], add_special_tokens=False), strict=True):
+            found[k] = np.array(e.ids, self.kind).tobytes()
         return found
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        cut = [self._chunks(t) if t else [] for t in texts]
-        new, todo = self.new, []
-        for c in set().union(*cut).difference(new):
-            packed = self.old.get(c)
-            if packed is None:
-                todo.append(c)
-            else:
-                new[c] = packed
-        new.update(self._learn([c for c in todo if c]))
-        new[""] = b""
-        out = [b"".join(map(new.__getitem__, chunks)) for chunks in cut]
-        for c in todo:
-            if len(c) > MEMO_CHARS:
-                del new[c]
+    def _codes(self, keys: list[str]) -> list[bytes]:
+        """Codes of distinct keys, from memory or from the library."""
+        new, old, todo, ended = self.new, self.old, set(), []
+        for k in keys:
+            if k not in new:
+                packed = old.get(k)
+                if packed is not None:
+                    new[k] = packed
+                elif k[-1:] in MARKS and k[:-1].isalpha():  # letters and a mark are two matches of the pattern
+                    ended.append(k)
+                    todo.add(k[:-1])
+                else:
+                    todo.add(k)
+        for k in [k for k in todo if k in new or k in old]:
+            new.setdefault(k, old.get(k))
+            todo.discard(k)
+        new.update(self._learn(list(todo)))
+        for k in ended:
+            new[k] = new[k[:-1]] + self.marks[k[-1]]
+        found = [new[k] for k in keys]
+        for k in todo:
+            if len(k) > MEMO_CHARS:
+                del new[k]
         if len(new) > MEMO:
             self.old, self.new = new, {}
-        return out
+        return found
+
+    def _chunks(self, chunks: list[str], first: bool) -> list[bytes]:
+        """A chunk stands for itself after a space; one without has a mark that no text can hold."""
+        return self._codes([FIRST + c for c in chunks] if first else chunks)
+
+    def _whole(self, text: str) -> bytes:
+        first, *rest = self.cut.split(text)
+        parts = [FIRST + first, *[x[1:] for x in rest]]
+        code = dict(zip(distinct := list(dict.fromkeys(parts)), self._codes(distinct), strict=True))
+        return b"".join(map(code.__getitem__, parts))
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        """Little-endian unsigned ids of each text, `width` bytes each."""
+        return encode_by_chunks(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), self._chunks, self._whole)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -212,13 +245,13 @@ def encode_ids(docs: DataFrame, vocabulary: str, text: str = "text", end: int |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         counts = np.zeros(max(enc.size, (end or 0) + 1), np.int64)
-        tail = b"" if end is None else int(end).to_bytes(4, "little")
+        tail = b"" if end is None else int(end).to_bytes(enc.width, "little")
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
-                ids = [x + tail for x in enc.encode(part.column(text).to_pylist())]
-                counts += np.bincount(np.frombuffer(b"".join(ids), "<u4"), minlength=len(counts))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n", "ids"])
+            for a, b in text_slices(batch, text, AT_ONCE):
+                part = batch.slice(a, b - a)
+                ids = [x + tail for x in enc.encode(part.column(text))]
+                counts += np.bincount(np.frombuffer(b"".join(ids), enc.kind), minlength=len(counts))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // enc.width for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n", "ids"])
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used]), pa.nulls(len(used), pa.binary())], names=["doc_id", "n", "ids"])
 
@@ -233,7 +266,7 @@ def global_code(encoded: DataFrame, limit: int = LIMIT) -> Code:
     return Code(code_lengths(counts, limit), limit)
 
 
-def write_blocks(encoded: DataFrame, code: Code, path: str) -> None:
+def write_blocks(encoded: DataFrame, code: Code, path: str, kind: str, width: int) -> None:
     """Blocks of all documents in ascending doc_id order, as files in `path`."""
     parts = int(encoded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lengths = code.lengths
@@ -246,8 +279,8 @@ def write_blocks(encoded: DataFrame, code: Code, path: str) -> None:
 
         def close() -> pa.RecordBatch:
             nonlocal held, n, number, first
-            payload, checkpoints = packer.pack(np.frombuffer(b"".join(x for _, x in held), "<u4").astype(np.int64))
-            row = [part], [number], [first], [n], [[d for d, _ in held]], [[len(x) // 4 for _, x in held]], [checkpoints], [payload]
+            payload, checkpoints = packer.pack(np.frombuffer(b"".join(x for _, x in held), kind).astype(np.int64))
+            row = [part], [number], [first], [n], [[d for d, _ in held]], [[len(x) // width for _, x in held]], [checkpoints], [payload]
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary())
             out = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names=[c.split()[0] for c in _BLOCKS.split(", ")])
             number, first, held, n = number + 1, first + n, [], 0
@@ -256,10 +289,10 @@ def write_blocks(encoded: DataFrame, code: Code, path: str) -> None:
         for batch in batches:
             for doc, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
                 ids = ids.as_py()
-                if n and n + len(ids) // 4 > BLOCK:
+                if n and n + len(ids) // width > BLOCK:
                     yield close()
                 held.append((doc, ids))
-                n += len(ids) // 4
+                n += len(ids) // width
         if held:
             yield close()
 
@@ -298,7 +331,7 @@ def token_files(docs: DataFrame, vocabulary: str, path: str) -> Code:
     """Encodes docs(doc_id, text) and writes the block files; returns the code that reads them."""
     encoded, held = written(encode_ids(docs, vocabulary), "ids")
     code = global_code(encoded)
-    write_blocks(encoded, code, path)
+    write_blocks(encoded, code, path, *vocabulary_kind(vocabulary))
     discard(docs.sparkSession, held)
     return code
 
