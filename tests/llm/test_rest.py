@@ -1,0 +1,329 @@
+import base64
+import hashlib
+import io
+import wave  # noqa: F401
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from pingmill.llm import language, media, media_source, mixing, registry, secrets, warc
+from pingmill.llm.common import new_path, shared_dir
+
+SMALL = "/root/testdata/sf0.001"
+
+
+# ---- mixing
+
+
+def water_fill(sizes, weights):
+    """Shares by weight, again and again, until no source is above its cap."""
+    caps, out, open_ = [3.0 * s for s in sizes], [0.0] * len(sizes), set(range(len(sizes)))
+    left = float(sum(sizes))
+    while open_ and left > 1e-9:
+        w = sum(weights[i] for i in open_)
+        add = {i: left * weights[i] / w for i in open_}
+        left = 0.0
+        for i, x in add.items():
+            out[i] += x
+            if out[i] > caps[i]:
+                left += out[i] - caps[i]
+                out[i] = caps[i]
+        open_ = {i for i in open_ if out[i] < caps[i]}
+    return out
+
+
+def test_targets(spark):
+    rng = np.random.default_rng(1)
+    for k in range(6):
+        sizes = rng.integers(0, 400, rng.integers(1, 9)).tolist()
+        names = [f"s{i:02d}" for i in range(len(sizes))]
+        names[-1] = None
+        df = spark.createDataFrame(list(zip(names, sizes, strict=True)), "source string, size long")
+        got = {r.source: r.target for r in mixing.source_targets(df).collect()}
+        want = water_fill(sizes, [(5, 2, 1)[i % 3] for i in range(len(sizes))])
+        assert [got[n] for n in names] == pytest.approx(want)
+    assert mixing.source_targets(df.limit(0)).count() == 0
+
+
+def test_position_inverts_the_demand(spark):
+    t = spark.range(101).select((F.col("id") / 100.0).alias("t"))
+    for slope in mixing.SLOPES:
+        spent = 700.0 * ((1 - slope) * F.col("t") + slope * F.col("t") * F.col("t"))
+        off = t.select(F.abs(mixing.demand_inverse(spent, F.lit(700.0), F.lit(slope)) - F.col("t")).alias("d")).agg(F.max("d")).first()[0]
+        assert off < 1e-9
+
+
+def test_mix(docs, folder, spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CELL", 4)
+    monkeypatch.setattr(mixing, "BLOCK", 2)
+    rows = [(i, "w " * (i % 7), None, ["a", "b", "b", None][i % 4], 0) for i in range(200)]
+    rows += [(5, "w w", None, "a", 0), (5, "w w", None, "a", 0), (None, "q q q", None, "c", 0), (300, None, None, "c", 0)]
+    df = docs(rows)
+    out = mixing.mix(df).collect()
+    assert len(out) == len(rows)
+    by = {}
+    for r in out:
+        by.setdefault(r.source, []).append(r)
+        assert r.taken == r.size * len(r.placements) and len(r.placements) <= 3
+        assert all(0 <= p.position <= 1 for p in r.placements)
+    for rs in by.values():
+        assert abs(sum(r.taken for r in rs) - rs[0].target) <= max(r.size for r in rs)
+    again = {(r.doc_id, r.source, r.size, str(r.placements)) for r in mixing.mix(df.repartition(3)).collect()}
+    assert again == {(r.doc_id, r.source, r.size, str(r.placements)) for r in out}
+    taken = mixing.schedule(df.withColumn("MIX_SIZE", F.lit(1)))
+    assert taken.columns[-1] == "MIX_SIZE" and taken.count() == sum(len(r.placements) for r in out)
+    assert mixing.op5(spark, folder(documents=df.limit(0))).count() == 0
+
+
+# ---- secrets
+
+
+def test_scan_finds_secrets_and_leaves_the_rest(docs, folder, spark):
+    h = hashlib.sha256(b"1").hexdigest()
+    key = base64.b64encode(hashlib.sha256(b"2").digest()).decode().replace("/", "a").replace("+", "b").rstrip("=")
+    rows = [
+        (1, f'set token = "{h[:40]}" now'),
+        (2, f"api_key: {key}, and again api_key: {key}"),
+        (3, f"see commit {h[:40]} for it"),
+        (4, 'token = "your-token-goes-here"'),
+        (5, "the configuration_manager_instance_4 of src/main/java/com/example/Thing2.java"),
+        (6, "Donaudampfschifffahrtsgesellschaft und nichts weiter"),
+        (7, None),
+        (8, ""),
+        (9, "x" * 200_000 + f' token = "{h[10:50]}"'),
+        (10, "-----BEGIN RSA PRIVATE KEY-----\nabc"),
+        (None, f'token = "{h[:40]}"'),
+        (11, "xxxxxxxxxxxxxxxxxxxxxxxx1 password=12345678901234567890"),
+    ]
+    df = docs(rows)
+    got = {(r.doc_id, r["count"]) for r in secrets.op6(spark, folder(documents=df)).collect()}
+    assert {(1, 1), (2, 2), (9, 1), (None, 1)} <= got
+    assert not {d for d, _ in got} & {3, 4, 5, 6, 7, 8, 11}
+    clean = {r.doc_id: r for r in secrets.redact(df.withColumn("Findings", F.lit(1))).collect()}
+    assert clean[1].text == 'set token = "[SECRET]" now' and clean[1].n_chars == len(clean[1].text)
+    assert clean[3].text == rows[2][1] and clean[7].text is None and clean[1].Findings == 1
+    assert secrets.scan(df.limit(0)).count() == 0
+
+
+def test_the_expression_is_the_forest(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = secrets.labelled(spark, 600)
+    model = secrets.train(rows)
+    x = rows.select("label", F.struct(*(c.alias(n) for c, n in zip(secrets.features(F.col("value"), F.col("before")), secrets.NAMES, strict=True))).alias("x"))
+    x = x.withColumn("p", F.expr(secrets.forest_sql(model, "x"))).select("label", "p", "x.*")
+    both = model.transform(VectorAssembler(inputCols=list(secrets.NAMES), outputCol="features").transform(x)).select("label", "p", "probability").collect()
+    # Spark weighs each tree's leaf shares alike, as the expression does.
+    assert max(abs(r.p - r.probability[1]) for r in both) < 1e-9
+    assert np.mean([(r.p >= 0.5) == (r.label == 1) for r in both]) > 0.95
+
+
+def test_held_out_findings(spark):
+    forest = secrets.default_forest(spark)
+    fresh = secrets.labelled(spark, 9000).filter("hash(value) % 3 = 0")
+    rows = fresh.withColumn("x", F.struct(F.struct(*(c.alias(n) for c, n in zip(secrets.features(F.col("value"), F.col("before")), secrets.NAMES, strict=True))).alias("f")))
+    hit = rows.select(((F.expr(forest) >= 0.5) == (F.col("label") == 1)).cast("double").alias("ok")).agg(F.avg("ok")).first()[0]
+    assert hit > 0.95
+
+
+def test_no_python_in_the_native_plans(docs):
+    df = docs([(1, "a b", None, "s", 3)])
+    for out in (secrets.redact(df), mixing.schedule(df), mixing.mix(df)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+# ---- language
+
+
+def test_language(docs, folder, spark):
+    en, fr = "the cat sat on the mat and then the dog came in", "le chat est assis dans la maison avec une souris"
+    rows = [(i, en if i % 2 else fr, "en" if i % 2 else "fr", None, 0) for i in range(60)]
+    odd = [(100, None, "en"), (101, "123 456 !!", "fr"), (102, "", None), (103, "漢字", None), (None, en, "en"), (104, "le chat " * 100_000, None), (5, en, "en")]
+    df = docs(rows + [(*o, None, 0) for o in odd])
+    got = {r.doc_id: (r.held_out, r.lang_pred, r.score) for r in language.op8(spark, folder(documents=df)).collect()}
+    for i in range(60):
+        assert got[i][0] == (zlib.crc32(str(i).encode()) % 3 == 1) and got[i][1] == ("en" if i % 2 else "fr") and 0.5 < got[i][2] <= 1
+    assert got[100][1:] == got[101][1:] == got[102][1:] == ("und", 0.0)
+    assert got[103][1:] == ("en", 0.0) and got[104][1] == "fr" and got[None][1] == "en"
+    none = language.identify(df, language.learn(df.limit(0)))
+    assert {r.lang_pred for r in none.collect()} == {"und"}
+    clash = language.identify(df.withColumn("Lang_Pred", F.lit(1)), language.learn(df))
+    assert clash.columns[-2:] == ["_lang_pred", "score"]
+
+
+def test_pieces_give_the_same_grams():
+    text = "Der schnelle Fuchs, éàü springt! " * 40
+    whole = np.concatenate([k for k, _ in language.pieces([text, None, "", text])])
+    cut = np.concatenate([k for k, _ in language.pieces([text, None, "", text], most=37)])
+    assert sorted(whole.tolist()) == sorted(cut.tolist())
+    plain = [language.codes(text[i : i + 3]) for i in range(len(text) - 2)]
+    assert len(whole) >= 2 * sum(all(chr(c).isalpha() for c in g) for g in plain)
+
+
+def test_held_out_accuracy(spark):
+    df = language.op8(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
+    assert df.filter("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.98
+
+
+# ---- media
+
+
+def test_png_is_a_png_and_comes_back():
+    for text in ("", "a", "x" * 64, "é" * 5000, "ab" * 700_000):
+        data, n = media.payload(text)
+        assert len(data) % 64 == 0 and len(data) >= 64 and data[:n].decode() == text
+        png = media.to_png(data)
+        assert media.from_png(png) == data
+        with pytest.raises(ValueError):
+            media.from_png(png[:40] + bytes([png[40] ^ 1]) + png[41:])
+
+
+def test_query_9(docs, folder, spark):
+    rows = [(1, "same"), (2, "same"), (3, None), (4, ""), (5, "é" * 64), (6, "long " * 60_000), (6, "same"), (None, "n")]
+    got = media.op9(spark, folder(documents=docs(rows))).collect()
+    assert len(got) == len(rows)
+    want = {}
+    for _, t in rows:
+        data, n = media.payload(t)
+        want[hashlib.sha256(data).hexdigest()] = (n, len(data), zlib.crc32(data[-64:]))
+    assert all(want[r.payload_sha256] == (r.n_bytes, r.payload_bytes, r.tail_crc32) for r in got if r.doc_id != 3)
+    same = {(r.payload_sha256, r.media_sha256, r.feature) for r in got if r.n_bytes == 4}
+    assert len(same) == 1
+    assert media.op9(spark, folder_of_none(spark, docs)).count() == 0
+
+
+def folder_of_none(spark, docs):
+    path = new_path(spark, "none")
+    docs([(1, "a")]).limit(0).write.parquet(f"{path}/documents.parquet")
+    return path
+
+
+def test_members_are_retried_by_offset(tmp_path):
+    w = media_source.ArchiveWriter(f"file://{tmp_path}", "part-0", "x")
+    for i in range(20):
+        w.add(i, bytes([i]) * (i + 1), i)
+    w.close()
+    reader = media_source.ArchiveReader({"path": f"file://{tmp_path}", "target": 30, "retries": 2})
+    parts = reader.partitions()
+    assert len(parts) > 3 and sum(p.count for p in parts) == 20
+    read = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert [(r["doc_id"], r["media"]) for r in read] == [(i, bytes([i]) * (i + 1)) for i in range(20)]
+
+    class Flaky(io.BytesIO):
+        tries = 0
+
+        def read(self, n=-1):
+            Flaky.tries += 1
+            if Flaky.tries % 3:
+                raise OSError("lost")
+            return super().read(n)
+
+    class Store:
+        opened = []
+
+        def open_input_file(self, path):
+            self.opened.append(path)
+            return Flaky(b"..abc..")
+
+    store = Store()
+    assert reader.member(store, "p", Flaky(b"..abc.."), 2, 3, zlib.crc32(b"abc")) == b"abc" and len(store.opened) == 2
+    with pytest.raises(OSError, match="at 2"):
+        reader.member(store, "p", io.BytesIO(b"..abd.."), 2, 3, 1)
+
+
+def test_unfinished_archives_are_not_read(tmp_path):
+    w = media_source.ArchiveWriter(f"file://{tmp_path}", "part-0", "x")
+    w.add(1, b"a", 1)
+    w.out.close()
+    assert [p.count for p in media_source.ArchiveReader({"path": f"file://{tmp_path}"}).partitions()] == [0]
+
+
+# ---- WARC
+
+
+def test_query_10(spark, folder):
+    big = "b" * (2 * warc.CHUNK + 5)
+    rows = [(1, "http://a b\r\nX: y", big), (2, None, None), (3, "u", ""), (4, "u", big), (None, "u", "q"), (7, "u", "q"), (8, "u", "é"), (8, "u", "é"), (9, "u", "WARC/1.1\r\n\r\n")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = warc.op10(spark, folder(pages=df)).collect()
+    b32 = lambda t: base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
+    want = [(p, len((t or "").encode()), b32(t), "response", None) for p, _, t in rows]
+    for k, top in ((0, 4), (1, 3), (4, 7)):
+        want[k] = (*want[k][:3], "revisit", top)
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_oversized_payloads_are_rows_of_chunks(spark):
+    big = "b" * (3 * warc.CHUNK)
+    df = spark.createDataFrame([(1, "u", big)], "page_id long, url string, html string")
+    rows = warc.chunk_table(warc.archive(df, new_path(spark, "w"))).orderBy("chunk_no").collect()
+    assert [(r.chunk_no, len(r.chunk), r.last) for r in rows] == [(0, warc.CHUNK, False), (1, warc.CHUNK, False), (2, warc.CHUNK, True)]
+    assert [r.sha1_so_far for r in rows] == [base64.b32encode(hashlib.sha1(big[: (k + 1) * warc.CHUNK].encode()).digest()).decode() for k in range(3)]
+    assert warc.chunk_table(warc.archive(df.limit(0), new_path(spark, "w"))).count() == 0
+
+
+def test_least_size_of_revisits(spark):
+    df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abc"), (4, "u", "abc")], "page_id long, url string, html string")
+    rows = warc.chunk_table(warc.archive(df, new_path(spark, "w"), least=3)).collect()
+    assert {(r.page_id, r.record_type) for r in rows} == {(1, "response"), (2, "response"), (3, "revisit"), (4, "response")}
+
+
+def test_wrong_bytes_stop_the_read():
+    out = io.BytesIO()
+    press = zlib.compressobj(4, zlib.DEFLATED, 31)
+    for part in warc.record(1, "u", b"abc", hashlib.sha1(b"abd").hexdigest(), None, False):
+        out.write(press.compress(part))
+    out.write(press.flush())
+    n = out.tell()
+    out.seek(0)
+    with pytest.raises(ValueError, match="record 1"):
+        list(warc.chunks(out, n))
+
+
+# ---- all
+
+
+def test_queries_against_sql(spark):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    for name, sql in registry.oracle_sql().items():
+        result = con.execute(sql)
+        columns = [c[0] for c in result.description]
+        want = sorted(map(str, result.fetchall()))
+        got = sorted(str(tuple(r[c] for c in columns)) for r in registry.queries()[name](spark, SMALL).collect())
+        assert got == want, name
+
+
+def test_pipeline(spark):
+    import corpus_pipeline as c
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").withColumn("Score", F.lit(1))
+    before, kept = docs, []
+    for name, stage in c.STAGES:
+        out = stage(spark, before, SMALL)
+        if name != "bpe_round_trip":
+            assert out.columns == docs.columns
+        path = new_path(spark, "test-stage")
+        out.write.parquet(path)
+        before = spark.read.parquet(path)
+        kept.append(before.count())
+    assert kept[0] == 200 and kept[1] == kept[2] < 200 and kept[4] == kept[3] > 0
+    run = c.run(spark, SMALL)
+    key = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert sorted(map(tuple, run.select(*key).collect())) == sorted(map(tuple, before.select(*key).collect()))
+    assert c.ORACLE_SQL is None and shared_dir(spark)
+
+
+def test_pipeline_of_odd_rows(spark, docs):
+    import corpus_pipeline as c
+
+    df = docs([(1, None), (2, ""), (3, "12 34"), (None, None), (4, "the cat and the dog", "en", "s", 5), (4, "the cat and the dog", "en", "s", 5)])
+    for rows in (df, df.limit(0)):
+        for _, stage in c.STAGES:
+            rows = stage(spark, rows, SMALL)
+        rows.collect()
