@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pingmill.llm.common import fresh, ship, table
+from pingmill.llm.common import encode_by_chunks, fresh, ship, table, text_slices
 
 #: White space as the Unicode property has it.
 SPACE = r"\t\n\x0B\f\r \x85\xA0  -     　"
@@ -37,6 +37,8 @@ MOST_STATES = 250_000
 MOST_PAIRS = 500_000
 #: Chunks remembered by each of two generations, and the longest chunk remembered.
 MEMO, MEMO_CHARS = 160_000, 64
+#: Bytes of text encoded at once.
+AT_ONCE = 4 << 20
 NEVER = 1 << 60
 
 
@@ -229,8 +231,6 @@ class Codec:
         self.bytes_of = [self.fst.tokens.get(i, b"") for i in range(max(self.fst.tokens) + 1)]
         pattern = pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")
         self.pieces = regex.compile(pattern)
-        self.double = regex.compile(f"[{SPACE}][{SPACE}]")
-        self.cut = regex.compile("(?= )", regex.V1)
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -274,22 +274,27 @@ class Codec:
             at = found.start()
         yield text[at:] if at else text
 
+    def _chunks(self, chunks: list[str], first: bool) -> list[bytes]:
+        get, out = self.new.get, []
+        for c in chunks:
+            if not first:
+                c = " " + c
+            packed = get(c)
+            if packed is None:
+                packed = self._pack(c) if c else b""
+                get = self.new.get
+            out.append(packed)
+        return out
+
+    def _text(self, text: str) -> bytes:
+        return b"".join([self._whole(m[0]) for part in self.steps(text) for m in self.pieces.finditer(part)])
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        return encode_by_chunks(texts, self._chunks, self._text)
+
     def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        out = []
-        for part in self.steps(text):
-            if self.double.search(part):
-                out += [self._whole(m[0]) for m in self.pieces.finditer(part)]
-                continue
-            # Without two white-space characters in a row, no match reaches over the border before a space.
-            chunks = part.replace(" ", "\0 ").split("\0") if "\0" not in part else self.cut.split(part)
-            packed = list(map(self.new.get, chunks))
-            if None in packed:
-                packed = [p if p is not None else self._pack(c) if c else b"" for c, p in zip(chunks, packed, strict=True)]
-            out += packed
-        return b"".join(out)
+        return self.encode_all(pa.array([text], pa.string()))[0]
 
     def decode(self, packed: bytes, ids_at_once: int = 1 << 16) -> Iterator[bytes]:
         """The text's bytes, cut between characters only."""
@@ -321,8 +326,10 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
-            ids = pa.array([c.encode(x.as_py()) for x in batch.column(text)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, out])
+            for a, b in text_slices(batch, text, AT_ONCE):
+                part = batch.slice(a, b - a)
+                ids = pa.array(c.encode_all(part.column(text)), pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, out])
 
     return docs.mapInArrow(run, schema)
 
@@ -343,7 +350,7 @@ def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out: str
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """docs without its text, with n_tokens, ids_sha256 and decoded_sha256; one pass, holding one text's ids at a time."""
+    """docs without its text, with n_tokens, ids_sha256 and decoded_sha256; one pass over slices of bounded size."""
     ship(docs.sparkSession)
     rest = [c for c in docs.columns if c != text]
     names = fresh(docs, "n_tokens", "ids_sha256", "decoded_sha256")
@@ -352,16 +359,17 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") ->
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
-            n, a, b = [], [], []
-            for x in batch.column(text):
-                ids = c.encode(x.as_py())
-                n.append(len(ids) // 4)
-                a.append(hashlib.sha256(ids).hexdigest())
-                back = hashlib.sha256()
-                for part in c.decode(ids):
-                    back.update(part)
-                b.append(back.hexdigest())
-            yield pa.RecordBatch.from_arrays([*(batch.column(r) for r in rest), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=[*rest, *names])
+            for low, high in text_slices(batch, text, AT_ONCE):
+                part = batch.slice(low, high - low)
+                n, a, b = [], [], []
+                for ids in c.encode_all(part.column(text)):
+                    n.append(len(ids) // 4)
+                    a.append(hashlib.sha256(ids).hexdigest())
+                    back = hashlib.sha256()
+                    for step in c.decode(ids):
+                        back.update(step)
+                    b.append(back.hexdigest())
+                yield pa.RecordBatch.from_arrays([*(part.column(r) for r in rest), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=[*rest, *names])
 
     return docs.mapInArrow(run, schema)
 
