@@ -10,13 +10,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pingmill.functions.cells import DEFAULT
+from pingmill.operators import contacts
+from pingmill.operators.temporal import bucket
 
 
-def occupancy(stream: DataFrame, width: str = "1 hour", late: str = "1 hour", index=DEFAULT) -> DataFrame:
-    """Distinct devices by (window, cell) of a stream(maid, longitude, latitude, at timestamp): exact, in two stateful steps."""
-    rows = stream.withWatermark("at", late).select("at", F.window("at", width).alias("bucket"), "maid", index.cell(F.col("longitude"), F.col("latitude")).alias("cell"))
-    once = rows.dropDuplicatesWithinWatermark(["bucket", "cell", "maid"])
-    return once.groupBy(F.window("at", width).alias("bucket"), "cell").agg(F.count("*").alias("n_devices"))
+def occupancy(stream: DataFrame, width: str = "1h", late: str = "1 hour", index=DEFAULT) -> DataFrame:
+    """Distinct devices by (window, cell) of a stream(maid, longitude, latitude, at timestamp): exact, in two stateful steps.
+
+    `late` must be at least `width`: a device is then forgotten only when its bucket takes no more pings.
+    """
+    seconds = contacts.seconds(width)
+    place = bucket(F.unix_seconds("at"), seconds)
+    rows = stream.withWatermark("at", late).select("at", place.alias("start"), "maid", index.cell(F.col("longitude"), F.col("latitude")).alias("cell"))
+    once = rows.dropDuplicatesWithinWatermark(["start", "cell", "maid"])
+    return once.groupBy(F.window("at", f"{seconds} seconds").alias("bucket"), "cell").agg(F.count("*").alias("n_devices"))
 
 
 def sessions(stream: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
