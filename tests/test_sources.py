@@ -99,3 +99,34 @@ def test_as_of_join(ping, spark):
     t = traces.points(ping([("a", 10, 1, 1), ("a", 20, 2, 2)]))
     times = spark.createDataFrame([("a", 5), ("a", 10), ("a", 99)], "maid string, tsec long")
     assert [(r.tsec, r.idx) for r in traces.as_of_join(t, times).orderBy("tsec").collect()] == [(5, None), (10, 0), (99, 1)]
+
+
+def test_streaming_speed_filter_equals_batch(spark, tmp_path):
+    from pingmill.operators import clean
+    from pingmill.streaming import live
+
+    d = "/root/testdata/sf0.001"
+    p = views.pings(spark, d).select("maid", "seq", "timestamp", "longitude", "latitude")
+    half = p.agg(F.median("timestamp")).first()[0]
+    for k, part in enumerate((F.col("timestamp") < half, F.col("timestamp") >= half)):  # the second file continues from the state of the first
+        p.filter(part).coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(p.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        run = live.speed_outliers(stream).writeStream.format("memory").queryName("fast").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
+        run.awaitTermination(180)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = {r.seq for r in spark.sql("SELECT seq FROM fast WHERE is_outlier").collect()}
+    assert got == {r.seq for r in clean.speed_outliers(p).filter("is_outlier").collect()}
+
+
+def test_streaming_ingest(spark, tmp_path):
+    from pingmill.streaming import live
+
+    write(str(tmp_path / "raw" / "a.csv"), HEADER + "a,1.5,2.5,100\n" + HEADER)
+    args = (str(tmp_path / "raw"), str(tmp_path / "out"), str(tmp_path / "ck"))
+    live.ingest(spark, *args).awaitTermination(60)
+    write(str(tmp_path / "raw" / "b.csv"), HEADER + "b,1.5,2.5,100\n")
+    live.ingest(spark, *args).awaitTermination(60)
+    assert {r.maid for r in spark.read.parquet(args[1]).collect()} == {"a", "b"}
