@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pingmill.llm.common import fresh, table, words
+from pingmill.llm.common import fresh, table, words, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_PASSES = 3
@@ -73,10 +73,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: float = MOST_PASSES) -> DataFrame
     remaining words, so that it misses its target by half a document at most. The running sum has three levels (blocks of cells,
     cells, documents), so no task ever orders a whole source.
     """
-    sizes = docs.select("doc_id", "source", words(F.col("text")).alias("size"), order_key(F.col("doc_id")).alias("h"))
-    goals = source_targets(sizes, weights, cap)
+    # Written once: the texts are read and counted a single time, and a lost executor costs a small table's partition.
+    sizes, _ = written(docs.select("doc_id", "source", words(F.col("text")).alias("size"), order_key(F.col("doc_id")).alias("h")), "sizes")
+    goals, _ = written(source_targets(sizes, weights, cap), "targets")  # a plain table: the join's hot source can be split
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    # The table of sources is a few dozen bytes a source; Spark broadcasts it by its measured size or joins by key.
+    # A few dozen bytes a source: Spark broadcasts them by their measured size, or joins by key and splits the hot side.
     s, g = sizes.alias("s"), goals.alias("g")
     rows = s.join(g, F.col("s.source").eqNullSafe(F.col("g.source")), "inner").select("s.*", "g.n_docs", "g.source_size", "g.target", "g.slope")
     cell = F.floor(F.col("h") * F.ceil(F.col("n_docs") / CELL) / HASH_RANGE)
