@@ -30,7 +30,7 @@ from pingmill.llm.common import fresh, ship, table, written
 from pingmill.llm.graph import components
 
 SHINGLE, SEED, NEAR = 3, 42, 3
-SLAB, RUN, FAN = 2048, 8192, 8
+SLAB, RUN, FAN, SMALL = 2048, 8192, 8, 64
 QUANTILES = 64
 #: Shingles hashed at once, and words split at once.
 HASHES, WORDS_AT_ONCE = 1 << 17, 1 << 20
@@ -164,11 +164,33 @@ def forest(fps: np.ndarray, near: int = NEAR, at_once: int = 512) -> tuple[np.nd
     return fps[child], fps[parent[child]]
 
 
+def group_forest(g: np.ndarray, fps: np.ndarray, near: int = NEAR) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of spanning forests of the links inside each group of a run; groups are contiguous and in Gray order.
+
+    A group of at most `SMALL` rows is a tree of leaves only, and all of those are searched together, row against the next ones.
+    """
+    ends = np.flatnonzero(np.concatenate([g[1:] != g[:-1], [True]])) + 1
+    starts = np.concatenate([[0], ends[:-1]])
+    sizes = ends - starts
+    small = np.repeat(sizes <= SMALL, sizes)
+    parent = np.arange(len(fps))
+    for k in range(1, int(sizes[sizes <= SMALL].max(initial=1))):
+        i = np.flatnonzero((g[k:] == g[:-k]) & small[:-k])
+        if not len(i):
+            break
+        i = i[np.bitwise_count(fps[i] ^ fps[i + k]) <= near]
+        parent = unite(parent, i, i + k)
+    child = np.flatnonzero(parent != np.arange(len(fps)))
+    found = [(fps[child], fps[parent[child]])]
+    found += [forest(fps[x:y], near) for x, y in zip(starts[sizes > SMALL], ends[sizes > SMALL], strict=True)]
+    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+
+
 def _search_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (g, fp), sorted by group: searches runs of whole groups. A group has at most two slabs, so a run is bounded."""
 
-    def solve(fps: np.ndarray) -> pa.RecordBatch:
-        a, b = forest(fps)
+    def solve(g: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        a, b = group_forest(g, fps)
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
     rest_g, rest = np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -179,11 +201,11 @@ def _search_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = 0
         for i, cut in enumerate(cuts):
             if cut - start >= RUN or i == len(cuts) - 1:
-                yield solve(fps[start:cut])
+                yield solve(g[start:cut], fps[start:cut])
                 start = cut
         rest_g, rest = g[start:], fps[start:]
     if len(rest):
-        yield solve(rest)
+        yield solve(rest_g, rest)
 
 
 def links(fps: DataFrame, slab: int = SLAB) -> DataFrame:
