@@ -258,10 +258,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One whole row of docs for each group: that of its least doc_id (rows repeated under that id become one)."""
-    groups = near_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.alias("d").join(groups.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """One whole row of docs for each group: that of its least doc_id (rows repeated under that id become one).
+
+    Rows without an id cannot be named as a group's keeper: one of each distinct text stays.
+    """
+    winners = near_groups(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    (digest,) = fresh(docs, "text_digest")
+    named = docs.filter(F.col("doc_id").isNotNull()).join(winners, "doc_id", "left_semi").dropDuplicates(["doc_id"])  # one exchange for both
+    unnamed = docs.filter(F.col("doc_id").isNull()).withColumn(digest, F.sha2(F.coalesce("text", F.lit("")), 256)).dropDuplicates([digest])
+    return named.select(*docs.columns).unionByName(unnamed.select(*docs.columns))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
