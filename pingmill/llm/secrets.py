@@ -9,7 +9,7 @@ The labelled findings are made from a rule (`labelled`), `LABELLED` rows; pass a
 `train` to use findings of your own. The bound is the parameter; the scan itself covers every character of every text.
 
 Defined results: null and empty texts have no findings; a value found several times in a text is one finding with its count; equal
-rows are scanned alike; values over `LONGEST` characters are split by the patterns, and every part is scanned.
+rows are scanned alike; a value of any length is one candidate, scored and redacted as a whole.
 """
 
 from __future__ import annotations
@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 
 from pingmill.llm.common import fresh, table
 
-LABELLED, TREES, DEPTH, LONGEST, CONTEXT = 6000, 15, 5, 400, 48
+LABELLED, TREES, DEPTH, LONG, CONTEXT = 6000, 15, 5, 400, 48
 THRESHOLD = 0.5
-RUN = rf"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{{20,{LONGEST}}}+"
-ASSIGNED = rf"(?i)(?:token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)[a-z_]{{0,16}}[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?([^\s\"'<>]{{8,{LONGEST}}})"
+RUN = r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{20,}+"
+ASSIGNED = r"(?i)(?:token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)[a-z_]{0,16}[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"'<>]{8,}+)"
 HEADER = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"
 PREFIXED = r"^(AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk[-_]|AIza|eyJ|glpat-|npm_|-----BEGIN)"
 #: Word parts that ordinary identifiers and prose are made of.
@@ -49,6 +49,8 @@ def features(value: Column, before: Column) -> list[Column]:
     same_kind = F.length(F.regexp_replace(kinds, r"(0+|A+|a+|[^0Aa]+)", "-"))
     words = "|".join(sorted((w for w in DICTIONARY if len(w) > 2), key=len, reverse=True))
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
+    # The last of each character stays: a long value is never split into an array of its characters.
+    kinds_of = F.when(n <= LONG, F.size(F.array_distinct(F.split(value, "")))).otherwise(F.length(F.regexp_replace(value, r"(?s)(.)(?=.*?\1)", "")))
     return [
         F.least(n, F.lit(200.0)),
         _share(value, "[^0-9]"),
@@ -56,7 +58,7 @@ def features(value: Column, before: Column) -> list[Column]:
         _share(value, "[^a-z]"),
         same_kind / n,
         1 - F.length(F.regexp_replace(value, r"(.)\1+", "$1")) / n,
-        F.size(F.array_distinct(F.split(value, ""))) / F.least(n, F.lit(64.0)),
+        kinds_of / F.least(n, F.lit(64.0)),
         1 - F.length(F.regexp_replace(lower, f"({words})", "")) / n,
         flag(value.rlike(r"^[./~]|/[A-Za-z_.-]+/|\.[a-z]{2,4}$|^https?")),
         flag(value.rlike(r"^[0-9a-fA-F]+$")),

@@ -108,6 +108,16 @@ def test_scan_finds_secrets_and_leaves_the_rest(docs, folder, spark):
     assert secrets.scan(df.limit(0)).count() == 0
 
 
+def test_long_secrets_are_found_whole(docs, spark):
+    token = "".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(16))[:999]
+    jwt = "eyJ" + base64.b64encode(b"".join(hashlib.sha256(str(i).encode()).digest() for i in range(40))).decode().rstrip("=")
+    rows = [(1, f'api_key = "{token}" end'), (2, f"see {jwt} end"), (3, f"token: {'$x9K' * 300} end")]
+    found = {(r.doc_id, f.value) for r in secrets.scan(docs(rows)).collect() for f in r.findings}
+    assert {(1, token), (2, jwt), (3, "$x9K" * 300)} <= found
+    clean = {r.doc_id: r.text for r in secrets.redact(docs(rows[:2])).collect()}
+    assert clean == {1: 'api_key = "[SECRET]" end', 2: "see [SECRET] end"}
+
+
 def test_the_expression_is_the_forest(spark):
     from pyspark.ml.feature import VectorAssembler
 
