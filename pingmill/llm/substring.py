@@ -1,10 +1,14 @@
 """Substring dedup by content-defined chunking.
 
-A gear hash (each byte shifts the hash left by one bit and adds that byte's random number) rolls over the UTF-8 bytes; a chunk ends
-where the top `BITS` bits of the 16-bit hash are zero, with at least `LEAST` and at most `MOST` bytes. Since the hash forgets all
-but the last 16 bytes, borders find each other again shortly after an insertion. Chunks whose digest occurs in two documents or
-more are repeated; a run of neighbouring repeated chunks with `RUN_WORDS` words or more is a repeated passage. Whole chunks lie a
-chunk or so inside a passage at either end, so runs of 25 words stand for shared passages of more than about 50.
+A gear hash (each byte shifts the hash left by one bit and adds that byte's random number) runs over the UTF-8 bytes of each word. A
+chunk begins at every word whose mixed hash (its own and that of the word before) is the least of any `SPAN` words in a row, so
+borders depend on nothing but the words near them, however short those are. Chunks of over `MOST` bytes are cut within by `borders`.
+Chunks whose digest occurs in two documents or more are repeated; a run of neighbouring repeated chunks with `RUN_WORDS` words or
+more is a repeated passage.
+
+A shared passage of n words has n - 1 hashes in common (the first needs the word before). Its first and last `SPAN` of them each
+name a border that all its documents have, and so do all borders between, so at least n - 2 * SPAN words lie in whole shared
+chunks: 25 of 51 words. Every shared passage of over 50 words is therefore found; some of 25 to 50 words are too.
 
 Digests are 64 bits: at 10^12 chunks one in 10^7 meets another's by accident, and a run needs several such neighbours.
 
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 
 from pingmill.llm.common import discard, ship, table, written
 
-BITS, LEAST, MOST, RUN_WORDS, WINDOW = 5, 16, 160, 25, 1 << 22
+BITS, LEAST, MOST, RUN_WORDS, SPAN, WINDOW = 5, 16, 160, 25, 13, 1 << 22
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 16, 256, dtype=np.uint16)
 
 
@@ -58,14 +62,54 @@ def borders(data: bytes) -> list[int]:
     return ends
 
 
-def chunk_words(data: bytes, ends: np.ndarray) -> np.ndarray:
-    """How many words begin in each chunk."""
+def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end."""
     raw = np.frombuffer(data, np.uint8)
-    space = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    begins = ~space
-    begins[1:] &= space[:-1]
-    total = np.cumsum(begins)[ends - 1]
-    return np.diff(total, prepend=0)
+    space = np.ones(len(raw) + 2, bool)
+    space[1:-1] = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    return np.flatnonzero(space[:-2] & ~space[1:-1]), np.flatnonzero(~space[1:-1] & space[2:]) + 1
+
+
+def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The 16-bit gear hash of each word's last 16 bytes, mixed with that of the word before."""
+    raw, g = np.frombuffer(data, np.uint8), np.empty(len(starts), np.uint16)
+    back = np.arange(16, dtype=np.uint16)
+    for low in range(0, len(starts), WINDOW >> 4):
+        part = slice(low, low + (WINDOW >> 4))
+        at = ends[part, None] - 1 - back
+        inside = at >= starts[part, None]
+        g[part] = ((GEAR[raw[np.maximum(at, 0)]] << back) * inside).sum(axis=1, dtype=np.uint16)
+    mixed = g * np.uint16(0x9E3B)
+    mixed[1:] += (g[:-1] ^ (g[:-1] >> np.uint16(7))) * np.uint16(0x6A4D)
+    return mixed ^ (mixed >> np.uint16(8))
+
+
+def cuts(data: bytes, starts: np.ndarray, stops: np.ndarray) -> list[int]:
+    """Where chunks end: before each word whose hash is the least of SPAN words in a row (the last of equals), and within long chunks."""
+    n = len(starts)
+    ends = [len(data)]
+    if n >= SPAN:
+        least = (word_hashes(data, starts, stops).astype(np.int64) << 40) | (n - np.arange(n))
+        width = 1
+        while width < SPAN:
+            step = min(width, SPAN - width)
+            least = np.minimum(least[:-step], least[step:])
+            width += step
+        at = n - (least & ((1 << 40) - 1))
+        at = starts[at[np.concatenate([[True], at[1:] != at[:-1]])]]
+        ends = [*at[at > 0].tolist(), len(data)]
+    if max(np.diff(ends, prepend=0)) <= MOST:
+        return ends
+    out, last = [], 0
+    for end in ends:
+        out += [end] if end - last <= MOST else [last + e for e in borders(data[last:end])]
+        last = end
+    return out
+
+
+def chunk_words(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many words begin in each chunk."""
+    return np.diff(np.searchsorted(starts, ends), prepend=0)
 
 
 def chunks(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -95,10 +139,11 @@ def chunks(docs: DataFrame, text: str = "text") -> DataFrame:
                 row += 1
                 if not data:
                     continue
-                ends = borders(data)
+                starts, stops = word_bounds(data)
+                ends = cuts(data, starts, stops)
                 digests = np.fromiter((digest(data[a:b]) for a, b in zip([0, *ends], ends, strict=False)), np.uint64, len(ends))
                 ends = np.array(ends)
-                held.append((row, doc_id, ends, chunk_words(data, ends), digests))
+                held.append((row, doc_id, ends, chunk_words(starts, ends), digests))
                 size += len(ends)
                 if size >= 50_000:
                     yield out(held)

@@ -202,6 +202,38 @@ def test_query_2(docs, folder, spark):
     assert substring.passages(docs(rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("longest", [1, 3, 8])
+def test_each_passage_of_51_words_has_a_run_of_25(longest):
+    rng = np.random.default_rng(longest)
+
+    def text(n):
+        return [bytes(rng.integers(97, 123, rng.integers(1, longest + 1), dtype=np.uint8)) for _ in range(n)]
+
+    def parts(words):
+        data = b" ".join(words)
+        starts, stops = substring.word_bounds(data)
+        ends = substring.cuts(data, starts, stops)
+        return [(data[a:b], n) for a, b, n in zip([0, *ends], ends, substring.chunk_words(starts, np.array(ends)), strict=False)]
+
+    for _ in range(200):
+        shared = text(51)
+        one, two = (parts(text(rng.integers(0, 60)) + shared + text(rng.integers(0, 60))) for _ in range(2))
+        assert sum(n for _, n in one) >= 51
+        known, best, run = {c for c, _ in two}, 0, 0
+        for c, n in one:
+            run = run + n if c in known else 0
+            best = max(best, run)
+        assert best >= substring.RUN_WORDS
+
+
+def test_short_words_make_passages(docs):
+    rng = np.random.default_rng(12)
+    text = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnop"), rng.integers(1, 4))) for _ in range(n))
+    shared = [text(51) for _ in range(20)]
+    rows = [(2 * i + k, f"{text(60)} {s} {text(60)}") for i, s in enumerate(shared) for k in range(2)]
+    assert {r.doc_id for r in substring.passages(docs(rows)).collect()} == set(range(40))
+
+
 def test_passages_of_the_given_documents(spark):
     """All documents that share over 50 words with another, by brute force over shingles: nearly all are found."""
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
