@@ -156,29 +156,47 @@ def chunks(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def passages(docs: DataFrame, text: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
-    """Repeated passages: row, doc_id, start and n_bytes (in UTF-8 bytes), n_words, first_doc_id (the least that shares a chunk of it), is_copy."""
+    """Repeated passages: row, doc_id, start and n_bytes (in UTF-8 bytes), n_words, first_doc_id, is_copy, copies.
+
+    A run whose stretches have different least documents gives a row for each stretch of `run_words` words or more, with the shorter
+    ones beside it. first_doc_id and is_copy are those of that stretch; if all are shorter, the least id and whether any is a copy.
+    copies names the bytes of which this document is not the least holder, so that every chunk stays in its least document.
+    """
     every, _ = written(chunks(docs, text), "chunks")
     # Ids are compared through a pair that sorts nulls too, so that all nulls are one document.
     shared = every.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n"), F.count("doc_id").alias("with_id"))
     shared = shared.filter((F.col("least") != F.col("most")) | ((F.col("with_id") > 0) & (F.col("with_id") < F.col("n")))).select("digest", "least")
     shared, _ = written(shared, "shared-chunks")  # a plain table: the join's hot side can be split
     repeated = every.join(shared, "digest").select("row", "doc_id", "chunk", "start", "bytes", "words", "least")
-    run = F.col("chunk") - F.row_number().over(W.partitionBy("row").orderBy("chunk"))
-    runs = repeated.withColumn("run", run).groupBy("row", "doc_id", "run").agg(
+    order = W.partitionBy("row").orderBy("chunk")
+    # A part is what neighbouring chunks of a run share with the same least document. The run decides whether it is a passage.
+    turn = F.when((F.col("chunk") == F.lag("chunk").over(order) + 1) & F.col("least").eqNullSafe(F.lag("least").over(order)), 0).otherwise(1)
+    parts = repeated.withColumns({"run": F.col("chunk") - F.row_number().over(order), "turn": turn}).withColumn("part", F.sum("turn").over(order))
+    parts = parts.groupBy("row", "doc_id", "run", "part", "least").agg(
         F.min("start").alias("start"),
         F.max(F.col("start") + F.col("bytes")).alias("end"),
         F.sum("words").alias("n_words"),
-        F.min("least").alias("first_doc_id"),
-        F.max(~F.col("least").eqNullSafe(F.col("doc_id"))).alias("is_copy"),
     )
-    runs = runs.filter(F.col("n_words") >= run_words)
-    return runs.select("row", "doc_id", "start", (F.col("end") - F.col("start")).alias("n_bytes"), "n_words", "first_doc_id", "is_copy")
+    run, long = W.partitionBy("row", "run"), F.col("n_words") >= run_words
+    copied = ~F.col("least").eqNullSafe(F.col("doc_id"))
+    parts = parts.withColumn("all_words", F.sum("n_words").over(run)).filter(F.col("all_words") >= run_words)
+    # Parts too short for passages of their own go with the long part before them (the first ones with the one after).
+    parts = parts.withColumn("passage", F.greatest(F.sum(long.cast("int")).over(run.orderBy("part")), F.lit(1)))
+    found = parts.groupBy("row", "doc_id", "run", "passage").agg(
+        F.min("start").alias("start"),
+        F.max("end").alias("end"),
+        F.sum("n_words").alias("n_words"),
+        F.coalesce(F.max(F.when(long, F.col("least"))), F.min("least")).alias("first_doc_id"),
+        F.coalesce(F.max(F.when(long, copied)), F.max(copied)).alias("is_copy"),
+        F.collect_list(F.when(copied, F.struct("start", (F.col("end") - F.col("start")).alias("n_bytes")))).alias("copies"),
+    )
+    return found.select("row", "doc_id", "start", (F.col("end") - F.col("start")).alias("n_bytes"), "n_words", "first_doc_id", "is_copy", "copies")
 
 
 def remove_copies(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
     """docs without the passages that documents of lesser ids hold already; found as `passages` returns it. Matches by doc_id."""
     ship(docs.sparkSession)
-    spans = found.filter("is_copy").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "n_bytes"))).alias("copy_spans"))
+    spans = found.select("doc_id", F.explode("copies").alias("span")).groupBy("doc_id").agg(F.sort_array(F.collect_set("span")).alias("copy_spans"))
     joined = docs.join(spans, "doc_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,4 +226,4 @@ def remove_copies(docs: DataFrame, found: DataFrame, text: str = "text") -> Data
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
-    return passages(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("row")
+    return passages(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("row", "copies")

@@ -202,6 +202,17 @@ def test_query_2(docs, folder, spark):
     assert substring.passages(docs(rows).limit(0)).count() == 0
 
 
+def test_overlapping_passages_keep_one_copy_of_each_part(docs):
+    a, b, c = passage(31, 120), passage(32, 120), passage(33, 120)
+    df = docs([(3, f"{a} {b}"), (5, f"{a} {b} {c}"), (9, f"{b} {c}")])
+    found = substring.passages(df)
+    assert {(r.doc_id, r.first_doc_id, r.is_copy) for r in found.collect()} >= {(3, 3, False), (5, 3, True), (5, 5, False), (9, 3, True), (9, 5, True)}
+    clean = {r.doc_id: r.text for r in substring.remove_copies(df, found).collect()}
+    words = lambda text: set(text.split())
+    assert clean[3] == f"{a} {b}" and len(words(c) - words(clean[5])) == 0
+    assert len(words(clean[5]) & words(a)) <= 5 and len(words(clean[9])) <= 60
+
+
 @pytest.mark.parametrize("longest", [1, 3, 8])
 def test_each_passage_of_51_words_has_a_run_of_25(longest):
     rng = np.random.default_rng(longest)
