@@ -8,7 +8,8 @@ into one SQL expression, so scanning is a projection: no join, no shuffle, no ro
 The labelled findings are made from a rule (`labelled`), `LABELLED` rows; pass any other DataFrame of (value, before, label) to
 `train` to use findings of your own. The bound is the parameter; the scan itself covers every character of every text.
 
-Defined results: null and empty texts have no findings; a value found several times in a text is one finding with its count; equal
+Defined results: null and empty texts have no findings; a value found several times in a text is one finding with its count, the
+place of the first and the score of the highest occurrence, each scored with its own neighbouring words; equal
 rows are scanned alike; a value of any length is one candidate, scored and redacted as a whole.
 """
 
@@ -149,19 +150,33 @@ def scan(docs: DataFrame, text: str = "text", out: str = "findings", forest: str
     body = F.coalesce(F.col(text), F.lit(""))
 
     def described(v: Column) -> Column:
-        start = F.position(v, body)
-        low = F.greatest(start - CONTEXT, F.lit(1))
-        before = F.substr(body, low, start - low)
-        f = F.struct(*(c.alias(n) for c, n in zip(features(v, before), NAMES, strict=True)))
-        return F.struct(v.alias("value"), start.cast("int").alias("start"), f.alias("f"))
+        # The text is split at the value: a piece's end, and what precedes it, are the words before one occurrence.
+        literal = F.concat(F.lit(r"\Q"), F.replace(v, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+        pieces = F.split(body, literal, -1)
+        n = F.size(pieces) - 1
+        back = F.ceil(F.lit(CONTEXT) / F.length(v)).cast("int")
+
+        def place(i: Column) -> Column:
+            joined = F.call_function("array_join", F.slice(pieces, F.greatest(i - back, F.lit(1)), F.least(i, back + 1)), v)
+            before, after = F.right(joined, F.lit(CONTEXT)), F.element_at(pieces, i + 1)
+            inside = before.rlike("[A-Za-z0-9]$") | after.rlike("^[A-Za-z0-9]") | ((after == "") & (i < n) & v.rlike("^[A-Za-z0-9]"))
+            return F.struct(inside.alias("inside"), F.struct(*(c.alias(k) for c, k in zip(features(v, before)[-3:], NAMES[-3:], strict=True))).alias("f"))
+
+        places = F.array_distinct(F.transform(F.sequence(F.lit(1), n), place))
+        # Parts of longer tokens are no occurrences of their own, unless there is no other.
+        alone = F.filter(places, lambda p: ~p["inside"])
+        own = F.struct(*(c.alias(k) for c, k in zip(features(v, F.lit(""))[:-3], NAMES[:-3], strict=True)))
+        start = F.length(F.element_at(pieces, 1)) + 1
+        return F.struct(v.alias("value"), start.cast("int").alias("start"), n.alias("count"), own.alias("own"), F.when(F.size(alone) > 0, alone).otherwise(places).alias("places"))
 
     found = F.transform(candidates(body), described)
     # The rows with candidates are few: the flag lets whole-stage code skip the rest of the work for all others.
     (held,) = fresh(docs.withColumn(out, F.lit(0)), "held_findings")
-    scored = f"transform({held}, x -> named_struct('value', x.value, 'start', x.start, 'score', {forest}))"
+    fields = ", ".join(f"'{k}', {'v.own' if k in NAMES[:-3] else 'p.f'}.{k}" for k in NAMES)
+    scores = f"transform(transform(v.places, p -> named_struct('f', named_struct({fields}))), x -> {forest})"
+    scored = f"transform({held}, v -> named_struct('value', v.value, 'start', v.start, 'count', v.count, 'score', array_max({scores})))"
     done = docs.withColumn(held, found).withColumn(out, F.expr(scored)).drop(held)
-    counted = lambda v: ((F.length(body) - F.length(F.replace(body, v))) / F.length(v)).cast("int")
-    return done.withColumn(out, F.transform(out, lambda x: F.struct(x["value"].alias("value"), x["start"].alias("start"), counted(x["value"]).alias("count"), F.round(x["score"], 9).alias("score"), (x["score"] >= THRESHOLD).alias("is_secret"))))
+    return done.withColumn(out, F.transform(out, lambda x: F.struct(x["value"].alias("value"), x["start"].alias("start"), x["count"].alias("count"), F.round(x["score"], 9).alias("score"), (x["score"] >= THRESHOLD).alias("is_secret"))))
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:

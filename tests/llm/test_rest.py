@@ -108,6 +108,17 @@ def test_scan_finds_secrets_and_leaves_the_rest(docs, folder, spark):
     assert secrets.scan(df.limit(0)).count() == 0
 
 
+def test_each_occurrence_is_scored(docs):
+    h = hashlib.sha256(b"1").hexdigest()[:40]
+    far = " and nothing more to say here of it, " * 3
+    rows = [(1, f'see commit {h}{far}token = "{h}"'), (2, f'token = "{h}"{far}see commit {h}'), (3, f"commit {h}{far}commit {h}"), (4, f'commit {h}{far}token = "{h}{h}"')]
+    found = {(r.doc_id, f.value): f for r in secrets.scan(docs(rows)).collect() for f in r.findings}
+    assert [found[i, h].is_secret for i in (1, 2, 3, 4)] == [True, True, False, False]
+    assert found[1, h]["count"] == 2 and found[1, h].start == 12
+    clean = {r.doc_id: r.text for r in secrets.redact(docs(rows)).collect()}
+    assert h not in clean[1] + clean[2] and clean[3] == rows[2][1]
+
+
 def test_long_secrets_are_found_whole(docs, spark):
     token = "".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(16))[:999]
     jwt = "eyJ" + base64.b64encode(b"".join(hashlib.sha256(str(i).encode()).digest() for i in range(40))).decode().rstrip("=")
