@@ -30,8 +30,15 @@ RUN = r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{20,}+"
 ASSIGNED = r"(?i)(?:token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)[a-z_]{0,16}[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"'<>]{8,}+)"
 HEADER = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"
 PREFIXED = r"^(AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk[-_]|AIza|eyJ|glpat-|npm_|-----BEGIN)"
+#: Such tokens wherever they begin: after any character that is no letter or digit; access key ids have a fixed form and length.
+TOKEN = r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:gh[pousr]_|xox[abprs]-|sk[-_]|AIza|eyJ|glpat-|npm_)[A-Za-z0-9+/_.=-]{4,}+"
 #: Word parts that ordinary identifiers and prose are made of.
 DICTIONARY = "able access account action admin after all and any app array at auth back base begin block body build by call change check class clean client code com common config content control copy count create data date db default delete dev dir doc domain end env error event example exit file filter first for form format from func get global group handler has hash head help home host html http id image import in index info init input int is item java job json key lang last length level lib line link list load local lock log main make manager map max message method min mode model module name new next node not null num object of on open option or order org out output package page param parse path plugin port post print process project property public query queue read ref release report request reset resource response result return role root run save schema script search select self server service session set size sort source start state static status stop store stream string sub sync system table tag target task temp test text the time to token tool top tree type undefined update url use user util val value version view web with word work write your".split()
+#: Words that follow a known prefix in ordinary names.
+WORDS = "learn buff estimator config lifecycle package registry skb widget engine lookup socket family common".split()
+#: What long words of letters are made of, and how they begin.
+SYLLABLES = "schaft dampf fahrt gesell donau ung lich keit ver inter nation al isation europ ment ique tion bund straf recht haus ober ante contra dis establish arian ism electro photo graph micro scop hydro geo logie psych auf sicht rat".split()
+CAPITALS = "Ar Be Do Ge Ka Lu Mi Ober Re Sta ar be do ge ka lu mi ober re sta".split()
 FIXED_WORDS = r"(?i)(example|sample|placeholder|change_?me|your[_-]|dummy|fake|xxxx|todo|redacted|1234567|abcdef0|test[_-]?(key|token|secret)|\.\.\.)"
 TELLING = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|credential|bearer|private|auth)"
 HARMLESS = r"(?i)(commit|sha-?\d*|md5|checksum|digest|hash|uuid|guid|revision|etag|integrity|version|id)\W{0,4}$"
@@ -74,7 +81,7 @@ def features(value: Column, before: Column) -> list[Column]:
 
 
 def labelled(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
-    """(value, before, label): twelve kinds of findings, six of them secrets, with material from a hash of the row number."""
+    """(value, before, label): fifteen kinds of findings, seven of them secrets, with material from a hash of the row number."""
     m = F.sha2(F.col("id").cast("string"), 256)
     m2 = F.sha2(F.concat(F.lit("x"), F.col("id").cast("string")), 256)
     mixed = F.translate(F.concat(F.base64(F.unhex(m)), F.base64(F.unhex(m2))), "+/=", "aZ0")
@@ -98,6 +105,9 @@ def labelled(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
         (F.regexp_replace(F.substring(m, 1, 32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), pick(["uuid=", "id: ", "request id ", "the "], 26), 0),
         (F.concat(pick(["src/", "/usr/local/", "https://www.", "com.example."], 27), F.call_function("concat_ws", pick(["/", "."], 28), parts), pick(["", ".py", ".java", ".html", "/"], 29)), plain, 0),
         (pick(["your-token-goes-here", "CHANGE_ME_PLEASE", "example_api_key_value", "insert.your.secret.here", "test_token_1234567890", "REDACTED_REDACTED_REDACTED", "placeholder_placeholder"], 30), telling, 0),
+        (F.concat(pick(["ghp_", "xoxb-", "sk-", "sk_", "npm_", "glpat-"], 31), F.substr(mixed, F.lit(1), between(8, 24, 32))), F.concat(plain, pick(["", 'token="'], 33)), 1),
+        (F.call_function("concat_ws", F.lit("_"), F.concat(pick(["sk-", "sk_", "npm_"], 34), pick(WORDS, 35)), pick([None, *DICTIONARY[:20], *WORDS], 36)), F.concat(plain, pick(["", "key: ", "import "], 37)), 0),
+        (F.concat(pick(CAPITALS, 38), F.call_function("array_join", F.slice(F.array(*(pick(SYLLABLES, 40 + i) for i in range(9))), F.lit(1), between(4, 9, 39)), F.lit(""))), plain, 0),
     ]
     at = F.pmod("id", len(kinds))
     case = lambda k: reduce(lambda acc, i: acc.when(at == i, kinds[i][k] if k < 2 else F.lit(kinds[i][2])), range(1, len(kinds)), F.when(at == 0, kinds[0][k] if k < 2 else F.lit(kinds[0][2])))
@@ -138,8 +148,8 @@ def default_forest(spark: SparkSession) -> str:
 
 
 def candidates(text: Column) -> Column:
-    runs = F.filter(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), lambda v: v.rlike("[0-9]"))
-    trimmed = F.transform(F.concat(runs, F.regexp_extract_all(text, F.lit(ASSIGNED), F.lit(1))), lambda v: F.regexp_replace(v, r"[.,;:)\]}]+$|^[.=-]{1,3}(?=\w)", ""))
+    found = F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(g)) for p, g in ((RUN, 0), (ASSIGNED, 1), (TOKEN, 0))))
+    trimmed = F.transform(found, lambda v: F.regexp_replace(v, r"[.,;:)\]}]+$|^[.=-]{1,3}(?=\w)", ""))
     return F.array_distinct(F.filter(F.concat(trimmed, F.regexp_extract_all(text, F.lit(HEADER), F.lit(0))), lambda v: F.length(v) >= 8))
 
 
@@ -150,9 +160,10 @@ def scan(docs: DataFrame, text: str = "text", out: str = "findings", forest: str
     body = F.coalesce(F.col(text), F.lit(""))
 
     def described(v: Column) -> Column:
-        # The text is split at the value: a piece's end, and what precedes it, are the words before one occurrence.
-        literal = F.concat(F.lit(r"\Q"), F.replace(v, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-        pieces = F.split(body, literal, -1)
+        # The text is split at the value: a piece's end, and what precedes it, are the words before one occurrence. A mark that no
+        # text holds stands for the value, since a long one makes a slow pattern.
+        mark = F.concat(F.lit("\uffff"), F.md5(F.encode(body, "UTF-8")))
+        pieces = F.split(F.replace(body, v, mark), mark, -1)
         n = F.size(pieces) - 1
         back = F.ceil(F.lit(CONTEXT) / F.length(v)).cast("int")
 
