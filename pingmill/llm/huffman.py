@@ -4,11 +4,15 @@
    tasks (one row for each id of the vocabulary) give the code lengths by package-merge, at most `LIMIT` bits.
 2. Documents are range-sorted by id and written as blocks. A block holds whole documents up to about `BLOCK` ids (a longer one has
    a block of its own) and is independent: payload, ids and lengths of its documents, the number of ids before it in its part, and
-   the bit offset of every `LANE`-th id. The files are Parquet, so that Spark's commit protocol covers them.
-3. Reading looks up `LIMIT` bits at once in a table; all lanes of a block are decoded side by side from their checkpoints.
-
-Defined results: null and empty texts have the end id only; rows of equal doc_id follow each other; a null doc_id comes first; an
-empty table gives files without blocks; ids outside the counted ones cannot occur, since all are counted.
+   the 64-bit bit offset of every `LANE`-th id. The files are Parquet, so that Spark's commit protocol covers them.
+3. The code's lengths are stored beside the blocks (`code/`: id, bits), so any later session reads the files from their folder alone.
+4. Reading looks up `LIMIT` bits at once in a table; all lanes of a block are decoded side by side from their checkpoints.
+
+Defined results: null and empty texts have the end id only; strings of special tokens in a text are treated as the library treats
+them by default (they become special ids; `special_as_text` makes them ordinary text); rows of equal doc_id follow each other by
+number of ids and then by a hash of them, so reruns write the same order and such rows can be split over parts; a null doc_id comes
+first; an empty table gives files without blocks; ids outside the counted ones cannot occur, since all are counted; columns other
+than doc_id and the text are not read, so none can clash. A block is one binary value: a document's payload must stay under 2 GiB.
 """
 
 from __future__ import annotations
@@ -20,9 +24,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -34,7 +39,7 @@ AT_ONCE = 6 << 20
 FIRST, MARKS = "\udc00", ".,;:!?"
 _SPACES = r"\s\x1c-\x1f\x85"
 
-_BLOCKS = "part int, block int, first long, n_ids int, doc_ids array<long>, doc_lengths array<int>, checkpoints array<int>, payload binary"
+_BLOCKS = "part int, block int, first long, n_ids long, doc_ids array<long>, doc_lengths array<long>, checkpoints array<long>, payload binary"
 
 
 # ---- the code
@@ -102,7 +107,7 @@ class Code:
             words[word[first]] += np.add.reduceat(value >> np.uint64(32), first)
             words[word[first] + 1] += np.add.reduceat(value & np.uint64(0xFFFFFFFF), first)
         size = (int(ends[-1]) + 7) // 8 if len(ids) else 0
-        return words.astype(">u4").tobytes()[:size], at[::LANE].astype(np.int32)
+        return words.astype(">u4").tobytes()[:size], at[::LANE].astype(np.int64)
 
     def unpack(self, blocks: list[tuple[bytes, np.ndarray, int]]) -> list[np.ndarray]:
         """Ids of several blocks (payload, checkpoints, number of ids); the lanes of all of them advance together."""
@@ -148,12 +153,12 @@ class Encoder:
     the library encodes each distinct chunk once, and chunks are remembered in two generations of bounded size.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = special_as_text
         size = self.library.get_vocab_size()
         self.size = size
         self.opens = np.array([(self.library.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
@@ -225,25 +230,25 @@ class Encoder:
         return encode_by_chunks(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), self._chunks, self._whole)
 
 
-_encoders: dict[str, Encoder] = {}
-_codes: dict[str, Code] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
+    """One encoder a worker process: its memory of chunks serves all of the worker's tasks."""
+    if (path, special_as_text) not in _encoders:
+        _encoders[path, special_as_text] = Encoder(path, special_as_text)
+    return _encoders[path, special_as_text]
 
 
 # ---- Spark
 
 
-def encode_ids(docs: DataFrame, vocabulary: str, text: str = "text", end: int | None = END) -> DataFrame:
+def encode_ids(docs: DataFrame, vocabulary: str, text: str = "text", end: int | None = END, special_as_text: bool = False) -> DataFrame:
     """Rows (doc_id, n, ids) for documents, and rows (id, n, null) at the end of each task: how often it met each id."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, special_as_text)
         counts = np.zeros(max(enc.size, (end or 0) + 1), np.int64)
         tail = b"" if end is None else int(end).to_bytes(enc.width, "little")
         for batch in batches:
@@ -267,7 +272,7 @@ def global_code(encoded: DataFrame, limit: int = LIMIT) -> Code:
 
 
 def write_blocks(encoded: DataFrame, code: Code, path: str, kind: str, width: int) -> None:
-    """Blocks of all documents in ascending doc_id order, as files in `path`."""
+    """Blocks of all documents in ascending order of (doc_id, number of ids, hash of the ids), as files in `path`."""
     parts = int(encoded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lengths = code.lengths
 
@@ -281,7 +286,7 @@ def write_blocks(encoded: DataFrame, code: Code, path: str, kind: str, width: in
             nonlocal held, n, number, first
             payload, checkpoints = packer.pack(np.frombuffer(b"".join(x for _, x in held), kind).astype(np.int64))
             row = [part], [number], [first], [n], [[d for d, _ in held]], [[len(x) // width for _, x in held]], [checkpoints], [payload]
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary())
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3, pa.binary())
             out = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names=[c.split()[0] for c in _BLOCKS.split(", ")])
             number, first, held, n = number + 1, first + n, [], 0
             return out
@@ -296,8 +301,23 @@ def write_blocks(encoded: DataFrame, code: Code, path: str, kind: str, width: in
         if held:
             yield close()
 
-    rows = encoded.filter("ids IS NOT NULL").select("doc_id", "ids")
-    rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, _BLOCKS).write.option("compression", "none").parquet(path)
+    rows = encoded.filter("ids IS NOT NULL").select("doc_id", "n", F.xxhash64("ids").alias("h"), "ids")
+    order = ["doc_id", "n", "h"]
+    rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, _BLOCKS).write.option("compression", "none").parquet(path)
+
+
+def save_code(spark: SparkSession, code: Code, path: str) -> None:
+    """The code as a table (limit, id, bits), at most one row an id of the vocabulary."""
+    used = np.flatnonzero(code.lengths)
+    rows = pd.DataFrame({"limit": np.full(len(used), code.limit, np.int32), "id": used.astype(np.int64), "bits": code.lengths[used].astype(np.int32)})
+    spark.createDataFrame(rows, "limit int, id long, bits int").coalesce(1).write.parquet(path)
+
+
+def load_code(spark: SparkSession, path: str) -> Code:
+    rows = spark.read.parquet(path).toPandas()  # one row an id of the vocabulary at most
+    lengths = np.zeros(int(rows["id"].max()) + 1 if len(rows) else 1, np.int64)
+    lengths[rows["id"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    return Code(lengths, int(rows["limit"].iloc[0]) if len(rows) else LIMIT)
 
 
 def read_documents(blocks: DataFrame, code: Code, want_ids: bool = False) -> DataFrame:
@@ -327,18 +347,18 @@ def read_documents(blocks: DataFrame, code: Code, want_ids: bool = False) -> Dat
     return blocks.mapInArrow(run, "part int, at long, doc_id long, n_tokens long, ids_crc32 long, ids binary")
 
 
-def token_files(docs: DataFrame, vocabulary: str, path: str) -> Code:
-    """Encodes docs(doc_id, text) and writes the block files; returns the code that reads them."""
-    encoded, held = written(encode_ids(docs, vocabulary), "ids")
+def token_files(docs: DataFrame, vocabulary: str, path: str, special_as_text: bool = False) -> None:
+    """Encodes docs(doc_id, text) and writes the block files and their code under `path`."""
+    encoded, held = written(encode_ids(docs, vocabulary, special_as_text=special_as_text), "ids")
     code = global_code(encoded)
-    write_blocks(encoded, code, path, *vocabulary_kind(vocabulary))
+    write_blocks(encoded, code, f"{path}/blocks", *vocabulary_kind(vocabulary))
+    save_code(docs.sparkSession, code, f"{path}/code")
     discard(docs.sparkSession, held)
-    return code
 
 
-def read_files(spark, path: str, code: Code, want_ids: bool = False) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (, ids) from block files."""
-    blocks = spark.read.parquet(path)
+def read_files(spark: SparkSession, path: str, want_ids: bool = False) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (, ids) from the files under `path`."""
+    code, blocks = load_code(spark, f"{path}/code"), spark.read.parquet(f"{path}/blocks")
     # One row a part: its window without keys sees as many rows as there are files.
     before = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
     rows = read_documents(blocks, code, want_ids).join(F.broadcast(before), "part")
@@ -350,5 +370,5 @@ def op3(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = new_path(spark, "token-files")
-    code = token_files(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), path)
-    return read_files(spark, path, code)
+    token_files(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), path)
+    return read_files(spark, path)

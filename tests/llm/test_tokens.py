@@ -141,16 +141,18 @@ def test_blocks_round_trip(values, seed):
     assert all((a == b).all() for a, b in zip(cut, back, strict=True))
 
 
-def library():
+def library(special_as_text=False):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+    if special_as_text:
+        t.encode_special_tokens = True
     return t
 
 
-def test_encoder_equals_the_library():
-    enc, t = huffman.Encoder(public_tokenizers.path("byte_bpe_50k.json")), library()
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_encoder_equals_the_library(special_as_text):
+    enc, t = huffman.Encoder(public_tokenizers.path("byte_bpe_50k.json"), special_as_text), library(special_as_text)
     rnd = random.Random(5)
-    texts = ODD + ["".join(rnd.choice(["a", "The", " ", " ", "  ", "\n", ",", "é", "’s", "'s", "12", "漢"]) for _ in range(rnd.randint(0, 12))) for _ in range(3000)]
+    texts = ODD + ["".join(rnd.choice(["a", "The", " ", " ", "  ", "\n", ",", "é", "’s", "'s", "12", "漢", "<|endoftext|>"]) for _ in range(rnd.randint(0, 12))) for _ in range(3000)]
     for got, text in zip(enc.encode(texts + [None]), texts + [""], strict=True):
         assert np.frombuffer(got, enc.kind).tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
 
@@ -171,8 +173,15 @@ def test_query_3(docs, folder, spark):
 
 
 def test_files_hold_the_ids(docs, spark):
-    path = new_path(spark, "test")
-    code = huffman.token_files(docs([(2, "b b"), (1, "a"), (None, None)]).select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), path)
-    rows = huffman.read_files(spark, path, code, want_ids=True).orderBy("start").collect()
-    assert [r.doc_id for r in rows] == [None, 1, 2]
-    assert [np.frombuffer(r.ids, "<u4").tolist()[-1] for r in rows] == [2, 2, 2]
+    vocabulary, t = public_tokenizers.path("byte_bpe_50k.json"), library()
+    texts = [(2, "b b"), (1, "a <|endoftext|> b"), (None, None), (2, "c"), (2, "b d")]
+    df = docs(texts).withColumn("IDS", F.lit("mine"))
+    paths = [new_path(spark, "test") for _ in range(2)]
+    for path, rows in zip(paths, (df, df.repartition(3)), strict=True):
+        huffman.token_files(rows, vocabulary, path)
+    # Another session reads them: nothing but the folder's name is passed on.
+    one, two = (huffman.read_files(spark.newSession(), path, want_ids=True).orderBy("start").collect() for path in paths)
+    assert one == two and [r.doc_id for r in one] == [None, 1, 2, 2, 2]
+    want = {(i, *t.encode(x or "", add_special_tokens=False).ids, 2) for i, x in texts}
+    assert {(r.doc_id, *np.frombuffer(r.ids, "<u4").tolist()) for r in one} == want and (1, 64, 220, 50256, 275, 2) in want
+    assert [r.n_tokens for r in one[2:]] == sorted(r.n_tokens for r in one[2:])
