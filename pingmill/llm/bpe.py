@@ -9,17 +9,21 @@ once, so lookahead ends after the longest token. States and transitions are made
 Two neighbours stay apart if no merge crosses their border: the pieces that stand at the border while each token is built are
 compared in the order in which the merges happen.
 
-Decoding joins the tokens' bytes and passes them through an incremental UTF-8 state machine that holds back the bytes of an
-unfinished character at the end of each step.
+Decoding joins the tokens' bytes and passes them through an incremental UTF-8 state machine. Its state is what may follow: how many
+bytes are missing and the range of the next one. It gives out whole characters, holds back an unfinished one from step to step, and
+takes a sequence as malformed at the first byte that cannot continue it (ids in any order may spell such bytes).
 
 Defined results: null and empty texts have no tokens; every other text decodes to itself, byte for byte; equal texts have equal
-ids; texts of any length are read in steps of bounded size (a run without white space is one piece, as the pattern has it).
+ids; texts of any length are read in steps of bounded size (a run without white space is one piece, as the pattern has it); repeated
+rows are all kept; an empty table gives an empty result; new columns whose names the table has already get leading underscores. A
+vocabulary must hold all 256 bytes, else a ValueError names the missing ones.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import sys
 from array import array
 from collections.abc import Iterable, Iterator
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 from pingmill.llm.common import encode_by_chunks, fresh, ship, table, text_slices
 
 #: White space as the Unicode property has it.
-SPACE = r"\t\n\x0B\f\r \x85\xA0  -     　"
+SPACE = r"\t\n\x0B\f\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 MOST_STATES = 250_000
 MOST_PAIRS = 500_000
 #: Chunks remembered by each of two generations, and the longest chunk remembered.
@@ -44,6 +48,8 @@ NEVER = 1 << 60
 
 class Transducer:
     def __init__(self, ranks: dict[bytes, int], most_states: int = MOST_STATES):
+        if lacking := [b for b in range(256) if bytes([b]) not in ranks]:
+            raise ValueError(f"the vocabulary has no token for the bytes {lacking}")
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.most_states = most_states
@@ -193,32 +199,70 @@ class Transducer:
         return out
 
 
-class Utf8Stream:
-    """Passes bytes on, but for the beginning of a character whose end has not come yet."""
-
-    def __init__(self) -> None:
-        self.held = b""
-
-    @staticmethod
-    def unfinished(data: bytes) -> int:
-        """How many bytes at the end begin a character that may still be completed."""
-        for back in range(1, min(3, len(data)) + 1):
-            lead = data[-back]
-            if lead & 0xC0 == 0x80:
-                continue
-            need = 2 if 0xC2 <= lead <= 0xDF else 3 if lead & 0xF0 == 0xE0 else 4 if 0xF0 <= lead <= 0xF4 else 1
-            return back if need > back else 0
-        return 0
+def _leads() -> dict[int, tuple[int, int, int]]:
+    """First byte of a character of several bytes -> how many follow, and the range of the next one."""
+    out = {b: (1, 0x80, 0xBF) for b in range(0xC2, 0xE0)}
+    out |= {b: (2, 0x80, 0xBF) for b in range(0xE0, 0xF0)} | {b: (3, 0x80, 0xBF) for b in range(0xF0, 0xF5)}
+    # No overlong forms, no surrogates, nothing beyond U+10FFFF.
+    return out | {0xE0: (2, 0xA0, 0xBF), 0xED: (2, 0x80, 0x9F), 0xF0: (3, 0x90, 0xBF), 0xF4: (3, 0x80, 0x8F)}
+
+
+LEADS = _leads()
+HIGH = re.compile(rb"[\x80-\xff]+")
+REPLACEMENT = "\ufffd".encode()
+
+
+class Utf8Machine:
+    """Incremental UTF-8: feed() gives the bytes of whole characters. A malformed sequence (the longest beginning of a character that
+    cannot go on) is counted, and comes out as it is or, with `replace`, as one U+FFFD."""
+
+    def __init__(self, replace: bool = False) -> None:
+        self.replace, self.malformed = replace, 0
+        self.held, self.missing, self.low, self.high = bytearray(), 0, 0, 0
+
+    def _reject(self, out: bytearray, sequence: bytes) -> None:
+        self.malformed += 1
+        out += REPLACEMENT if self.replace else sequence
+        self.held, self.missing = bytearray(), 0
+
+    def _step(self, out: bytearray, byte: int) -> None:
+        if self.missing:
+            if self.low <= byte <= self.high:
+                self.held.append(byte)
+                self.missing, self.low, self.high = self.missing - 1, 0x80, 0xBF
+                if not self.missing:
+                    out += self.held
+                    self.held = bytearray()
+                return
+            self._reject(out, self.held)
+        if byte in LEADS:
+            self.held.append(byte)
+            self.missing, self.low, self.high = LEADS[byte]
+        else:
+            self._reject(out, bytes([byte]))
 
     def feed(self, data: bytes) -> bytes:
-        data = self.held + data
-        n = self.unfinished(data)
-        self.held = data[len(data) - n :]
-        return data[: len(data) - n]
+        if not self.missing and data.isascii():  # the machine stays in its first state
+            return data
+        out, at = bytearray(), 0
+        for run in HIGH.finditer(data):
+            self._ascii(out, data[at : run.start()])
+            for byte in run[0]:
+                self._step(out, byte)
+            at = run.end()
+        self._ascii(out, data[at:])
+        return bytes(out)
+
+    def _ascii(self, out: bytearray, data: bytes) -> None:
+        if data and self.missing:
+            self._reject(out, self.held)
+        out += data
 
     def finish(self) -> bytes:
-        rest, self.held = self.held, b""
-        return rest
+        out = bytearray()
+        if self.missing:
+            self._reject(out, self.held)
+        return bytes(out)
 
 
 class Codec:
@@ -296,9 +340,9 @@ class Codec:
     def encode(self, text: str | None) -> bytes:
         return self.encode_all(pa.array([text], pa.string()))[0]
 
-    def decode(self, packed: bytes, ids_at_once: int = 1 << 16) -> Iterator[bytes]:
-        """The text's bytes, cut between characters only."""
-        stream, bytes_of = Utf8Stream(), self.bytes_of
+    def decode(self, packed: bytes, ids_at_once: int = 1 << 16, replace: bool = False) -> Iterator[bytes]:
+        """The text's bytes, cut between characters only. replace: always well-formed, with U+FFFD for malformed sequences."""
+        stream, bytes_of = Utf8Machine(replace), self.bytes_of
         step = 4 * ids_at_once
         for at in range(0, len(packed), step):
             ids = memoryview(packed[at : at + step]).cast("I")

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import itertools
 import random
 import struct
 import zlib
@@ -67,14 +68,41 @@ def test_transducer_against_plain_merging(codec):
 
 def test_stream_never_cuts_a_character():
     data = "aé漢😀".encode() * 50
-    s = bpe.Utf8Stream()
+    s = bpe.Utf8Machine()
     parts = [s.feed(data[i : i + 3]) for i in range(0, len(data), 3)]
-    assert b"".join(parts) + s.finish() == data
+    assert b"".join(parts) + s.finish() == data and s.malformed == 0
     for p in parts:
         p.decode()
-    s = bpe.Utf8Stream()
-    assert s.feed(b"a\xf0\x9f") == b"a" and s.finish() == b"\xf0\x9f"
-    assert bpe.Utf8Stream().feed(b"\xff\x80a") == b"\xff\x80a"
+    s = bpe.Utf8Machine()
+    assert s.feed(b"a\xf0\x9f") == b"a" and s.finish() == b"\xf0\x9f" and s.malformed == 1
+
+
+def test_machine_on_all_malformed_prefixes():
+    """Every sequence of up to four bytes from the borders of all ranges, fed byte by byte and whole, against the library's decoder."""
+    edges = [0x41, 0x7F, 0x80, 0x8F, 0x90, 0x9F, 0xA0, 0xBF, 0xC0, 0xC2, 0xDF, 0xE0, 0xE1, 0xED, 0xEF, 0xF0, 0xF1, 0xF4, 0xF5, 0xFF]
+    for n in range(1, 5):
+        for combo in itertools.product(edges, repeat=n):
+            data = bytes(combo)
+            one, raw, whole = bpe.Utf8Machine(replace=True), bpe.Utf8Machine(), bpe.Utf8Machine(replace=True)
+            parts = [one.feed(bytes([b])) for b in data] + [one.finish()]
+            assert "".join(p.decode() for p in parts) == data.decode("utf-8", "replace"), data
+            assert (whole.feed(data) + whole.finish()).decode() == data.decode("utf-8", "replace"), data
+            assert raw.feed(data) + raw.finish() == data and raw.malformed == one.malformed == whole.malformed
+
+
+def test_ids_in_any_order_decode(codec):
+    rnd = random.Random(9)
+    for _ in range(200):
+        picked = [rnd.randrange(50_000) for _ in range(30)]
+        data = b"".join(codec.bytes_of[i] for i in picked)
+        packed = struct.pack("<30I", *picked)
+        assert b"".join(codec.decode(packed, ids_at_once=4)) == data
+        assert b"".join(codec.decode(packed, ids_at_once=4, replace=True)).decode() == data.decode("utf-8", "replace")
+
+
+def test_a_vocabulary_must_hold_all_bytes():
+    with pytest.raises(ValueError, match="97"):
+        bpe.Transducer({bytes([b]): b for b in range(256) if b != 97})
 
 
 def test_query_1(docs, folder, spark, reference):
