@@ -56,6 +56,26 @@ def test_position_inverts_the_demand(spark):
         assert off < 1e-9
 
 
+def test_any_stretch_of_positions_holds_its_share_of_the_words(docs):
+    """Places are normalised over all sources: the words up to a position are that share of all words taken."""
+    rows = [(i, "w " * (1 + i % 9), None, "abc"[(i % 10 > 5) + (i % 10 > 8)], 0) for i in range(3000)]
+    places = sorted((p.position, r.size) for r in mixing.mix(docs(rows)).collect() for p in r.placements)
+    total, seen = sum(n for _, n in places), 0
+    for at, n in places:
+        assert abs(seen / total - at) < 0.01
+        seen += n
+
+
+def test_schedule_gives_each_row_its_own_places(docs):
+    rows = [(i, "w " * (1 + i % 5), None, "ab"[i % 2], 0) for i in range(60)] + [(7, "other words", None, "a", 0), (None, "x y", None, "a", 0), (None, "x y", None, "a", 0)]
+    df = docs(rows).withColumn("mix_row", F.monotonically_increasing_id()).withColumn("H", F.lit(2))
+    taken = [r.mix_row for r in mixing.schedule(df).collect()]
+    want = mixing.mix(df, row_id="mix_row").collect()
+    assert {r.row: len(r.placements) for r in want if r.placements} == {k: taken.count(k) for k in set(taken)}
+    order = sorted((p.position, r.h, r.row) for r in want for p in r.placements)
+    assert [x for *_, x in order[:5]] == taken[:5]
+
+
 def test_mix(docs, folder, spark, monkeypatch):
     monkeypatch.setattr(mixing, "CELL", 4)
     monkeypatch.setattr(mixing, "BLOCK", 2)
