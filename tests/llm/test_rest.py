@@ -204,6 +204,52 @@ def test_language(docs, folder, spark):
     assert clash.columns[-2:] == ["_lang_pred", "score"]
 
 
+def test_probes_return_every_language_of_an_ngram(spark):
+    """Against plain sets: no language is ever missing, and too many are as rare as the false-positive rates say."""
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").filter("lang IS NOT NULL").select("text", "lang")
+    filters = language.learn(rows)
+    sets = {}
+    for r in rows.collect():
+        for keys, _ in language.pieces([r.text]):
+            sets.setdefault(r.lang, set()).update(keys.tolist())
+    assert filters.languages == sorted(sets)
+    grams = sorted(set().union(*sets.values()))
+    extra = 0
+    for gram, found in zip(grams, filters.languages_of(np.array(grams, np.uint64)), strict=True):
+        want = {x for x, held in sets.items() if gram in held}
+        assert want <= set(found)
+        extra += len(set(found) - want)
+    assert extra <= 10 + 2 * len(grams) * filters.false_rate[: len(sets)].sum()
+
+
+def test_predictions_against_plain_sets(spark, monkeypatch):
+    """The operator against its definition with dictionaries instead of filters; few and crowded slots change no certain answer."""
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").filter("lang IS NOT NULL").select("text", "lang").limit(150)
+    counts = {}
+    texts = [r.text for r in rows.collect()]
+    for r in rows.collect():
+        for keys, _ in language.pieces([r.text]):
+            mine = counts.setdefault(r.lang, {})
+            for k in keys.tolist():
+                mine[k] = mine.get(k, 0) + 1
+    share = {x: {k: n / sum(c.values()) for k, n in c.items()} for x, c in counts.items()}
+    top = {}
+    for c in share.values():
+        for k, p in c.items():
+            top[k] = max(p, top.get(k, 0))
+    typical = {x: {k for k, p in c.items() if p >= language.MIN_FREQUENCY and p >= language.RATIO * top[k]} for x, c in share.items()}
+    got = language.learn(rows).predict(texts)
+    monkeypatch.setattr(language, "MOST_SLOTS", 1 << 15)
+    crowded = language.learn(rows).predict(texts)
+    for text, name, score, name2, score2 in zip(texts, *got, *crowded, strict=True):
+        keys = np.concatenate([k for k, _ in language.pieces([text])] or [np.zeros(0, np.uint64)]).tolist()
+        if not keys:
+            assert (name, score) == ("und", 0.0)
+            continue
+        want = {x: (sum(k in share[x] for k in keys) + sum(k in typical[x] for k in keys)) / 2 / len(keys) for x in share}
+        assert abs(want[name] - score) < 0.02 and abs(max(want.values()) - score) < 0.02 and abs(score2 - score) < 0.1
+
+
 def test_pieces_give_the_same_grams():
     text = "Der schnelle Fuchs, éàü springt! " * 40
     whole = np.concatenate([k for k, _ in language.pieces([text, None, "", text])])
