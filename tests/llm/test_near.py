@@ -53,27 +53,67 @@ def test_fingerprints():
         assert simhash.fingerprint(t) == plain_fingerprint(t), repr(t)[:40]
 
 
-def test_search_equals_all_pairs():
-    rng = np.random.default_rng(4)
-    base = rng.integers(0, 2**64, 40, dtype=np.uint64)
-    noise = np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (20, 40, 3), dtype=np.uint64), axis=2)
-    fps = np.unique(np.concatenate([base, (base ^ noise).ravel()]))
-    q, leaf = simhash.search(simhash.build(fps), fps)
-    want = {(i, j) for i in range(len(fps)) for j in range(len(fps)) if int(fps[i] ^ fps[j]).bit_count() <= 3}
-    assert set(zip(q.tolist(), leaf.tolist(), strict=True)) == want
-
-
-@pytest.mark.parametrize("slab", [2048, 16])
-def test_links_give_the_components_of_all_pairs(spark, slab):
+def near_pairs(fps):
+    return {(i, j) for i in range(len(fps)) for j in range(len(fps)) if int(fps[i] ^ fps[j]).bit_count() <= 3}
+
+
+def some_fingerprints(seed, bases, copies, bits=3):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2**64, bases, dtype=np.uint64)
+    noise = np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (copies, bases, bits), dtype=np.uint64), axis=2)
+    return np.unique(np.concatenate([base, (base ^ noise).ravel()]))
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 8, 9, 800])
+def test_a_tree_finds_all_pairs(n):
+    fps = some_fingerprints(4, 40, 20)[:n]
+    fps = fps[np.argsort(simhash.ranks(fps))]
+    q, leaf = simhash.Tree.of(fps).search(fps)
+    assert set(zip(q.tolist(), leaf.tolist(), strict=True)) == near_pairs(fps)
+
+
+def test_every_query_prunes_groups_of_the_index(spark):
+    """The index over the fingerprints of sf0.1, as the tasks build it: nodes are visited and groups pruned for each query."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").repartition(8)
+    prints = simhash.fingerprints(docs).select("fp").distinct().persist()
+    top, cuts = simhash.upper_nodes(prints)
+    fps = np.array([r.fp for r in prints.collect()], np.int64).view(np.uint64)
+    assert len(cuts) + 1 == len(fps) // simhash.LEAF and len(top.levels) >= 3
+    for k in range(0, len(fps), 50):
+        top.visited = top.pruned = 0
+        top.search(fps[k : k + 1])
+        assert top.visited > top.pruned > 0
+    own, ranges, work = {}, {}, 0
+    for node, kind, blob in simhash.route(top, cuts, fps):
+        own.setdefault((node, kind), []).append(np.frombuffer(blob, np.uint64))
+    for (node, kind), blobs in own.items():
+        if kind == 0:
+            ranges[node] = simhash.Range(np.concatenate(blobs))
+    for (node, kind), blobs in own.items():
+        if kind == 1:
+            list(ranges[node].meet(np.concatenate(blobs)))
+    assert all(r.tree.visited > 0 for r in ranges.values()) and sum(r.tree.pruned for r in ranges.values()) > 0
+    work = sum(r.tree.visited for r in ranges.values())
+    assert work < 0.25 * len(fps) ** 2  # all pairs would be met twice
+    prints.unpersist()
+
+
+def test_gray_ranks(spark):
+    fps = some_fingerprints(5, 30, 3)
+    rows = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long").select("fp", simhash.gray_rank(F.col("fp")).alias("r")).collect()
+    assert simhash.ranks(np.array([r.fp for r in rows]).view(np.uint64)).tolist() == [r.r for r in rows]
+
+
+@pytest.mark.parametrize("nodes", [1024, 5, 1])
+def test_links_give_the_components_of_all_pairs(spark, nodes):
     rng = np.random.default_rng(7)
-    base = rng.integers(0, 2**64, 30, dtype=np.uint64)
-    hot = base[0] ^ (np.uint64(1) << rng.integers(0, 64, 150, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 150, dtype=np.uint64))
-    near = (base[:, None] ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (30, 4, 2), dtype=np.uint64), axis=2)).ravel()
-    fps = np.unique(np.concatenate([base, hot, near]))
-    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    fps = some_fingerprints(7, 30, 4, 2)
+    hot = fps[0] ^ (np.uint64(1) << rng.integers(0, 64, 150, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 150, dtype=np.uint64))
+    odd = np.array([0, 7, 1 << 63, (1 << 63) | 5, (1 << 40) | (1 << 20) | 1, 2**64 - 1], np.uint64)
+    fps = np.unique(np.concatenate([fps, hot, odd]))
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long").repartition(5)
     signed = fps.view(np.int64).tolist()
-    found = [(r.a, r.b) for r in simhash.links(df, slab).collect()]
-    assert all((a ^ b) % 2**64 >= 0 for a, b in found)
+    found = [(r.a, r.b) for r in simhash.links(df, nodes).collect()]
     all_pairs = [(a, b) for k, a in enumerate(signed) for b in signed[:k] if ((a ^ b) % 2**64).bit_count() <= 3]
     assert groups(found, signed) == groups(all_pairs, signed)
 
@@ -92,15 +132,14 @@ def test_query_4(docs, folder, spark):
     assert simhash.near_groups(docs(rows).limit(0)).count() == 0
 
 
-def test_other_layouts_find_every_link(spark, monkeypatch):
-    fps = [0, 7, 1 << 63, (1 << 63) | 5, (1 << 40) | (1 << 20) | 1]
-    signed = [x - 2**64 if x >> 63 else x for x in fps]
-    df = spark.createDataFrame([(x,) for x in signed], "fp long")
-    want = groups([(a, b) for k, a in enumerate(signed) for b in signed[:k] if ((a ^ b) % 2**64).bit_count() <= 3], signed)
-    for layout in ((5, 2), (6, 3)):
-        monkeypatch.setattr(simhash, "layout", lambda n, layout=layout: layout)
-        assert groups([(r.a, r.b) for r in simhash.links(df).collect()], signed) == want
-    assert simhash.layout(10**10)[0] == 5 or simhash.layout(10**10)[0] == 6
+def test_keep_one_of_odd_rows(docs):
+    text = "alpha beta gamma delta epsilon zeta eta theta"
+    rows = [(5, text), (5, "quite another text of five words"), (3, text.upper()), (None, text), (None, "a text without an id at all"), (None, "a text without an id at all"), (9, None), (8, "")]
+    df = docs(rows).withColumn("near_key", F.lit("mine")).withColumn("FP", F.lit(1))
+    got = simhash.keep_one(df)
+    assert got.columns == df.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, [(3, text.upper()), (5, rows[1][1]), (None, rows[4][1]), (8, "")]))
+    assert simhash.keep_one(df.limit(0)).count() == 0
 
 
 # ---- spherical caps
