@@ -1,20 +1,24 @@
 """Embedding near-dedup by spherical-cap filters.
 
-Filter directions are all sums of one code vector from each of a few blocks of coordinates (a random product code), so that
-millions of directions need a few hundred vectors. A vector is list-decoded to every direction whose product with it exceeds the
-threshold: partial sums that cannot reach it with the best remaining blocks are dropped, so the work follows the output. Vectors
-meet in the filters that both exceed; their cosine is then verified in double precision, so no link under the bound is returned.
+Filter directions are structured random product codes: a table is a random rotation and, for each of a few blocks of coordinates,
+some random code vectors; its directions are all sums of one code vector a block, so that millions of directions need a few hundred
+vectors. A vector is list-decoded to every direction whose product with it exceeds the threshold: partial sums that cannot reach it
+with the best remaining blocks are dropped, so the work follows the output. Vectors meet in the filters that both exceed; their
+cosine is then verified in double precision, so no link under the bound is returned.
 
-The threshold is chosen from the number of vectors so that unrelated vectors share few filters, and the number of directions so
-that a pair at the bound shares `EXPECTED` filters on average; recall therefore does not depend on the number of vectors.
+The threshold is chosen from the number of vectors so that about `CROWD` unrelated ones share a filter. Tables are added until pairs
+of random vectors exactly at the bound meet with a share of `RECALL` (measured on such pairs, which closer ones exceed); recall
+therefore depends neither on the number of vectors nor on their length.
 
-Equal vectors are one class (an aggregate), so copies never multiply. A pair that meets in several filters counts in the least of
-them, which both rows' filter lists tell. Filters with more than `SLAB` classes are cut into slabs, and all pairs of slabs are
-compared in tasks of their own. Tasks return sums of links and the edges of a spanning forest, never the pairs.
+Equal vectors are one class (an aggregate), so copies never multiply. What a filter gets is the class's vector and the short list of
+its filter numbers. A pair that meets in several filters counts in the least of them, which both lists tell. Filters with more than
+`SLAB` classes are cut into slabs, and all pairs of slabs are compared in tasks of their own. Tasks return sums of links and the
+edges of a spanning forest, never the pairs.
 
 Defined results: null, empty and zero vectors and those with null, NaN or infinite components link with nothing (0 links, a
-component of their own); vectors of different length do not link; rows of equal vec_id count as separate vectors in n_links and
-share a component; a null vec_id links with nothing and has a null component; an empty table gives an empty result.
+component of their own); vectors of different length do not link; rows of equal vec_id are vectors of their own, each with its own
+links and component; a null vec_id links with nothing and has a null component; an empty table gives an empty result; columns other
+than vec_id and v are not read, so none can clash.
 """
 
 from __future__ import annotations
@@ -27,10 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pingmill.llm.common import ship, table, written
+from pingmill.llm.common import discard, ship, table, written
 from pingmill.llm.graph import components
 
-BOUND, EXPECTED, CROWD, SLAB, RUN, MOST_CODE = 0.9, 9.0, 0.5, 1024, 4096, 640
+BOUND, RECALL, CROWD, SLAB, RUN = 0.9, 0.96, 64.0, 4096, 4096
+#: Filters that a pair at the bound shares in one table on average, code vectors of a block at most, tables at most.
+SHARED, MOST_CODE, MOST_TABLES = 0.35, 2048, 128
+#: Pairs on which recall is measured, and cells compared at once.
+TRIALS, CELLS = 1000, 1 << 22
 SEED = 11
 
 
@@ -64,50 +72,75 @@ def cap_table(d: int, a: float) -> float:
     return float(np.interp(a, np.linspace(-1, 1, 401), _tables[d]))
 
 
-class ProductCode:
-    """Code vectors by block, and the threshold, for vectors of one length."""
+class CapFilters:
+    """Tables of product codes and the threshold for n vectors of d components."""
 
-    def __init__(self, d: int, n: int, bound: float = BOUND, expected: float = EXPECTED):
-        a = 0.35
-        while a < 0.9 and n * cap(d, a) > CROWD:
+    def __init__(self, d: int, n: int, bound: float = BOUND, recall: float = RECALL, crowd: float = CROWD):
+        a = 0.02
+        while a < 0.9 and n * cap(d, a) > crowd:
             a += 0.01
-        directions = max(64.0, expected / max(both_caps(d, a, bound), 1e-300))
-        self.blocks = max(1, min(d, math.ceil(math.log(directions) / math.log(MOST_CODE))))
-        self.size = math.ceil(directions ** (1 / self.blocks))
         self.threshold = a
-        rng = np.random.default_rng([SEED, d, self.blocks, self.size])
-        self.parts, self.codes = np.array_split(np.arange(d), self.blocks), []
-        for p in self.parts:
-            c = rng.standard_normal((self.size, len(p)))
-            self.codes.append(c / np.linalg.norm(c, axis=1, keepdims=True) / math.sqrt(self.blocks))
+        directions = max(4.0, SHARED / max(both_caps(d, a, bound), 1e-300))
+        self.blocks = min(d, max(2, math.ceil(math.log(directions) / math.log(MOST_CODE))))
+        self.size = math.ceil(directions ** (1 / self.blocks))
+        self.each = self.size**self.blocks
+        self.parts = np.array_split(np.arange(d), self.blocks)
+        self.tables: list[tuple[np.ndarray, list[np.ndarray]]] = []
+        one, two = self._pairs_at(d, bound)
+        met = np.zeros(TRIALS, bool)
+        while len(self.tables) < MOST_TABLES and met.mean() < recall:
+            self._add(d)
+            (i, x), (j, y) = self._table(len(self.tables) - 1, one), self._table(len(self.tables) - 1, two)
+            met[np.intersect1d(i * self.each + x, j * self.each + y) // self.each] = True
+
+    @staticmethod
+    def _pairs_at(d: int, bound: float) -> tuple[np.ndarray, np.ndarray]:
+        rng = np.random.default_rng([SEED, d])
+        u, w = (_unit(rng.standard_normal((TRIALS, d))) for _ in range(2))
+        if d == 1:
+            return u, u
+        w = _unit(w - (w * u).sum(axis=1, keepdims=True) * u)
+        return u, bound * u + math.sqrt(1 - bound * bound) * w
+
+    def _add(self, d: int) -> None:
+        rng = np.random.default_rng([SEED, d, len(self.tables)])
+        turn, _ = np.linalg.qr(rng.standard_normal((d, d)))
+        codes = [_unit(rng.standard_normal((self.size, len(p)))) / math.sqrt(self.blocks) for p in self.parts]
+        self.tables.append((turn, codes))
+
+    def _table(self, number: int, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, direction) of all directions of one table that unit vectors exceed."""
+        turn, codes = self.tables[number]
+        turned = vectors @ turn
+        scores = [turned[:, p] @ c.T for p, c in zip(self.parts, codes, strict=True)]
+        best = np.cumsum([s.max(axis=1) for s in reversed(scores)], axis=0)[::-1]
+        row, total, found = np.arange(len(vectors)), np.zeros(len(vectors)), np.zeros(len(vectors), np.int64)
+        for b, s in enumerate(scores):
+            need = self.threshold - (best[b + 1][row] if b + 1 < self.blocks else 0.0) - total
+            step = max(1, CELLS // self.size)
+            hits = [np.nonzero(s[row[at : at + step]] >= need[at : at + step, None]) for at in range(0, len(row), step)]
+            i = np.concatenate([x + k * step for k, (x, _) in enumerate(hits)]) if hits else row
+            code = np.concatenate([y for _, y in hits]) if hits else row
+            total, found, row = total[i] + s[row[i], code], found[i] * self.size + code, row[i]
+        return row, found
 
     def decode(self, vectors: np.ndarray) -> list[np.ndarray]:
         """For each unit vector the numbers of all directions that exceed the threshold, ascending."""
-        scores = [vectors[:, p] @ c.T for p, c in zip(self.parts, self.codes, strict=True)]
-        best = np.cumsum([s.max(axis=1) for s in reversed(scores)], axis=0)[::-1]
-        out = []
-        for i in range(len(vectors)):
-            sums, number = np.zeros(1), np.zeros(1, np.int64)
-            for b, s in enumerate(scores):
-                need = self.threshold - (best[b + 1][i] if b + 1 < self.blocks else 0.0)
-                row = s[i]
-                order = np.flatnonzero(row >= need - sums.max()) if len(sums) else np.zeros(0, np.int64)
-                total = sums[:, None] + row[order]
-                x, y = np.nonzero(total >= need)
-                sums, number = total[x, y], number[x] * self.size + order[y]
-            out.append(np.sort(number))
-        return out
+        pairs = [(row, k * self.each + found) for k in range(len(self.tables)) for row, found in [self._table(k, vectors)]]
+        row, found = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+        order = np.lexsort((found, row))
+        return np.split(found[order], np.cumsum(np.bincount(row, minlength=len(vectors)))[:-1])
 
 
 def classes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows: vec_id, k1, k2), (classes: k1, k2, rep, n, v) of the vectors that can link. Keys are 128 bits of hashes."""
+    """(rows: vec_id, k1, k2), (classes: cid, k1, k2, least, n, v) of the vectors that can link. Keys are 128 bits of hashes."""
     v = F.col("v")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0) & F.col("vec_id").isNotNull()
-    rows = vectors.withColumns({"k1": F.when(usable, F.xxhash64("v")), "k2": F.when(usable, F.xxhash64(F.lit(1), "v"))})
+    rows = vectors.select("vec_id", "v").withColumns({"k1": F.when(usable, F.xxhash64("v")), "k2": F.when(usable, F.xxhash64(F.lit(1), "v"))})
     rows, _ = written(rows, "vectors")
-    classes = rows.filter("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v"))
-    classes, _ = written(classes, "vector-classes")
+    classes = rows.filter("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first("v").alias("v"))
+    classes, _ = written(classes.select(F.monotonically_increasing_id().alias("cid"), "*"), "vector-classes")
     return rows.select("vec_id", "k1", "k2"), classes
 
 
@@ -116,50 +149,75 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def filtered(classes: DataFrame, codes: dict[int, ProductCode]) -> DataFrame:
-    """One row for each class and filter it exceeds: g, rep, n, v, and the class's filters."""
+def _matrix(vectors: pa.Array, d: int) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
+
+
+def listed(classes: DataFrame, codes: dict[int, CapFilters]) -> DataFrame:
+    """cid, n, v and the numbers of the filters that each class exceeds; those of different vector lengths never agree."""
+    first, start = {}, 0
+    for d, code in sorted(codes.items()):
+        first[d], start = start, start + len(code.tables) * code.each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                vectors = part.column("v")
-                sizes = np.array([len(x) for x in vectors])
-                for d in np.unique(sizes):
+                sizes = np.array([len(x) for x in part.column("v")])
+                for d in np.unique(sizes).tolist():
                     mine = part.filter(pa.array(sizes == d))
-                    flat = mine.column("v").flatten()
-                    unit = _unit(flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d))
-                    found = codes[int(d)].decode(unit)
-                    counts = np.array([len(f) for f in found])
-                    if not counts.sum():
-                        continue
-                    rows = pa.array(np.repeat(np.arange(len(found)), counts))
-                    g = np.concatenate(found) * 4096 + int(d) % 4096
-                    lists = pa.array(found, pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array(g), mine.column("rep").take(rows), mine.column("n").take(rows), mine.column("v").take(rows), lists.take(rows)], names=["g", "rep", "n", "v", "filters"])
+                    found = codes[d].decode(_unit(_matrix(mine.column("v"), d)))
+                    lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, found)]).astype(np.int32), pa.array(np.concatenate(found) + first[d]))
+                    yield pa.RecordBatch.from_arrays([*mine.columns, lists], names=["cid", "n", "v", "filters"])
 
     kind = classes.schema["v"].dataType.simpleString()
-    return classes.select("rep", "n", "v").mapInArrow(run, f"g long, rep long, n long, v {kind}, filters array<long>")
-
-
-def _pairs(u: np.ndarray, g: np.ndarray, slab: np.ndarray, bound: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Linked pairs (i < j) of rows of the same group, but not of the same slab if the group has two."""
-    n = len(u)
-    ends = np.flatnonzero(np.concatenate([g[1:] != g[:-1], [True]])) + 1
-    starts = np.concatenate([[0], ends[:-1]])
-    small = ends - starts <= 32
-    member = np.repeat(small, ends - starts)
-    for k in range(1, int((ends - starts)[small].max(initial=1))):
-        i = np.flatnonzero((g[k:] == g[: n - k]) & member[: n - k])
-        if not len(i):
-            break
-        hit = np.einsum("ij,ij->i", u[i], u[i + k]) >= bound
-        yield i[hit], i[hit] + k
-    for a, b in zip(starts[~small], ends[~small], strict=True):
+    return classes.select("cid", "n", "v").mapInArrow(run, f"cid long, n long, v {kind}, filters array<long>")
+
+
+def dealt(lists: DataFrame, slab: int) -> DataFrame:
+    """One row for each class and filter it exceeds: filter, x, y (slabs; 0, 0 where there is one), slab, cid, n, v, filters (packed).
+
+    Filters with more than `slab` classes are found from ids alone; vectors move once, with their filters.
+    """
+    met = lists.select("cid", F.explode("filters").alias("filter"))
+    sizes, _ = written(met.groupBy("filter").agg(F.count("*").alias("size")).filter(F.col("size") > slab), "crowded-filters")
+    parts = F.ceil(F.col("size") / slab).cast("int").alias("parts")
+    crowded = met.join(sizes.select("filter", parts), "filter").groupBy("cid").agg(F.collect_list(F.struct("filter", "parts")).alias("crowded"))
+    rows = lists.join(crowded, "cid", "left").select("cid", "n", "v", "filters", "crowded", F.pmod(F.xxhash64("cid"), F.lit(1 << 30)).alias("h"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["filter", "x", "y", "slab", "cid", "n", "v", "filters"]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                counts = np.array([len(x) for x in part.column("filters")])
+                row = np.repeat(np.arange(len(counts)), counts)
+                number = part.column("filters").flatten().to_numpy()
+                pieces = np.ones(len(row), np.int64)
+                ends = np.cumsum(counts)
+                for i, found in enumerate(part.column("crowded").to_pylist()):
+                    for f in found or ():
+                        k = ends[i] - counts[i]
+                        pieces[k + np.searchsorted(number[k : ends[i]], f["filter"])] = f["parts"]
+                other = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                own = np.repeat(part.column("h").to_numpy()[row] % pieces, pieces)
+                row, number = np.repeat(row, pieces), np.repeat(number, pieces)
+                packed = pa.array([x.values.to_numpy().astype("<i8").tobytes() for x in part.column("filters")], pa.binary())
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(np.minimum(own, other).astype(np.int32)), pa.array(np.maximum(own, other).astype(np.int32)), pa.array(own.astype(np.int32)), part.column("cid").take(take), part.column("n").take(take), part.column("v").take(take), packed.take(take)], names=names)
+
+    kind = lists.schema["v"].dataType.simpleString()
+    return rows.mapInArrow(run, f"filter long, x int, y int, slab int, cid long, n long, v {kind}, filters binary")
+
+
+def _pairs(u: np.ndarray, starts: np.ndarray, ends: np.ndarray, bound: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i < j) of rows of the same group whose product reaches the bound."""
+    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
         for low in range(a, b, 512):
             i, j = np.nonzero(u[low : min(low + 512, b)] @ u[low:b].T >= bound)
             keep = i < j
-            yield i[keep] + low, j[keep] + low
+            if keep.any():
+                yield i[keep] + low, j[keep] + low
 
 
 def _owns(filters: np.ndarray, a: np.ndarray, b: np.ndarray, shared: np.ndarray, starts: np.ndarray, ends: np.ndarray, owned: np.ndarray, span: int) -> np.ndarray:
@@ -177,45 +235,60 @@ def _owns(filters: np.ndarray, a: np.ndarray, b: np.ndarray, shared: np.ndarray,
     return out
 
 
+def _changes(t: pa.RecordBatch) -> np.ndarray:
+    """Where groups (filter, x, y) begin, but for the first."""
+    f, x, y = (t.column(c).to_numpy() for c in ("filter", "x", "y"))
+    return np.flatnonzero((f[1:] != f[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
+
+
 def _verify(bound: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pingmill.llm.simhash import unite
 
         def solve(t: pa.RecordBatch) -> pa.RecordBatch | None:
-            g, rep, n = (t.column(c).to_numpy() for c in ("g", "rep", "n"))
-            group, slab, crossed = (t.column(c).to_numpy(zero_copy_only=False) for c in ("filter", "slab", "crossed"))
-            sizes = np.array([len(x) for x in t.column("v")])
-            ids, where = np.unique(rep, return_inverse=True)
-            links, parent = np.zeros(len(ids), np.int64), np.arange(len(ids))
-            first = np.full(len(ids), -1)
-            first[where[::-1]] = np.arange(len(rep))[::-1]
-            lists = t.column("filters").take(pa.array(first))
-            shared, ends = lists.flatten().to_numpy(), np.cumsum([len(x) for x in lists])
-            starts = np.concatenate([[0], ends[:-1]])
-            span = int(shared.max()) + 1
-            owned = np.repeat(np.arange(len(ids)), ends - starts) * span + shared  # ascending, since each list is
-            for d in np.unique(sizes):
+            cid, n, group, x, y, slab = (t.column(c).to_numpy() for c in ("cid", "n", "filter", "x", "y", "slab"))
+            sizes = np.array([len(v) for v in t.column("v")])
+            groups = np.cumsum(np.bincount(_changes(t), minlength=len(cid)))
+            pairs = []
+            for d in np.unique(sizes).tolist():
                 at = np.flatnonzero(sizes == d)
-                flat = t.column("v").take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)
-                u = _unit(flat.astype(np.float64).reshape(-1, d))
-                for i, j in _pairs(u, g[at], slab[at], bound):
+                mine = groups[at]
+                ends = np.append(np.flatnonzero(mine[1:] != mine[:-1]) + 1, len(at))
+                u = _unit(_matrix(t.column("v").take(pa.array(at)), d))
+                for i, j in _pairs(u, np.concatenate([[0], ends[:-1]]), ends, bound):
                     i, j = at[i], at[j]
-                    keep = ~(crossed[i] & (slab[i] == slab[j])) & (rep[i] != rep[j])
-                    i, j = i[keep], j[keep]
-                    own = _owns(group[i] >> 12, where[i], where[j], shared, starts, ends, owned, span)
-                    i, j = i[own], j[own]
-                    links += np.bincount(where[i], n[j], len(ids)).astype(np.int64) + np.bincount(where[j], n[i], len(ids)).astype(np.int64)
-                    parent = unite(parent, where[i], where[j])
+                    # In a group of two slabs only pairs across them count: each slab has a group of its own.
+                    keep = (x[i] == y[i]) | (slab[i] != slab[j])
+                    pairs.append((i[keep], j[keep]))
+            i, j = (np.concatenate([p[k] for p in pairs]) for k in (0, 1)) if pairs else (cid[:0], cid[:0])
+            if not len(i):
+                return None
+            # Filter lists are unpacked for the classes with links only.
+            ids, first, where = np.unique(cid, return_index=True, return_inverse=True)
+            linked = np.unique(np.concatenate([where[i], where[j]]))
+            number = np.full(len(ids), -1)
+            number[linked] = np.arange(len(linked))
+            lists = [np.frombuffer(t.column("filters")[int(first[k])].as_buffer(), "<i8") for k in linked]
+            ends = np.cumsum([len(x) for x in lists])
+            starts = np.concatenate([[0], ends[:-1]])
+            shared = np.concatenate(lists)
+            span = int(shared.max()) + 1
+            owned = np.repeat(np.arange(len(linked)), ends - starts) * span + shared  # ascending, since each list is
+            a, b = number[where[i]], number[where[j]]
+            own = _owns(group[i], a, b, shared, starts, ends, owned, span)
+            i, j, a, b = i[own], j[own], a[own], b[own]
+            links = np.bincount(a, n[j], len(linked)) + np.bincount(b, n[i], len(linked))
+            parent = unite(np.arange(len(linked)), a, b)
             touched = np.flatnonzero(links)
             if not len(touched):
                 return None
-            return pa.RecordBatch.from_arrays([pa.array(ids[touched]), pa.array(ids[parent[touched]]), pa.array(links[touched])], names=["a", "b", "links"])
+            names = ids[linked]
+            return pa.RecordBatch.from_arrays([pa.array(names[touched]), pa.array(names[parent[touched]]), pa.array(links[touched].astype(np.int64))], names=["a", "b", "links"])
 
         rest: pa.RecordBatch | None = None
         for batch in batches:
             rows = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
-            g = rows.column("g").to_numpy()
-            cuts, start = np.flatnonzero(g[1:] != g[:-1]) + 1, 0
+            cuts, start = _changes(rows), 0
             for k, cut in enumerate(cuts):
                 if cut - start >= RUN or k == len(cuts) - 1:
                     if (out := solve(rows.slice(start, cut - start))) is not None:
@@ -228,32 +301,24 @@ def _verify(bound: float):
     return run
 
 
-def near(vectors: DataFrame, bound: float = BOUND, expected: float = EXPECTED, slab: int = SLAB) -> DataFrame:
+def near(vectors: DataFrame, bound: float = BOUND, recall: float = RECALL, slab: int = SLAB) -> DataFrame:
     """vec_id, n_links, component_id for every row of vectors(vec_id, v)."""
     spark = vectors.sparkSession
     ship(spark)
     rows, classes = classes_of(vectors)
     lengths = classes.groupBy(F.size("v").alias("d")).count().collect()  # one row for each vector length
-    codes = {r["d"]: ProductCode(r["d"], r["count"], bound, expected) for r in lengths}
-    met, _ = written(filtered(classes, codes), "filters")
-    met = met.withColumnRenamed("g", "filter")
-    sizes = met.groupBy("filter").agg(F.count("*").alias("size")).filter("size > 1")
-    sizes, _ = written(sizes, "filter-sizes")
-    parts = F.ceil(F.col("size") / slab).cast("int")
-    # A filter may hold a third of all classes: a join of two plain exchanges, whose hot side Spark splits.
-    shared = met.join(sizes, "filter").withColumn("slab", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("parts", parts)
-    others = F.sequence(F.lit(0), F.col("parts") - 1)
-    shared = shared.withColumn("other", F.explode(others))
-    low, high = F.least("slab", "other"), F.greatest("slab", "other")
-    shared = shared.select(F.xxhash64("filter", low, high).alias("g"), "filter", "slab", (low != high).alias("crossed"), "rep", "n", "v", "filters")
-    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = shared.repartition(count, "g").sortWithinPartitions("g").mapInArrow(_verify(bound), "a long, b long, links long")
+    codes = {r["d"]: CapFilters(r["d"], r["count"], bound, recall) for r in lengths}
+    lists, held = written(listed(classes, codes), "filter-lists")
+    keys, count = ["filter", "x", "y"], int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = dealt(lists, slab).repartition(count, *keys).sortWithinPartitions(*keys).mapInArrow(_verify(bound), "a long, b long, links long")
     found, _ = written(found, "links")
-    links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    labels = components(found.filter("a <> b").select("a", "b"))
-    by_rep = classes.select("k1", "k2", "rep", "n").join(links, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    by_key = by_rep.select("k1", "k2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("label", "rep").alias("component_id"))
-    by_key, _ = written(by_key, "vector-results")
+    discard(spark, held)
+    links = found.groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
+    labels = components(found.filter("a <> b").select("a", "b")).withColumnRenamed("node", "cid")
+    by_class = classes.select("cid", "k1", "k2", "n", "least").join(links, "cid", "left").join(labels, "cid", "left")
+    by_class, _ = written(by_class.select("k1", "k2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("label", "cid").alias("label"), "least"), "linked-classes")
+    tops = by_class.groupBy("label").agg(F.min("least").alias("component_id"))
+    by_key, _ = written(by_class.join(tops, "label").select("k1", "k2", "n_links", "component_id"), "vector-results")
     # Vectors that link with nothing have no key; they stay out of the join, as would any null.
     linked = rows.filter("k1 IS NOT NULL").join(by_key, ["k1", "k2"]).select("vec_id", "n_links", "component_id")
     alone = rows.filter("k1 IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

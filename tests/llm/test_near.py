@@ -146,7 +146,7 @@ def test_keep_one_of_odd_rows(docs):
 
 
 def test_decoding_lists_every_exceeding_direction():
-    code = capfilter.ProductCode(12, 50)
+    code = capfilter.CapFilters(12, 50)
     rng = np.random.default_rng(3)
     v = rng.standard_normal((20, 12))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
@@ -154,49 +154,74 @@ def test_decoding_lists_every_exceeding_direction():
 
     for row, found in zip(v, code.decode(v), strict=True):
         want = []
-        for k, combo in enumerate(product(range(code.size), repeat=code.blocks)):
-            s = sum(float(row[p] @ c[i]) for p, c, i in zip(code.parts, code.codes, combo, strict=True))
-            if s >= code.threshold:
-                want.append(k)
+        for k, (turn, codes) in enumerate(code.tables):
+            for number, combo in enumerate(product(range(code.size), repeat=code.blocks)):
+                s = sum(float((row @ turn)[p] @ c[i]) for p, c, i in zip(code.parts, codes, combo, strict=True))
+                if s >= code.threshold:
+                    want.append(k * code.each + number)
         assert found.tolist() == want
 
 
-@pytest.mark.parametrize("slab", [1024, 8])
+def links_by_brute_force(ids, vectors):
+    m = np.array(vectors, np.float64)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    near = m @ m.T >= 0.9
+    np.fill_diagonal(near, False)
+    return dict(zip(ids, near.sum(axis=1).tolist(), strict=True)), near
+
+
+@pytest.mark.parametrize("slab", [4096, 8])
 def test_near_vectors(spark, slab):
     rng = np.random.default_rng(5)
     centres = rng.standard_normal((60, 32))
     rows = [(i, (centres[i % 60] + 0.22 * rng.standard_normal(32)).astype("float32").tolist()) for i in range(400)]
     rows += [(500 + i, rows[0][1]) for i in range(30)]  # copies
-    odd = [(900, None), (901, []), (902, [0.0] * 32), (903, [float("nan")] * 32), (904, [float("inf")] + [1.0] * 31), (905, [1.0, None]), (906, [3.0, 4.0]), (907, [6.0, 8.0]), (None, rows[0][1]), (0, rows[0][1])]
-    df = spark.createDataFrame(rows + odd, "vec_id long, v array<float>")
+    odd = [(900, None), (901, []), (902, [0.0] * 32), (903, [float("nan")] * 32), (904, [float("inf")] + [1.0] * 31), (905, [1.0, None]), (906, [3.0, 4.0]), (907, [6.0, 8.0]), (None, rows[0][1]), (7, rows[0][1])]
+    df = spark.createDataFrame(rows + odd, "vec_id long, v array<float>").withColumn("cid", F.lit("mine"))
     got = capfilter.near(df, slab=slab).collect()
     assert len(got) == len(rows + odd)
-    ids = [r[0] for r in rows] + [0]
-    m = np.array([r[1] for r in rows] + [rows[0][1]], np.float64)
-    m /= np.linalg.norm(m, axis=1, keepdims=True)
-    near = m @ m.T >= 0.9
-    np.fill_diagonal(near, False)
-    want = {}
-    for i, n in zip(ids, near.sum(axis=1), strict=True):
-        want[i] = int(n)
-    have = {r.vec_id: r.n_links for r in got if r.vec_id is not None and r.vec_id < 900}
-    assert all(have[i] <= want[i] for i in have) and sum(have.values()) >= 0.9 * sum(want.values())
+    want, near = links_by_brute_force([(i, 0) for i, _ in rows] + [(7, 1)], [v for _, v in rows] + [rows[0][1]])
+    have = {}
+    for r in got:
+        if r.vec_id is not None and r.vec_id < 900:
+            have.setdefault(r.vec_id, []).append((r.n_links, r.component_id))
+    least = want[0, 0]
+    copy = next(x for x in have.pop(7) if x[0] == max(n for n, _ in have[0]))  # the second row of id 7 is a copy of row 0
+    assert copy[1] == have[0][0][1] == have[515][0][1]
+    assert all(x[0][0] <= want[i, 0] for i, x in have.items())
+    assert sum(x[0][0] for x in have.values()) >= 0.95 * sum(n for (i, _), n in want.items() if i != 7) and least >= 31
     by = {r.vec_id: (r.n_links, r.component_id) for r in got if r.vec_id is not None}
     assert all(by[i] == (0, i) for i in range(900, 906)) and by[906] == (1, 906) and by[907] == (1, 906)
     assert [(r.n_links, r.component_id) for r in got if r.vec_id is None] == [(0, None)]
-    assert by[515][1] == by[0][1] == 0
-
-
-def test_recall_on_the_given_vectors(spark):
-    d = "/root/testdata/check_s"
-    df = spark.read.parquet(f"{d}/embeddings.parquet").filter("vec_id < 2500").select("vec_id", F.col("embedding").alias("v"))
-    got = {r.vec_id: r.n_links for r in capfilter.near(df).collect()}
-    rows = df.toPandas()
-    m = np.stack(rows.v.to_numpy()).astype(float)
-    m /= np.linalg.norm(m, axis=1, keepdims=True)
-    want = (m @ m.T >= 0.9).sum(axis=1) - 1
-    assert all(got[i] <= n for i, n in zip(rows.vec_id, want, strict=True))
-    assert sum(got.values()) >= 0.9 * want.sum() > 0
+    assert capfilter.near(df.limit(0)).count() == 0
+
+
+def test_recall_of_planted_pairs(spark):
+    """Pairs planted at cosines from 0.88 to 1 among unrelated vectors: recall against brute force, also just above the bound."""
+    rng = np.random.default_rng(17)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    one = unit(rng.standard_normal((1500, 64)))
+    other = rng.standard_normal((1500, 64))
+    other = unit(other - (other * one).sum(axis=1, keepdims=True) * one)
+    cosine = np.concatenate([rng.uniform(0.9005, 0.91, 500), np.linspace(0.88, 1, 1000)])[:, None]
+    m = np.concatenate([one, cosine * one + np.sqrt(1 - cosine**2) * other, unit(rng.standard_normal((1000, 64)))]).astype("float32")
+    df = spark.createDataFrame([(i, row) for i, row in enumerate(m.tolist())], "vec_id long, v array<float>").repartition(4)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in capfilter.near(df).collect()}
+    want, near = links_by_brute_force(range(len(m)), m)
+    assert all(got[i][0] <= n for i, n in want.items())  # no false link
+    assert all(c == i or near[i].any() for i, (_, c) in got.items())
+    assert sum(n for n, _ in got.values()) >= 0.95 * sum(want.values()) > 2000
+    tight = [i for i in range(500) if want[i] == 1 and want[1500 + i] == 1]
+    assert len(tight) > 400 and sum(got[i] == (1, i) and got[1500 + i] == (1, i) for i in tight) >= 0.9 * len(tight)
+
+
+def test_each_link_is_counted_once(spark):
+    """Vectors so close that they meet in nearly all their filters, many of them in crowded ones."""
+    rng = np.random.default_rng(3)
+    m = (rng.standard_normal(16) + 0.03 * rng.standard_normal((90, 16))).astype("float32")
+    df = spark.createDataFrame([(i, row) for i, row in enumerate(m.tolist())], "vec_id long, v array<float>")
+    for slab in (4096, 16):
+        assert {(r.n_links, r.component_id) for r in capfilter.near(df, slab=slab).collect()} == {(89, 0)}
 
 
 # ---- substrings
