@@ -3,18 +3,23 @@
 A gear hash (each byte shifts the hash left by one bit and adds that byte's random number) runs over the UTF-8 bytes of each word. A
 chunk begins at every word whose mixed hash (its own and that of the word before) is the least of any `SPAN` words in a row, so
 borders depend on nothing but the words near them, however short those are. Chunks of over `MOST` bytes are cut within by `borders`.
-Chunks whose digest occurs in two documents or more are repeated; a run of neighbouring repeated chunks with `RUN_WORDS` words or
-more is a repeated passage.
 
-A shared passage of n words has n - 1 hashes in common (the first needs the word before). Its first and last `SPAN` of them each
-name a border that all its documents have, and so do all borders between, so at least n - 2 * SPAN words lie in whole shared
-chunks: 25 of 51 words. Every shared passage of over 50 words is therefore found; some of 25 to 50 words are too.
+1. A stretch is a chunk and the next ones up to `STRETCH` words; its digest is made of theirs. Stretches whose digest occurs in two
+   documents or more are candidates. A shared passage of n words has n - 1 hashes in common (the first needs the word before). Its
+   first and last `SPAN` of them each name a border that all its documents have, and so do all borders between, so at least
+   n - 2 * SPAN words lie in whole shared chunks: 25 of 51. Every shared passage of `WORDS` words therefore holds a candidate.
+2. Neighbouring candidates that are neighbours in one other place too (the first or the last that holds them) are shared with that
+   one document; from `WORDS` words on they are a repeated passage.
+3. All other candidates, and their equals in other documents, are checked exactly: every `WORDS` words in a row around them are
+   hashed and looked up among those of the other documents. So a passage is never pieced together from shorter shared stretches.
 
-Digests are 64 bits: at 10^12 chunks one in 10^7 meets another's by accident, and a run needs several such neighbours.
+Digests are 64 bits: at 10^12 chunks one in 10^7 meets another's by accident, and a passage needs several such neighbours.
 
 Defined results: null and empty texts have no chunks; rows of equal doc_id are one document, so a passage that only they share is not
-repeated; a null doc_id is a document of its own kind, equal to other nulls; a passage repeated inside one document only is left
-alone; the document of the least id keeps the passage; an empty table gives no passages; long texts are hashed in windows.
+repeated; rows equal in id and text give one row a passage; a null doc_id is a document of its own kind, equal to other nulls; a
+passage repeated inside one document only is left alone; the document of the least id keeps the passage; an empty table gives no
+passages; long texts are hashed in windows; columns other than doc_id and the text are not read by `passages` and pass through
+`remove_copies`, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,15 +29,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pingmill.llm.common import discard, ship, table, written
+from pingmill.llm.common import discard, fresh, ship, spread, table, written
 
-BITS, LEAST, MOST, RUN_WORDS, SPAN, WINDOW = 5, 16, 160, 25, 13, 1 << 22
+BITS, LEAST, MOST, STRETCH, WORDS, SPAN, WINDOW = 5, 16, 160, 25, 51, 13, 1 << 22
+#: Chunks of a document told apart by their place; rows that are emitted at once.
+NUMBERS, AT_ONCE = 1 << 20, 50_000
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 16, 256, dtype=np.uint16)
+BASE = 0x9E3779B97F4A7C15
 
 
 def gear_hash(data: np.ndarray) -> np.ndarray:
@@ -112,118 +119,209 @@ def chunk_words(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.diff(np.searchsorted(starts, ends), prepend=0)
 
 
+def powers(n: int, base: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    if n:
+        out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def run_digests(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A 64-bit digest of values[first:last] for each pair: a polynomial of the values, free of their place, and mixed."""
+    n = len(values)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * powers(n, BASE), dtype=np.uint64)])
+    back = powers(n + 1, pow(BASE, -1, 2**64))
+    x = (sums[last] - sums[first]) * back[first] + (last - first).astype(np.uint64)
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def stretches(data: bytes, words: int = STRETCH) -> list[np.ndarray]:
+    """chunk number, start and end (bytes), first and end word, digest of every stretch of whole chunks with `words` words."""
+    starts, stops = word_bounds(data)
+    ends = np.array(cuts(data, starts, stops))
+    count = np.concatenate([[0], np.cumsum(chunk_words(starts, ends))])
+    last = np.searchsorted(count, count[:-1] + words)
+    first = np.flatnonzero(last <= len(ends))
+    last = last[first]
+    begins = np.concatenate([[0], ends[:-1]])
+    bounds = zip(begins[: int(last.max(initial=0))].tolist(), ends.tolist(), strict=False)
+    digests = np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in bounds), np.uint64)
+    return [first, begins[first], ends[last - 1], count[first], count[last], run_digests(digests, first, last)]
+
+
+def key_of(doc_id: Column, text: Column) -> Column:
+    """Names a row among those of its doc_id: 44 bits of a hash, above room for a chunk's number."""
+    return F.xxhash64(doc_id, text).bitwiseAND(F.lit(-NUMBERS))
+
+
+_PLACES = "doc_id long, place long, start long, end long, word long, end_word long, digest long"
+
+
+def _rows(held: list[tuple]) -> pa.RecordBatch:
+    """(doc_id, key, [columns]) of several documents as one batch."""
+    counts = [len(x[2][0]) for x in held]
+    ids = pa.array([x[0] for x in held], pa.int64()).take(pa.array(np.repeat(np.arange(len(held)), counts)))
+    columns = [np.concatenate([x[2][k] for x in held]).astype(np.uint64 if k == 5 else np.int64).view(np.int64) for k in range(6)]
+    columns[0] = np.repeat(np.array([x[1] for x in held], np.int64), counts) + columns[0] % NUMBERS
+    return pa.RecordBatch.from_arrays([ids, *map(pa.array, columns)], names=[c.split()[0] for c in _PLACES.split(", ")])
+
+
+def _emit(found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    size = 0
+    for x in found:
+        held.append(x)
+        size += len(x[2][0])
+        if size >= AT_ONCE:
+            yield _rows(held)
+            held, size = [], 0
+    if held:
+        yield _rows(held)
+
+
+def _keyed(docs: DataFrame, text: str) -> DataFrame:
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(doc_id.alias("doc_id"), key_of(doc_id, F.col(text)).alias("key"), F.col(text).alias("text"))
+
+
 def chunks(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Rows (row, doc_id, chunk, start, bytes, words, digest) for docs(doc_id, text)."""
+    """Rows (doc_id, place, start, end, word, end_word, digest) of all stretches of docs(doc_id, text)."""
     ship(docs.sparkSession)
-    names = ["row", "doc_id", "chunk", "start", "bytes", "words", "digest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, digest = TaskContext.get().partitionId() << 36, xxhash.xxh3_64_intdigest
-        for batch in batches:
-            held: list[tuple] = []
-            size = 0
-
-            def out(held) -> pa.RecordBatch:
-                lengths = [len(x[2]) for x in held]
-                ends = np.concatenate([x[2] for x in held])
-                starts = np.concatenate([np.concatenate([[0], x[2][:-1]]) for x in held])
-                rows = np.repeat(np.array([x[0] for x in held]), lengths)
-                first = np.repeat(np.cumsum(lengths) - lengths, lengths)
-                ids = pa.array([x[1] for x in held], pa.int64()).take(pa.array(np.repeat(np.arange(len(held)), lengths)))
-                number = np.arange(len(ends)) - first
-                columns = [pa.array(rows, pa.int64()), ids, pa.array(number.astype(np.int32)), pa.array(starts.astype(np.int64)), pa.array((ends - starts).astype(np.int32)), pa.array(np.concatenate([x[3] for x in held]).astype(np.int32)), pa.array(np.concatenate([x[4] for x in held]).view(np.int64))]
-                return pa.RecordBatch.from_arrays(columns, names=names)
-
-            for doc_id, body in zip(batch.column("doc_id").to_pylist(), batch.column(text), strict=True):
-                data = body.as_buffer().to_pybytes() if body.is_valid else b""
-                row += 1
-                if not data:
-                    continue
-                starts, stops = word_bounds(data)
-                ends = cuts(data, starts, stops)
-                digests = np.fromiter((digest(data[a:b]) for a, b in zip([0, *ends], ends, strict=False)), np.uint64, len(ends))
-                ends = np.array(ends)
-                held.append((row, doc_id, ends, chunk_words(starts, ends), digests))
-                size += len(ends)
-                if size >= 50_000:
-                    yield out(held)
-                    held, size = [], 0
-            if held:
-                yield out(held)
-
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text)
-    return source.mapInArrow(run, "row long, doc_id long, chunk int, start long, bytes int, words int, digest long")
-
-
-def passages(docs: DataFrame, text: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
-    """Repeated passages: row, doc_id, start and n_bytes (in UTF-8 bytes), n_words, first_doc_id, is_copy, copies.
-
-    A run whose stretches have different least documents gives a row for each stretch of `run_words` words or more, with the shorter
-    ones beside it. first_doc_id and is_copy are those of that stretch; if all are shorter, the least id and whether any is a copy.
-    copies names the bytes of which this document is not the least holder, so that every chunk stays in its least document.
+        def found():
+            for batch in batches:
+                for doc_id, key, body in zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), batch.column("text"), strict=True):
+                    if body.is_valid and len(body.as_buffer()):
+                        yield doc_id, key, stretches(body.as_buffer().to_pybytes())
+
+        yield from _emit(found())
+
+    return _keyed(docs, text).mapInArrow(run, _PLACES)
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """digest, least (document), first and last (place) of the digests that two documents or more hold."""
+    # Ids are compared through counts that tell nulls too, so that all nulls are one document.
+    of = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n"), F.count("doc_id").alias("with_id"), F.min("place").alias("first"), F.max("place").alias("last"))
+    return of.filter((F.col("least") != F.col("most")) | ((F.col("with_id") > 0) & (F.col("with_id") < F.col("n")))).select("digest", "least", "first", "last")
+
+
+def _exact(docs: DataFrame, regions: DataFrame, text: str) -> DataFrame:
+    """All runs of WORDS words around the regions(doc_id, key, spans), as rows like those of `chunks`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found():
+            for batch in batches:
+                columns = (batch.column(c) for c in ("text", "spans"))
+                for doc_id, key, body, spans in zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), *columns, strict=True):
+                    data = body.as_buffer().to_pybytes()
+                    starts, stops = word_bounds(data)
+                    flat = spans.values.flatten()
+                    low = np.maximum(np.searchsorted(starts, flat[0].to_numpy()) - (WORDS - 1), 0)
+                    high = np.minimum(np.searchsorted(starts, flat[1].to_numpy()) + WORDS - 1, len(starts))
+                    near = np.zeros(len(starts) + 1, np.int64)
+                    np.add.at(near, low, 1)
+                    np.add.at(near, high, -1)
+                    at = np.flatnonzero(np.cumsum(near)[:-1])
+                    hashes = np.zeros(len(starts), np.uint64)
+                    hashes[at] = np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(starts[at].tolist(), stops[at].tolist(), strict=True)), np.uint64, len(at))
+                    inside = np.cumsum(near)[:-1] > 0
+                    total = np.concatenate([[0], np.cumsum(inside)])
+                    first = np.arange(max(0, len(starts) - WORDS + 1))
+                    first = first[total[first + WORDS] - total[first] == WORDS]
+                    if len(first):
+                        last = first + WORDS
+                        yield doc_id, key, [first, starts[first], stops[last - 1], first, last, run_digests(hashes, first, last)]
+
+        yield from _emit(found())
+
+    a, b = _keyed(docs, text).filter("text IS NOT NULL").alias("a"), regions.alias("b")
+    # Spark broadcasts the regions by their measured size, or joins by key.
+    joined = a.join(b, (F.col("a.key") == F.col("b.key")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))).select("a.*", "b.spans")
+    return joined.mapInArrow(run, _PLACES)
+
+
+def passages(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Repeated passages: doc_id, key, start and n_bytes (in UTF-8 bytes), n_words, first_doc_id, is_copy, copies, kept.
+
+    first_doc_id is the least document that holds a part of it, is_copy whether a lesser document than this one holds a part. copies
+    are the bytes of shared parts that a lesser document holds, kept those of which this one is the least holder.
     """
-    every, _ = written(chunks(docs, text), "chunks")
-    # Ids are compared through a pair that sorts nulls too, so that all nulls are one document.
-    shared = every.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n"), F.count("doc_id").alias("with_id"))
-    shared = shared.filter((F.col("least") != F.col("most")) | ((F.col("with_id") > 0) & (F.col("with_id") < F.col("n")))).select("digest", "least")
-    shared, _ = written(shared, "shared-chunks")  # a plain table: the join's hot side can be split
-    repeated = every.join(shared, "digest").select("row", "doc_id", "chunk", "start", "bytes", "words", "least")
-    order = W.partitionBy("row").orderBy("chunk")
-    # A part is what neighbouring chunks of a run share with the same least document. The run decides whether it is a passage.
-    turn = F.when((F.col("chunk") == F.lag("chunk").over(order) + 1) & F.col("least").eqNullSafe(F.lag("least").over(order)), 0).otherwise(1)
-    parts = repeated.withColumns({"run": F.col("chunk") - F.row_number().over(order), "turn": turn}).withColumn("part", F.sum("turn").over(order))
-    parts = parts.groupBy("row", "doc_id", "run", "part", "least").agg(
-        F.min("start").alias("start"),
-        F.max(F.col("start") + F.col("bytes")).alias("end"),
-        F.sum("words").alias("n_words"),
-    )
-    run, long = W.partitionBy("row", "run"), F.col("n_words") >= run_words
-    copied = ~F.col("least").eqNullSafe(F.col("doc_id"))
-    parts = parts.withColumn("all_words", F.sum("n_words").over(run)).filter(F.col("all_words") >= run_words)
-    # Parts too short for passages of their own go with the long part before them (the first ones with the one after).
-    parts = parts.withColumn("passage", F.greatest(F.sum(long.cast("int")).over(run.orderBy("part")), F.lit(1)))
-    found = parts.groupBy("row", "doc_id", "run", "passage").agg(
-        F.min("start").alias("start"),
-        F.max("end").alias("end"),
-        F.sum("n_words").alias("n_words"),
-        F.coalesce(F.max(F.when(long, F.col("least"))), F.min("least")).alias("first_doc_id"),
-        F.coalesce(F.max(F.when(long, copied)), F.max(copied)).alias("is_copy"),
-        F.collect_list(F.when(copied, F.struct("start", (F.col("end") - F.col("start")).alias("n_bytes")))).alias("copies"),
-    )
-    return found.select("row", "doc_id", "start", (F.col("end") - F.col("start")).alias("n_bytes"), "n_words", "first_doc_id", "is_copy", "copies")
+    spark = docs.sparkSession
+    every, held = written(chunks(docs, text), "chunks")
+    shared, held_too = written(_shared(every), "shared-chunks")  # a plain table: the join's hot side can be split
+    key = F.col("place").bitwiseAND(F.lit(-NUMBERS))
+    repeated = every.join(shared, "digest").withColumn("key", key)
+    order = W.partitionBy("doc_id", "key").orderBy("place")
+    beside = lambda c: F.col(c) == F.lag(c).over(order) + 1
+    turns = {f"turn_{c}": F.sum(F.when(beside("place") & beside(c), 0).otherwise(1)).over(order) for c in ("first", "last")}
+    runs = repeated.withColumns(turns)
+    n_words = lambda c: F.max("end_word").over(W.partitionBy("doc_id", "key", f"turn_{c}")) - F.min("word").over(W.partitionBy("doc_id", "key", f"turn_{c}"))
+    alone = lambda c: F.col(c).bitwiseAND(F.lit(-NUMBERS)) != F.col("key")
+    sure = (alone("first") & (n_words("first") >= WORDS)) | (alone("last") & (n_words("last") >= WORDS))
+    runs, held_runs = written(runs.withColumn("sure", sure).select("doc_id", "key", "start", "end", "word", "end_word", "digest", "least", "sure"), "candidates")
+    discard(spark, held, held_too)
+    doubtful, _ = written(runs.filter(~F.col("sure")).select("digest").distinct(), "doubtful")
+    near = runs.join(doubtful, "digest", "left_semi").groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    near, held_near = written(near, "regions")
+    exact, held_exact = written(_exact(docs, near, text), "exact")
+    known, _ = written(_shared(exact).select("digest", "least"), "shared-exact")
+    columns = ["doc_id", "key", "start", "end", "word", "end_word", "least"]
+    found = runs.filter("sure").select(*columns).union(exact.join(known, "digest").withColumn("key", key).select(*columns))
+    # Overlapping parts are one passage. Parts with and without a lesser holder are merged by themselves first.
+    found = found.withColumn("own", F.col("least").eqNullSafe(F.col("doc_id"))).groupBy("doc_id", "key", "start", "own").agg(F.max("end").alias("end"), F.min("word").alias("word"), F.max("end_word").alias("end_word"), F.min("least").alias("least"))
+
+    def merged(rows: DataFrame, keys: list[str], *aggregates: Column) -> DataFrame:
+        w = W.partitionBy(*keys).orderBy("start")
+        before = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))
+        part = F.sum(F.when(F.col("start") < before, 0).otherwise(1)).over(w)
+        ends = [F.min("start").alias("start"), F.max("end").alias("end"), F.min("word").alias("word"), F.max("end_word").alias("end_word"), F.min("least").alias("least")]
+        return rows.withColumn("part", part).groupBy(*keys, "part").agg(*ends, *aggregates).drop("part")
+
+    spans = merged(found, ["doc_id", "key", "own"])
+    span = F.struct("start", (F.col("end") - F.col("start")).alias("n_bytes"))
+    lists = [F.collect_list(F.when(~F.col("own"), span)).alias("copies"), F.collect_list(F.when(F.col("own"), span)).alias("kept")]
+    out, _ = written(merged(spans, ["doc_id", "key"], *lists), "passages")
+    discard(spark, held_runs, held_near, held_exact)
+    return out.select("doc_id", "key", "start", (F.col("end") - F.col("start")).alias("n_bytes"), (F.col("end_word") - F.col("word")).alias("n_words"), F.col("least").alias("first_doc_id"), (F.size("copies") > 0).alias("is_copy"), "copies", "kept")
 
 
 def remove_copies(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
-    """docs without the passages that documents of lesser ids hold already; found as `passages` returns it. Matches by doc_id."""
+    """docs without the parts that documents of lesser ids hold already; found as `passages` returns it for the same docs.
+
+    A part that a document is the least to hold stays whole in it, so every shared stretch survives in one document at least.
+    """
     ship(docs.sparkSession)
-    spans = found.select("doc_id", F.explode("copies").alias("span")).groupBy("doc_id").agg(F.sort_array(F.collect_set("span")).alias("copy_spans"))
-    joined = docs.join(spans, "doc_id", "left")
+    key, cuts_, keep = fresh(docs, "copy_key", "copy_spans", "copy_kept")
+    spans = found.groupBy("doc_id", "key").agg(F.sort_array(F.flatten(F.collect_list("copies"))).alias(cuts_), F.sort_array(F.flatten(F.collect_list("kept"))).alias(keep))
+    doc_id = F.col("doc_id").cast("long")
+    a, b = docs.withColumn(key, key_of(doc_id, F.col(text))).alias("a"), spans.alias("b")
+    joined = a.join(b, (F.col(f"a.{key}") == F.col("b.key")) & F.col("a.doc_id").cast("long").eqNullSafe(F.col("b.doc_id")), "left").select("a.*", f"b.{cuts_}", f"b.{keep}").drop(key)
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bodies = []
-            for body, cuts in zip(batch.column(text), batch.column("copy_spans").to_pylist(), strict=True):
-                if not cuts or not body.is_valid:
+            for body, gone, stay in zip(batch.column(text), batch.column(cuts_).to_pylist(), batch.column(keep).to_pylist(), strict=True):
+                if not gone or not body.is_valid:
                     bodies.append(body.as_py())
                     continue
-                data, kept, at = body.as_buffer().to_pybytes(), [], 0
-                inside = lambda k: 0 < k < len(data) and data[k] & 0xC0 == 0x80
-                for cut in cuts:
-                    low, high = cut["start"], cut["start"] + cut["n_bytes"]
-                    while inside(low):
-                        low += 1
-                    while inside(high):
-                        high -= 1
-                    kept.append(data[at : max(at, low)])
-                    at = max(at, high)
-                kept.append(data[at:])
-                bodies.append(b"".join(kept).decode())
-            columns = {**{c: batch.column(c) for c in batch.schema.names if c != "copy_spans"}, text: pa.array(bodies, pa.string())}
-            yield pa.RecordBatch.from_pydict({c: columns[c] for c in names})
+                data = body.as_buffer().to_pybytes()
+                keeps = np.ones(len(data), bool)
+                for spans, value in ((gone, False), (stay, True)):
+                    for x in spans:
+                        keeps[x["start"] : x["start"] + x["n_bytes"]] = value
+                inner = (np.frombuffer(data, np.uint8) & 0xC0) == 0x80  # bytes after a character's first one share its fate
+                lead = np.maximum.accumulate(np.where(inner, 0, np.arange(len(data))))
+                bodies.append(np.frombuffer(data, np.uint8)[keeps[lead]].tobytes().decode())
+            columns = {**{c: batch.column(c) for c in names}, text: pa.array(bodies, pa.string())}
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
 
-    names = docs.columns
     return joined.mapInArrow(run, docs.schema)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
-    return passages(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("row", "copies")
+    return passages(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).drop("key", "copies", "kept")
