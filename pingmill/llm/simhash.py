@@ -292,8 +292,9 @@ def links(fps: DataFrame, nodes: int = NODES) -> DataFrame:
             kinds = (pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 3, kinds, strict=True)], names=["node", "kind", "fps"])
 
-    dealt = fps.select("fp").mapInArrow(deal, "node int, kind int, fps binary")
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Eight bytes a fingerprint make few splits of a long search: they are dealt over more tasks first.
+    dealt = fps.select("fp").repartition(n, "fp").mapInArrow(deal, "node int, kind int, fps binary")
     return dealt.repartition(n, "node").sortWithinPartitions("node", "kind").mapInArrow(_search, "a long, b long")
 
 
