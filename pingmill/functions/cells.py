@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -29,6 +29,17 @@ class Square:
         x, y = _pair(cell)
         return (x + 0.5) * self.degrees, (y + 0.5) * self.degrees
 
+    def sql(self) -> dict[str, str]:
+        """Bodies of the SQL functions of `register`."""
+        d, x, y = f"{self.degrees!r}D", *(f"try_cast(split(substring(cell, 2), '_')[{k}] AS BIGINT)" for k in (0, 1))
+        corners = ", ".join(f"named_struct('lon', ({x} + {a}) * {d}, 'lat', ({y} + {b}) * {d})" for a, b in ((0, 0), (1, 0), (1, 1), (0, 1)))
+        return {
+            "ping_cell": f"concat('g', CAST(CAST(floor(lon / {d}) AS BIGINT) AS STRING), '_', CAST(CAST(floor(lat / {d}) AS BIGINT) AS STRING))",
+            "cell_centroid_lon": f"({x} + 0.5D) * {d}",
+            "cell_centroid_lat": f"({y} + 0.5D) * {d}",
+            "cell_boundary": f"array({corners})",
+        }
+
     def outline(self, cell: Column) -> Column:
         x, y = _pair(cell)
         corner = lambda a, b: F.struct(((x + a) * self.degrees).alias("lon"), ((y + b) * self.degrees).alias("lat"))
@@ -55,6 +66,20 @@ class Hexagon:
         q, r = _pair(cell)
         return self.degrees * (3**0.5) * (q + r / 2), self.degrees * 1.5 * r
 
+    def sql(self) -> dict[str, str]:
+        """Bodies of the SQL functions of `register`."""
+        d = f"{self.degrees!r}D"
+        q, r = f"((lon * {3**0.5 / 3!r}D - lat / 3) / {d})", f"(lat * {2 / 3!r}D / {d})"
+        a, b, c = f"round({q})", f"round({r})", f"round(-{q} - {r})"
+        da, db, dc = f"abs({a} - {q})", f"abs({b} - {r})", f"abs({c} - (-{q} - {r}))"
+        x = f"CAST(CASE WHEN {da} > {db} AND {da} > {dc} THEN -{b} - {c} ELSE {a} END AS BIGINT)"
+        y = f"CAST(CASE WHEN {da} > {db} AND {da} > {dc} THEN {b} WHEN {db} > {dc} THEN -{a} - {c} ELSE {b} END AS BIGINT)"
+        i, j = (f"try_cast(split(substring(cell, 2), '_')[{k}] AS BIGINT)" for k in (0, 1))
+        lon, lat = f"({self.degrees * 3**0.5!r}D * ({i} + {j} / 2))", f"({self.degrees * 1.5!r}D * {j})"
+        half, size = self.degrees * 3**0.5 / 2, self.degrees
+        corners = ", ".join(f"named_struct('lon', {lon} + {p!r}D, 'lat', {lat} + {s!r}D)" for p, s in ((0.0, size), (half, size / 2), (half, -size / 2), (0.0, -size), (-half, -size / 2), (-half, size / 2)))
+        return {"ping_cell": f"concat('x', CAST({x} AS STRING), '_', CAST({y} AS STRING))", "cell_centroid_lon": lon, "cell_centroid_lat": lat, "cell_boundary": f"array({corners})"}
+
     def outline(self, cell: Column) -> Column:
         lon, lat = self.centre(cell)
         half, size = self.degrees * 3**0.5 / 2, self.degrees
@@ -69,6 +94,14 @@ def with_cells(pings: DataFrame, index=DEFAULT, out: str = "cell") -> DataFrame:
     return pings.withColumn(out, index.cell(F.col("longitude"), F.col("latitude")))
 
 
+def register(spark: SparkSession, index=DEFAULT) -> None:
+    """ping_cell(lon, lat), cell_centroid_lon(cell), cell_centroid_lat(cell) and cell_boundary(cell) for SQL text, as expressions."""
+    takes = {"ping_cell": "lon DOUBLE, lat DOUBLE"}
+    gives = {"ping_cell": "STRING", "cell_boundary": "ARRAY<STRUCT<lon: DOUBLE, lat: DOUBLE>>"}
+    for name, body in index.sql().items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({takes.get(name, 'cell STRING')}) RETURNS {gives.get(name, 'DOUBLE')} RETURN {body}")
+
+
 def centroids(cells: DataFrame, index=DEFAULT, cell: str = "cell") -> DataFrame:
     """cell, lat, lon of the distinct cells."""
     lon, lat = index.centre(F.col(cell))

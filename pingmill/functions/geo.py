@@ -22,29 +22,57 @@ def in_box(lon: Column, lat: Column, west: Column, south: Column, east: Column,
     return lon.between(west, east) & lat.between(south, north)
 
 
-def inside(lon: Column, lat: Column, ring: Column) -> Column:
-    """Even-odd rule: how many edges of the ring (array of lon/lat, open or closed) a ray to the east crosses."""
+def _edges(ring: Column) -> Column:
     n = F.size(ring)
-    edges = F.transform(ring, lambda p, i: F.struct(p.alias("a"), F.element_at(ring, ((i + 1) % n + 1).cast("int")).alias("b")))
+    return F.transform(ring, lambda p, i: F.struct(p.alias("a"), F.element_at(ring, ((i + 1) % n + 1).cast("int")).alias("b")))
+
+
+def on_edge(lon: Column, lat: Column, ring: Column) -> Column:
+    """Whether the point lies on an edge or a corner of the ring."""
+
+    def touches(e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        cross = (b["lon"] - a["lon"]) * (lat - a["lat"]) - (b["lat"] - a["lat"]) * (lon - a["lon"])
+        near = lon.between(F.least(a["lon"], b["lon"]), F.greatest(a["lon"], b["lon"])) & lat.between(F.least(a["lat"], b["lat"]), F.greatest(a["lat"], b["lat"]))
+        return (cross == 0) & near
+
+    return F.exists(_edges(ring), touches)
+
+
+def _crossings(lon: Column, lat: Column, ring: Column) -> Column:
+    """Even-odd rule: how many edges of the ring (array of lon/lat, open or closed) a ray to the east crosses."""
     crossed = F.filter(
-        edges,
+        _edges(ring),
         lambda e: ((e["a"]["lat"] > lat) != (e["b"]["lat"] > lat))
         & (lon < (e["b"]["lon"] - e["a"]["lon"]) * (lat - e["a"]["lat"]) / F.nullif(e["b"]["lat"] - e["a"]["lat"], F.lit(0.0)) + e["a"]["lon"]),
     )
-    return F.size(crossed) % 2 == 1
+    return F.size(crossed)
+
+
+def inside(lon: Column, lat: Column, ring: Column) -> Column:
+    """Strictly inside the ring: points on its edges and corners are outside."""
+    return (_crossings(lon, lat, ring) % 2 == 1) & ~on_edge(lon, lat, ring)
+
+
+def inside_area(lon: Column, lat: Column, ring: Column, holes: Column | None = None) -> Column:
+    """Strictly inside the ring and outside all holes (array of rings), whose edges count as holes."""
+    found = inside(lon, lat, ring)
+    if holes is None:
+        return found
+    return found & ~F.exists(F.coalesce(holes, F.array()), lambda h: (_crossings(lon, lat, h) % 2 == 1) | on_edge(lon, lat, h))
 
 
 def within(points: DataFrame, areas: DataFrame, tile: float = 0.05, name: str = "name") -> DataFrame:
-    """Left join of points(longitude, latitude) to areas(name, ring) that contain them; '' where none does.
+    """Left join of points(longitude, latitude) to areas(name, ring[, holes]) that strictly contain them; '' where none does.
 
     Areas are cut into tiles of their bounding boxes, so that the join has an equal key and only near candidates are tested.
     """
     at = lambda c: F.floor(c / F.lit(tile)).cast("long")
     edge = lambda f, c: f(F.transform("ring", lambda p: p[c]))
     tiles = areas.withColumn("tx", F.explode(F.sequence(at(edge(F.array_min, "lon")), at(edge(F.array_max, "lon")))))
-    tiles = tiles.withColumn("ty", F.explode(F.sequence(at(edge(F.array_min, "lat")), at(edge(F.array_max, "lat"))))).select(F.col(name).alias("area_name"), "ring", "tx", "ty")
+    tiles = tiles.withColumn("ty", F.explode(F.sequence(at(edge(F.array_min, "lat")), at(edge(F.array_max, "lat"))))).select(F.col(name).alias("area_name"), "ring", "tx", "ty", *(["holes"] if "holes" in areas.columns else []))
     p = points.withColumns({"tx": at(F.col("longitude")), "ty": at(F.col("latitude"))})
-    on = (p["tx"] == tiles["tx"]) & (p["ty"] == tiles["ty"]) & inside(p["longitude"], p["latitude"], tiles["ring"])
+    on = (p["tx"] == tiles["tx"]) & (p["ty"] == tiles["ty"]) & inside_area(p["longitude"], p["latitude"], tiles["ring"], tiles["holes"] if "holes" in areas.columns else None)
     return p.join(tiles, on, "left").select(*points.columns, F.coalesce("area_name", F.lit("")).alias(name))
 
 

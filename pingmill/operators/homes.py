@@ -27,13 +27,15 @@ def night_counts(pings: DataFrame, hours=NIGHT, cell: str = "cell") -> DataFrame
 def detect_homes(pings: DataFrame, hours=NIGHT, min_nights: int = 1, index=DEFAULT, cell: str = "cell", tz_offset_hours: int = 0) -> DataFrame:
     """maid, home_cell, n_home_pings, n_nights (distinct dates with any night ping), home_lat, home_lon; ties go to the first name.
 
-    Grouping by (maid, cell) and then by maid alone reuses one exchange on maid.
+    Pings are counted by (maid, cell, date) before anything moves; one exchange on maid of those counts serves the rest.
     """
-    night = at_night(pings, hours, tz_offset_hours).repartition("maid")
-    per = night.groupBy("maid", cell).agg(F.count("*").alias("n"), F.collect_set("date").alias("dates"))
+    per_day = at_night(pings, hours, tz_offset_hours).groupBy("maid", cell, "date").agg(F.count("*").alias("n"))
+    # A date counts in the row of its first cell only, so that nights are a sum and no list of dates is carried.
+    first = F.row_number().over(W.partitionBy("maid", "date").orderBy(cell)) == 1
+    per_day = per_day.repartition("maid").withColumn("_night", F.when(first & F.col("date").isNotNull(), 1).otherwise(0))
+    per = per_day.groupBy("maid", cell).agg(F.sum("n").alias("n"), F.sum("_night").alias("nights"))
     w = W.partitionBy("maid").orderBy(F.col("n").desc(), cell)
-    nights = F.size(F.array_distinct(F.flatten(F.collect_list("dates").over(W.partitionBy("maid")))))
-    top = per.withColumns({"_r": F.row_number().over(w), "n_nights": nights}).filter("_r = 1")
+    top = per.withColumns({"_r": F.row_number().over(w), "n_nights": F.sum("nights").over(W.partitionBy("maid"))}).filter("_r = 1")
     lon, lat = index.centre(F.col(cell))
     out = top.select("maid", F.col(cell).alias("home_cell"), F.col("n").alias("n_home_pings"), F.col("n_nights").cast("long").alias("n_nights"), lat.alias("home_lat"), lon.alias("home_lon"))
     return out.filter(F.col("n_nights") >= min_nights)

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pingmill.functions.geo import haversine_km
-from pingmill.operators.od import change, first_dates, with_baseline_flag
+from pingmill.operators.od import change
 
 SUMMARY = ("n_devices", "n_device_days", "n_pings", "n_trips", "radius_km", "n_cells", "max_dist_home_km", "stay_at_home", "pings_per_device_day")
 
@@ -17,9 +18,10 @@ SUMMARY = ("n_devices", "n_device_days", "n_pings", "n_trips", "radius_km", "n_c
 def device_day_metrics(pings: DataFrame, homes: DataFrame | None = None, cell: str = "cell") -> DataFrame:
     """One row a device and day. The first ping counts as a trip; a device without a home has stay_at_home false and no distance.
 
-    Everything runs under one exchange and one sort by maid: the windows, the aggregate and the join's left side.
+    The windows and the aggregate share one exchange: on (maid, date), so that a busy device's days are dealt over tasks, or on maid
+    where the join with homes has made that one already.
     """
-    rows = pings.filter("date IS NOT NULL").repartition("maid")
+    rows = pings.filter("date IS NOT NULL")
     if homes is not None:
         rows = rows.join(homes.select("maid", "home_cell", "home_lat", "home_lon"), "maid", "left")
     day = W.partitionBy("maid", "date")
@@ -58,11 +60,17 @@ def daily_summary(metrics: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def mobility_index(daily: DataFrame, baseline_days: int | Sequence[str], values: Sequence[str] = SUMMARY, keys: Sequence[str] = ()) -> DataFrame:
-    """Each value's baseline mean (overall or by group) and percent change. Baseline days are the first of the whole input."""
-    flagged = with_baseline_flag(daily, baseline_days)
-    base = flagged.filter("is_baseline").groupBy(*keys).agg(*(F.avg(c).alias(f"{c}_baseline") for c in values))
-    out = flagged.join(base, list(keys), "left") if keys else flagged.crossJoin(F.broadcast(base))  # without keys one row
-    return out.withColumns({f"{c}_pct_change": change(F.col(c), F.col(f"{c}_baseline")) for c in values})
+    """Each value's baseline mean (overall or by group) and percent change. Baseline days are the first of the whole input.
+
+    daily has one row a date (and group), which is all that the windows see; nothing is computed twice.
+    """
+    if isinstance(baseline_days, int):
+        chosen = F.col("date").isNotNull() & (F.dense_rank().over(W.orderBy(F.col("date").asc_nulls_last())) <= baseline_days)
+    else:
+        chosen = F.coalesce(F.col("date").isin([date.fromisoformat(str(d)) for d in baseline_days]), F.lit(False))
+    out = daily.withColumn("is_baseline", chosen)
+    means = {f"{c}_baseline": F.avg(F.when(F.col("is_baseline"), F.col(c))).over(W.partitionBy(*keys)) for c in values}
+    return out.withColumns(means).withColumns({f"{c}_pct_change": change(F.col(c), F.col(f"{c}_baseline")) for c in values})
 
 
-__all__ = ["SUMMARY", "daily_summary", "device_day_metrics", "first_dates", "mobility_index"]
+__all__ = ["SUMMARY", "daily_summary", "device_day_metrics", "mobility_index"]

@@ -12,6 +12,10 @@ from pingmill.functions.cells import DEFAULT
 from pingmill.functions.geo import haversine_km
 
 
+#: Rows of a table that is broadcast without measuring it.
+MOST_BROADCAST = 10_000
+
+
 def first_dates(df: DataFrame, days: int | Sequence[str]) -> DataFrame:
     """The first so many distinct dates, or the given ones: a few rows."""
     if isinstance(days, int):
@@ -20,7 +24,9 @@ def first_dates(df: DataFrame, days: int | Sequence[str]) -> DataFrame:
 
 
 def with_baseline_flag(df: DataFrame, days: int | Sequence[str]) -> DataFrame:
-    flag = F.broadcast(first_dates(df, days).withColumn("is_baseline", F.lit(True)))
+    flag = first_dates(df, days).withColumn("is_baseline", F.lit(True))
+    if (days if isinstance(days, int) else len(days)) <= MOST_BROADCAST:
+        flag = F.broadcast(flag)
     return df.join(flag, "date", "left").withColumn("is_baseline", F.coalesce("is_baseline", F.lit(False)))
 
 
@@ -95,4 +101,5 @@ def between_places(flows: DataFrame) -> DataFrame:
 def top_corridors(flows: DataFrame, k: int = 10) -> DataFrame:
     """The daily series of the k pairs with the most pings."""
     top = flows.groupBy("origin", "dest").agg(F.sum("n_pings").alias("_t")).orderBy(F.col("_t").desc(), "origin", "dest").limit(k)
-    return flows.join(F.broadcast(top.select("origin", "dest")), ["origin", "dest"], "left_semi")
+    pairs = top.select("origin", "dest")
+    return flows.join(F.broadcast(pairs) if k <= MOST_BROADCAST else pairs, ["origin", "dest"], "left_semi")

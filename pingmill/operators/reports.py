@@ -76,9 +76,10 @@ def hexbin(pings: DataFrame, index) -> DataFrame:
     return pings.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).withColumn("log10_n", F.log10(F.col("n").cast("double")))
 
 
-def sample(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """n random rows (all, if there are fewer); the same ones for the same seed and files."""
-    return df.withColumn("_r", F.rand(seed)).orderBy("_r").limit(n).drop("_r")
+def sample(df: DataFrame, n: int, seed: int = 42, key: str = "seq") -> DataFrame:
+    """n random rows (all, if there are fewer): those whose key has the least hash with the seed, so they do not depend on the files."""
+    chance = F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(key).cast("string")))
+    return df.withColumn("_r", chance).orderBy("_r", key).limit(n).drop("_r")
 
 
 def run_summary(metrics: DataFrame, columns: list[str]) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,16 +24,27 @@ def line_segments(pings: DataFrame, gap_min: float = 30, label_min: float = 60,
     maid, kind, segment, n, start, end, label, coordinates (lon, lat to 6 digits). Labels: +Hh MMm for gaps of label_min or more.
     """
     w = _order(keys)
-    at = F.array(F.round("longitude", 6), F.round("latitude", 6))
+    at = F.array(F.bround("longitude", 6), F.bround("latitude", 6))
     rows = pings.withColumns({"_at": at, "_t": F.lag("timestamp").over(w), "_p": F.lag(at).over(w)})
     rows = rows.withColumn("_gap", F.coalesce((F.col("timestamp") - F.col("_t")) > gap_min * 60, F.lit(False)))
     rows = rows.withColumn("segment", F.sum(F.col("_gap").cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    moves = rows.groupBy(*keys, "segment").agg(F.count("*").alias("n"), F.min("timestamp").alias("start"), F.max("timestamp").alias("end"), F.array_sort(F.collect_list(F.struct("timestamp", "seq", "_at"))).alias("_line"))
-    moves = moves.filter("n >= 2").select(*keys, F.lit("move").alias("kind"), "segment", "n", "start", "end", F.lit("").alias("label"), F.transform("_line", lambda p: p["_at"]).alias("coordinates"))
-    minutes = F.floor((F.col("timestamp") - F.col("_t")) / 60).cast("long")
-    label = F.when((F.col("timestamp") - F.col("_t")) >= label_min * 60, F.format_string("+%dh %02dm", F.floor(minutes / 60), F.pmod(minutes, F.lit(60)))).otherwise("")
-    gaps = rows.filter("_gap").select(*keys, F.lit("gap").alias("kind"), "segment", F.lit(2).cast("long").alias("n"), F.col("_t").alias("start"), F.col("timestamp").alias("end"), label.alias("label"), F.array("_p", "_at").alias("coordinates"))
-    return moves.unionByName(gaps)
+    # The gap before a run hangs on the run's first ping, so one aggregate gives both kinds of lines.
+    runs = rows.groupBy(*keys, "segment").agg(
+        F.count("*").alias("n"),
+        F.min("timestamp").alias("start"),
+        F.max("timestamp").alias("end"),
+        F.array_sort(F.collect_list(F.struct("timestamp", "seq", "_at"))).alias("_line"),
+        F.min_by(F.struct("_gap", "_t", "_p"), F.struct("timestamp", "seq")).alias("_f"),
+    )
+    before, first = F.col("_f._t"), F.col("_line")[0]["_at"]
+    minutes = F.floor((F.col("start") - before) / 60).cast("long")
+    label = F.when((F.col("start") - before) >= label_min * 60, F.format_string("+%dh %02dm", F.floor(minutes / 60), F.pmod(minutes, F.lit(60)))).otherwise("")
+    line = lambda kind, n, start, end, text, path: F.struct(F.lit(kind).alias("kind"), n.cast("long").alias("n"), start.alias("start"), end.alias("end"), text.alias("label"), path.alias("coordinates"))
+    move = line("move", F.col("n"), F.col("start"), F.col("end"), F.lit(""), F.transform("_line", lambda p: p["_at"]))
+    gap = line("gap", F.lit(2), before, F.col("start"), label, F.array(F.col("_f._p"), first))
+    lines = F.filter(F.array(F.when(F.col("n") >= 2, move), F.when(F.col("_f._gap"), gap)), lambda x: x.isNotNull())
+    out = runs.select(*keys, "segment", F.explode(lines).alias("x"))
+    return out.select(*keys, "x.kind", "segment", *(f"x.{c}" for c in ("n", "start", "end", "label", "coordinates")))
 
 
 def points(pings: DataFrame, keys=("maid",)) -> DataFrame:
@@ -43,7 +57,7 @@ def points(pings: DataFrame, keys=("maid",)) -> DataFrame:
     tsec = F.pmod("timestamp", F.lit(DAY))
     time = F.format_string("%02d:%02d:%02d", F.floor(tsec / 3600), F.floor(tsec / 60) % 60, tsec % 60)
     idx = (F.row_number().over(w) - 1).cast("long")
-    return pings.select(*keys, idx.alias("idx"), time.alias("time"), tsec.alias("tsec"), F.bround(speed, 1).alias("speed_kmh"), F.round("longitude", 6).alias("lon"), F.round("latitude", 6).alias("lat"))
+    return pings.select(*keys, idx.alias("idx"), time.alias("time"), tsec.alias("tsec"), F.bround(speed, 1).alias("speed_kmh"), F.bround("longitude", 6).alias("lon"), F.bround("latitude", 6).alias("lat"))
 
 
 def geojson(features: DataFrame, kind: str, coordinates: str, properties: list[str]) -> DataFrame:
@@ -52,6 +66,27 @@ def geojson(features: DataFrame, kind: str, coordinates: str, properties: list[s
     return features.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"), shape.alias("geometry"))).alias("value"))
 
 
+def feature_collection(features: DataFrame) -> DataFrame:
+    """The lines of one FeatureCollection: features as `geojson` returns them, between a head and a foot.
+
+    One task streams them, since they make one file: df.write.text. For a few devices' traces, points or areas.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines = lambda x: pa.RecordBatch.from_arrays([pa.array(x, pa.string())], names=["value"])
+        yield lines(['{"type":"FeatureCollection","features":['])
+        first = True
+        for batch in batches:
+            values = [v for v in batch.column("value").to_pylist() if v is not None]
+            yield lines([v if first and k == 0 else f",{v}" for k, v in enumerate(values)])
+            first = first and not values
+        yield lines(["]}"])
+
+    # The null row keeps an empty table from being planned away: its collection has a head and a foot, too.
+    rows = features.select("value").union(features.sparkSession.range(1).select(F.lit(None).cast("string")))
+    return rows.coalesce(1).mapInArrow(run, "value string")
+
+
 def spans(pings: DataFrame, min_pings: int = 1) -> DataFrame:
     """Diagonal of each device's bounding box."""
     box = pings.groupBy("maid").agg(F.count("*").alias("n"), *(f(c).alias(f"{c}_{n}") for c in ("longitude", "latitude") for n, f in (("min", F.min), ("max", F.max))))

@@ -31,7 +31,7 @@ people AS (
 profiles AS (SELECT * FROM people WHERE profile_no = 0)"""
 
 
-def sql(deg: float, hex_deg: float, areas: dict, box: tuple, baseline: int) -> dict[str, str]:
+def sql(deg: float, hex_deg: float, areas: dict, box: tuple, baseline: int, clip: tuple) -> dict[str, str]:
     cells = f"""
 cells AS (SELECT *, 'g' || CAST(floor(longitude / {deg}::DOUBLE) AS BIGINT) || '_' || CAST(floor(latitude / {deg}::DOUBLE) AS BIGINT) AS cell FROM pings)"""
     cx = lambda c: f"((CAST(split_part({c}[2:], '_', 1) AS BIGINT) + 0.5) * {deg}::DOUBLE)"
@@ -94,7 +94,17 @@ hx AS (SELECT CAST(CASE WHEN da > db AND da > dc THEN -b - c ELSE a END AS BIGIN
         f"CASE WHEN ({y1}::DOUBLE > latitude) <> ({y2}::DOUBLE > latitude) AND longitude < ({x2}::DOUBLE - {x1}::DOUBLE) * (latitude - {y1}::DOUBLE) / nullif({y2}::DOUBLE - {y1}::DOUBLE, 0) + {x1}::DOUBLE THEN 1 ELSE 0 END"
         for (x1, y1), (x2, y2) in zip(pts, [*pts[1:], pts[0]], strict=True)
     ).replace("(-", "((-1)*").replace("> -", "> (-1)*")
-    inside = " UNION ALL ".join(f"SELECT seq, '{name}' AS name FROM pings WHERE ({ring(pts)}) % 2 = 1" for name, pts in areas.items())
+    # Points on an edge or a corner are not within.
+    edge = lambda pts: " OR ".join(
+        f"(({x2} - ({x1}))::DOUBLE * (latitude - ({y1})::DOUBLE) = ({y2} - ({y1}))::DOUBLE * (longitude - ({x1})::DOUBLE) AND longitude BETWEEN {min(x1, x2)}::DOUBLE AND {max(x1, x2)}::DOUBLE AND latitude BETWEEN ({min(y1, y2)})::DOUBLE AND ({max(y1, y2)})::DOUBLE)"
+        for (x1, y1), (x2, y2) in zip(pts, [*pts[1:], pts[0]], strict=True)
+    )
+    inside = " UNION ALL ".join(f"SELECT seq, '{name}' AS name FROM pings WHERE ({ring(pts)}) % 2 = 1 AND NOT ({edge(pts)})" for name, pts in areas.items())
+    boxes = " UNION ALL ".join(f"SELECT '{name}' AS name, {min(x for x, _ in pts)}::DOUBLE AS w, ({min(y for _, y in pts)})::DOUBLE AS s, {max(x for x, _ in pts)}::DOUBLE AS e, ({max(y for _, y in pts)})::DOUBLE AS n" for name, pts in areas.items())
+    hx, hy = f"{hex_deg * 3**0.5!r} * (x + y / 2)", f"{hex_deg * 1.5!r} * y"
+    half, size = hex_deg * 3**0.5 / 2, hex_deg
+    corners = ((0.0, size), (half, size / 2), (half, -size / 2), (0.0, -size), (-half, -size / 2), (-half, size / 2))
+    bars = lambda c, most: f"{days} SELECT CAST(least(floor(least({c}, {most}::DOUBLE) * 40 / {most}::DOUBLE), 39) AS BIGINT) AS bin, count(*) AS n FROM days WHERE {c} IS NOT NULL GROUP BY 1"
     west, south, east, north = box
     stats = ", ".join(f"round(avg({c}), 6) AS mean_{c}, round(median({c}), 6) AS median_{c}" for c in ("n_pings", "n_cells", "n_trips", "radius_km"))
     seg = f"""{base}, w0 AS (SELECT *, lag(timestamp) OVER w AS pt, format('{{:.6f}} {{:.6f}}', longitude, latitude) AS p, lag(format('{{:.6f}} {{:.6f}}', longitude, latitude)) OVER w AS pp FROM pings WINDOW w AS (PARTITION BY maid ORDER BY timestamp, seq)),
@@ -163,12 +173,17 @@ UNION ALL SELECT maid, 'gap', segment, 2, pt, timestamp, CASE WHEN timestamp - p
         "pivot_normalised": f"{both}, d AS (SELECT date, {', '.join(f'nullif(count(*) FILTER (intensity = {chr(39)}{v}{chr(39)}), 0) AS {v}' for v in levels)} FROM j WHERE intensity IS NOT NULL GROUP BY date) SELECT {day}, {', '.join(f'round({v} / avg({v}) OVER (), 6) AS {v}' for v in levels)} FROM d",
         "two_level_mean": f"{both}, d AS (SELECT sex, intensity, maid, date, count(*) AS n FROM j WHERE sex IS NOT NULL AND intensity IS NOT NULL GROUP BY ALL) SELECT sex, {', '.join(f'round(avg(n) FILTER (intensity = {chr(39)}{v}{chr(39)}), 6) AS {v}' for v in levels)} FROM d GROUP BY sex",
         "ping_vs_profile_share": f"{both}, a AS (SELECT place1, count(*) * 100.0::DOUBLE / sum(count(*)) OVER () AS x FROM profiles WHERE place1 IS NOT NULL GROUP BY place1), b AS (SELECT place1, count(*) * 100.0::DOUBLE / sum(count(*)) OVER () AS y FROM j WHERE place1 IS NOT NULL GROUP BY place1) SELECT place1, round(coalesce(x, 0.0), 6) AS profile_share, round(coalesce(y, 0.0), 6) AS ping_share, round(coalesce(y, 0.0) / nullif(coalesce(x, 0.0), 0.0), 6) AS ratio FROM a FULL JOIN b USING (place1)",
-        "clipped_histogram": f"{days} SELECT CAST(least(floor(least(radius_km, 20.0::DOUBLE) * 40 / 20.0::DOUBLE), 39) AS BIGINT) AS bin, count(*) AS n FROM days WHERE radius_km IS NOT NULL GROUP BY 1",
+        "clipped_histogram": bars("radius_km", 20.0),
+        "clipped_histogram_cells": bars("n_cells", 50.0),
+        "clipped_histogram_home": bars("max_dist_home_km", 30.0),
         "hexbin_planar": f"{hexes} SELECT 'x' || x || '_' || y AS cell, count(*) AS n, round(log10(count(*)::DOUBLE), 6) AS log10_n FROM hx GROUP BY x, y",
         "hex_centroids": f"{hexes} SELECT DISTINCT 'x' || x || '_' || y AS cell, round({hex_deg * 1.5!r} * y, 6) AS lat, round({hex_deg * 3**0.5!r} * (x + y / 2), 6) AS lon FROM hx",
-        "hex_boundaries": f"{hexes} SELECT DISTINCT 'x' || x || '_' || y AS cell, 6::BIGINT AS corners, round({hex_deg * 3**0.5!r} * (x + y / 2), 6) AS lon, round({hex_deg * 1.5!r} * y + {hex_deg!r}, 6) AS lat FROM hx",
+        "hex_boundaries": f"{hexes} SELECT DISTINCT 'x' || x || '_' || y AS cell, {', '.join(f'round({hx} + ({a!r}), 6) AS lon{k}, round({hy} + ({b!r}), 6) AS lat{k}' for k, (a, b) in enumerate(corners))} FROM hx",
+        "grid_boundaries": f"{with_cells}, k AS (SELECT DISTINCT cell, CAST(split_part(cell[2:], '_', 1) AS BIGINT) AS x, CAST(split_part(cell[2:], '_', 2) AS BIGINT) AS y FROM cells) SELECT cell, {', '.join(f'round((x + {a}) * {deg}::DOUBLE, 6) AS lon{k}, round((y + {b}) * {deg}::DOUBLE, 6) AS lat{k}' for k, (a, b) in enumerate(((0, 0), (1, 0), (1, 1), (0, 1))))} FROM k",
         "run_summary": f"{days} SELECT {stats} FROM days",
         "bbox_clip": f"{base} SELECT {day}, count(*) AS n_pings FROM pings WHERE longitude BETWEEN {west}::DOUBLE AND {east}::DOUBLE AND latitude BETWEEN ({south})::DOUBLE AND ({north})::DOUBLE GROUP BY date",
         "date_range_scan": f"{base} SELECT {day}, count(*) AS n_pings FROM pings WHERE date BETWEEN DATE '2024-01-03' AND DATE '2024-01-05' GROUP BY date",
+        "sample": f"{base} SELECT seq, maid FROM pings ORDER BY md5('42/' || CAST(seq AS VARCHAR)), seq LIMIT 100",
+        "area_clip": f"SELECT name FROM ({boxes}) WHERE e >= {clip[0]}::DOUBLE AND w <= {clip[2]}::DOUBLE AND n >= ({clip[1]})::DOUBLE AND s <= ({clip[3]})::DOUBLE",
         "point_in_polygon": f"{base}, i AS ({inside}) SELECT coalesce(name, '') AS name, count(*) AS n_pings FROM pings LEFT JOIN i USING (seq) GROUP BY 1",
     }

@@ -12,7 +12,7 @@ from pingmill.functions import geo
 from pingmill.functions.cells import Hexagon, Square, with_cells
 from pingmill.operators import clean, contacts, homes, metrics, od, reports, spatial, temporal, traces
 from pingmill.plans import oracle
-from pingmill.sources import views
+from pingmill.sources import ingest, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 INDEX, HEX = Square(0.05), Hexagon(0.03)
@@ -25,6 +25,7 @@ AREAS = {
     "bay": [(110.03, -8.23), (110.37, -8.23), (110.37, -8.02), (110.2, -8.11), (110.03, -8.02)],
 }
 BOX = (110.2, -8.1, 110.6, -7.8)
+CLIP = (110.38, -8.3, 110.5, -8.1)
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -148,12 +149,16 @@ def queries() -> dict[str, Query]:
         "two_level_mean": lambda s, d: reports.two_level_mean(pings(s, d), first_profiles(s, d), "sex", "intensity", INTENSITY),
         "ping_vs_profile_share": lambda s, d: reports.share_comparison(pings(s, d), first_profiles(s, d), "place1"),
         "clipped_histogram": lambda s, d: reports.clipped_histogram(days(s, d), "radius_km", 20.0),
+        "clipped_histogram_cells": lambda s, d: reports.clipped_histogram(days(s, d), "n_cells", 50.0),
+        "clipped_histogram_home": lambda s, d: reports.clipped_histogram(days(s, d), "max_dist_home_km", 30.0),
         "hexbin_planar": lambda s, d: reports.hexbin(pings(s, d), HEX),
         "hex_centroids": lambda s, d: cell_functions.centroids(with_cells(pings(s, d), HEX), HEX),
-        "hex_boundaries": lambda s, d: cell_functions.boundaries(with_cells(pings(s, d), HEX), HEX).select("cell", F.size("ring").alias("corners"), F.col("ring")[0]["lon"].alias("lon"), F.col("ring")[0]["lat"].alias("lat")),
+        "hex_boundaries": lambda s, d: cell_functions.boundaries(with_cells(pings(s, d), HEX), HEX).select("cell", *(F.col("ring")[k][c].alias(f"{c}{k}") for k in range(6) for c in ("lon", "lat"))),
+        "grid_boundaries": lambda s, d: cell_functions.boundaries(cells(s, d), INDEX).select("cell", *(F.col("ring")[k][c].alias(f"{c}{k}") for k in range(4) for c in ("lon", "lat"))),
         "run_summary": lambda s, d: reports.run_summary(days(s, d), ["n_pings", "n_cells", "n_trips", "radius_km"]),
         "bbox_clip": lambda s, d: pings(s, d).filter(geo.in_box(F.col("longitude"), F.col("latitude"), *map(F.lit, BOX))).groupBy("date").agg(F.count("*").alias("n_pings")),
-        "date_range_scan": lambda s, d: pings(s, d).filter("date BETWEEN DATE'2024-01-03' AND DATE'2024-01-05'").groupBy("date").agg(F.count("*").alias("n_pings")),
+        "date_range_scan": lambda s, d: ingest.date_range(pings(s, d), "2024-01-03", "2024-01-05").groupBy("date").agg(F.count("*").alias("n_pings")),
+        "area_clip": lambda s, d: geo.clip(areas(s), *CLIP).select("name"),
         "point_in_polygon": lambda s, d: geo.within(pings(s, d), areas(s)).groupBy("name").agg(F.count("*").alias("n_pings")),
         "sample": lambda s, d: reports.sample(pings(s, d).select("seq", "maid"), 100),
     }
@@ -161,4 +166,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.sql(INDEX.degrees, HEX.degrees, AREAS, BOX, BASELINE)
+    return oracle.sql(INDEX.degrees, HEX.degrees, AREAS, BOX, BASELINE, CLIP)

@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pingmill.operators.clean import MISSING, clean_mobility, clean_people
-from pingmill.sources.schemas import PEOPLE, PEOPLE_COLUMNS, RAW_PING
+from pingmill.sources.schemas import PEOPLE, PEOPLE_COLUMNS, PING, RAW_PING
 
 PART = r"(?i)^(.+)_part\d+$"
+BLOCK = 8 << 20
 
 
 def read_pings_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Typed pings of CSV files with a header. All columns are read as text and cast here: rows are then the same whichever columns a query asks for."""
-    raw = spark.read.schema(RAW_PING).option("header", True).option("mode", "PERMISSIVE").csv(paths if isinstance(paths, str) else list(paths))
+    return typed_pings(raw_pings(spark, paths))
+
+
+def raw_pings(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    return spark.read.schema(RAW_PING).option("header", True).option("mode", "PERMISSIVE").csv(paths if isinstance(paths, str) else list(paths))
+
+
+def typed_pings(raw: DataFrame, *more: str) -> DataFrame:
+    """Rows of text columns, batch or stream, cast: repeated headers and rows with a value that cannot be read go, missing values are null."""
     raw = raw.filter(F.coalesce(F.col("timestamp"), F.lit("")) != "timestamp")
     typed = {"latitude": "double", "longitude": "double", "timestamp": "long"}
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
@@ -25,7 +37,7 @@ def read_pings_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
     for c in typed:
         ok = blank(F.col(c)).isNull() | cast[c].isNotNull()
         fine = ok if fine is None else fine & ok
-    return raw.filter(fine).select("maid", *(cast[c].alias(c) for c in typed))
+    return raw.filter(fine).select("maid", *(cast[c].alias(c) for c in typed), *more)
 
 
 def mobility_csvs_to_parquet(spark: SparkSession, paths: str | Sequence[str], out: str) -> None:
@@ -69,17 +81,40 @@ def month_key(stem: Column) -> Column:
     return F.regexp_replace(stem, PART, "$1")
 
 
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """path -> SHA-256 of the file, read in blocks: files of any size."""
+    for batch in batches:
+        found = []
+        for uri in batch.column("path").to_pylist():
+            digest = hashlib.sha256()
+            store, path = open_store(uri)
+            with store.open_input_stream(path, compression=None) as f:
+                while block := f.read(BLOCK):
+                    digest.update(block)
+            found.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(found, pa.string())], names=["path", "digest"])
+
+
+def open_store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The Arrow file system and path of a URI as Hadoop writes it."""
+    uri = re.sub(r"^file:/(?!/)", "file:///", re.sub(r"^s3[an]://", "s3://", uri))
+    return fs.FileSystem.from_uri(uri)
+
+
 def discover(spark: SparkSession, folder: str, skip: Sequence[str] = ("people", "people_graph")) -> DataFrame:
     """path, length, modified, digest, month of the CSV files below a folder; of byte-identical files only the first path.
 
-    Files are digested on the executors; listing is Spark's own.
+    Listing is Spark's own. Only files of equal length are read for a digest, on the executors and in blocks; others have none.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[cC][sS][vV]").load(folder)
     stem = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
-    rows = files.select("path", "length", F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("digest"), month_key(stem).alias("month"), F.lower(stem).alias("stem"))
+    rows = files.select("path", "length", F.col("modificationTime").alias("modified"), month_key(stem).alias("month"), F.lower(stem).alias("stem"))
     rows = rows.filter(~F.col("stem").isin([s.lower() for s in skip])).drop("stem")
-    first = rows.groupBy("length", "digest").agg(F.min("path").alias("path"))
-    return rows.join(first.select("path"), "path", "left_semi")
+    alike = rows.groupBy("length").agg(F.count("*").alias("n")).filter("n > 1").select("length")
+    digests = rows.join(alike, "length", "left_semi").select("path").repartition("path").mapInArrow(_digests, "path string, digest string")
+    known = rows.join(digests, "path", "left")
+    first = known.groupBy("length", "digest").agg(F.min("path").alias("path"))
+    return known.join(first.select("path"), "path", "left_semi")
 
 
 def _modified(spark: SparkSession, path: str) -> int:
@@ -105,5 +140,13 @@ def convert_tree(spark: SparkSession, raw: str, out: str, force: bool = False) -
     return made
 
 
+def convert_glob(spark: SparkSession, paths: str | Sequence[str], out: str) -> DataFrame:
+    """One folder a source file under out/ (file=<name without its ending>), written by a single job; returns the combined table."""
+    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
+    raw = raw_pings(spark, paths).withColumn("file", name)
+    typed_pings(raw, "file").write.mode("overwrite").option("compression", "zstd").partitionBy("file").parquet(out)
+    return spark.read.schema(f"{PING}, file string").parquet(out)
+
+
 def combined(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return spark.read.parquet(*paths)

@@ -11,19 +11,25 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pingmill.functions.cells import DEFAULT
 from pingmill.operators import contacts
-from pingmill.operators.temporal import bucket
+from pingmill.sources.ingest import typed_pings
+from pingmill.sources.schemas import RAW_PING
 
 
 def occupancy(stream: DataFrame, width: str = "1h", late: str = "1 hour", index=DEFAULT) -> DataFrame:
-    """Distinct devices by (window, cell) of a stream(maid, longitude, latitude, at timestamp): exact, in two stateful steps.
+    """Distinct devices and pings by (window, cell) of a stream(maid, longitude, latitude, at timestamp): exact, in two stateful steps.
 
-    `late` must be at least `width`: a device is then forgotten only when its bucket takes no more pings.
+    Pings are counted by device first; a window's devices are then counted when the first step lets it go.
     """
-    seconds = contacts.seconds(width)
-    place = bucket(F.unix_seconds("at"), seconds)
-    rows = stream.withWatermark("at", late).select("at", place.alias("start"), "maid", index.cell(F.col("longitude"), F.col("latitude")).alias("cell"))
-    once = rows.dropDuplicatesWithinWatermark(["start", "cell", "maid"])
-    return once.groupBy(F.window("at", f"{seconds} seconds").alias("bucket"), "cell").agg(F.count("*").alias("n_devices"))
+    step = f"{contacts.seconds(width)} seconds"
+    rows = stream.withWatermark("at", late).select("at", "maid", index.cell(F.col("longitude"), F.col("latitude")).alias("cell"))
+    devices = rows.groupBy(F.window("at", step).alias("w"), "cell", "maid").agg(F.count("*").alias("n"))
+    return devices.groupBy(F.window(F.window_time("w"), step).alias("bucket"), "cell").agg(F.count("*").alias("n_devices"), F.sum("n").alias("n_pings"))
+
+
+def sliding_counts(stream: DataFrame, width: str = "1 hour", slide: str = "15 minutes", late: str = "1 hour", index=DEFAULT) -> DataFrame:
+    """Pings by (sliding window, cell)."""
+    cell = index.cell(F.col("longitude"), F.col("latitude")).alias("cell")
+    return stream.withWatermark("at", late).groupBy(F.window("at", width, slide).alias("bucket"), cell).agg(F.count("*").alias("n_pings"))
 
 
 def sessions(stream: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
@@ -66,9 +72,6 @@ def speed_outliers(stream: DataFrame, **limits) -> DataFrame:
 
 
 def ingest(spark, raw: str, out: str, checkpoint: str):
-    """Appends CSV files that are new since the last run to Parquet, and stops when none is left."""
-    from pingmill.sources.schemas import RAW_PING
-
-    rows = spark.readStream.schema(RAW_PING).option("header", True).csv(raw).filter("timestamp <> 'timestamp'")
-    typed = rows.select("maid", *(F.col(c).try_cast(t).alias(c) for c, t in (("latitude", "double"), ("longitude", "double"), ("timestamp", "long"))))
-    return typed.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Appends CSV files that are new since the last run to Parquet, and stops when none is left. Rows are those of the batch reader."""
+    rows = typed_pings(spark.readStream.schema(RAW_PING).option("header", True).option("mode", "PERMISSIVE").csv(raw))
+    return rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
