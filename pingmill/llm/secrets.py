@@ -1,16 +1,18 @@
 """Secret scans with a random forest that removes false positives. DataFrame and SQL functions only.
 
 Candidates are long runs of key characters, values assigned to telling names, tokens with known prefixes and private-key headers.
-A random forest (Spark ML, grown from a table of labelled findings) scores each one on its length, its character transitions, its
-coverage by a dictionary of ordinary word parts, whether it looks like a path, and its neighbouring words. The trees are turned
-into one SQL expression, so scanning is a projection: no join, no shuffle, no row leaves its task.
+A random forest (Spark ML, grown from a table of labelled findings) scores each one on its length, its character transitions
+(changes of kind, and pairs of letters that ordinary words have), its coverage by a dictionary of ordinary word parts, whether it
+looks like a path, and its neighbouring words on both sides. The trees are turned into one SQL expression, so scanning is a
+projection: no join, no shuffle, no row leaves its task.
 
-The labelled findings are made from a rule (`labelled`), `LABELLED` rows; pass any other DataFrame of (value, before, label) to
-`train` to use findings of your own. The bound is the parameter; the scan itself covers every character of every text.
+The labelled findings are made from a rule (`labelled`), `LABELLED` rows; pass any other DataFrame of (value, before, after, label)
+to `train` to use findings of your own. The bound is the parameter; the scan itself covers every character of every text.
 
 Defined results: null and empty texts have no findings; a value found several times in a text is one finding with its count, the
 place of the first and the score of the highest occurrence, each scored with its own neighbouring words; equal
-rows are scanned alike; a value of any length is one candidate, scored and redacted as a whole.
+rows are scanned alike; a value of any length is one candidate, scored and redacted as a whole; an empty table gives an empty
+result; a column named like the new one stays, and the new one gets a leading underscore.
 """
 
 from __future__ import annotations
@@ -22,9 +24,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pingmill.llm.common import fresh, table
+from pingmill.llm.common import fresh, spread, table
 
-LABELLED, TREES, DEPTH, LONG, CONTEXT = 6000, 15, 5, 400, 48
+LABELLED, TREES, DEPTH, LONG, CONTEXT = 6000, 15, 6, 400, 48
 THRESHOLD = 0.5
 RUN = r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{20,}+"
 ASSIGNED = r"(?i)(?:token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)[a-z_]{0,16}[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"'<>]{8,}+)"
@@ -43,20 +45,37 @@ FIXED_WORDS = r"(?i)(example|sample|placeholder|change_?me|your[_-]|dummy|fake|x
 TELLING = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|credential|bearer|private|auth)"
 HARMLESS = r"(?i)(commit|sha-?\d*|md5|checksum|digest|hash|uuid|guid|revision|etag|integrity|version|id)\W{0,4}$"
 
-NAMES = ("length", "digits", "uppers", "lowers", "transitions", "repeats", "distinct", "coverage", "path", "hexadecimal", "numeric", "uuid", "prefix", "fixed", "telling", "harmless", "assigned")
+AFTER_TELLING = r"(?i)^\W{0,4}(?:(?:is|as|for|of|=|:|\(|the|my|your|our|a)\s*){1,3}(?:token|secret|passw|pwd|api.?key|access.?key|credential|bearer|private|auth)"
+AFTER_HARMLESS = r"(?i)^\W{0,4}(?:(?:is|as|for|of|=|:|\(|the|my|your|our|a)\s*){1,3}(?:commit|sha-?\d|md5|checksum|digest|hash|uuid|guid|revision|etag|integrity|version)"
+
+OWN = ("length", "digits", "uppers", "lowers", "transitions", "repeats", "distinct", "usual_pairs", "coverage", "path", "hexadecimal", "numeric", "uuid", "prefix", "fixed")
+PLACE = ("telling", "harmless", "assigned", "closed", "telling_after", "harmless_after")
+NAMES = OWN + PLACE
+
+
+def usual_pairs() -> str:
+    """A pattern that matches before every pair of letters that occurs three times or more in the word parts above."""
+    pairs: dict[str, int] = {}
+    for word in DICTIONARY + SYLLABLES + WORDS:
+        for k in range(len(word) - 1):
+            pairs[word[k : k + 2]] = pairs.get(word[k : k + 2], 0) + 1
+    after: dict[str, str] = {}
+    for pair in sorted(x for x, n in pairs.items() if n >= 3):
+        after[pair[0]] = after.get(pair[0], "") + pair[1]
+    return "(?=" + "|".join(f"{a}[{b}]" for a, b in after.items()) + ")"
 
 
 def _share(value: Column, pattern: str) -> Column:
     return F.length(F.regexp_replace(value, pattern, "")) / F.greatest(F.length(value), F.lit(1))
 
 
-def features(value: Column, before: Column) -> list[Column]:
+def own_features(value: Column) -> list[Column]:
+    """What OWN names, of the value itself."""
     n = F.greatest(F.length(value), F.lit(1)).cast("double")
     lower = F.lower(value)
     kinds = F.translate(value, "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0" * 10 + "A" * 26 + "a" * 26)
     same_kind = F.length(F.regexp_replace(kinds, r"(0+|A+|a+|[^0Aa]+)", "-"))
     words = "|".join(sorted((w for w in DICTIONARY if len(w) > 2), key=len, reverse=True))
-    flag = lambda c: F.when(c, 1.0).otherwise(0.0)
     # The last of each character stays: a long value is never split into an array of its characters.
     kinds_of = F.when(n <= LONG, F.size(F.array_distinct(F.split(value, "")))).otherwise(F.length(F.regexp_replace(value, r"(?s)(.)(?=.*?\1)", "")))
     return [
@@ -67,21 +86,44 @@ def features(value: Column, before: Column) -> list[Column]:
         same_kind / n,
         1 - F.length(F.regexp_replace(value, r"(.)\1+", "$1")) / n,
         kinds_of / F.least(n, F.lit(64.0)),
+        F.regexp_count(lower, F.lit(usual_pairs())) / n,
         1 - F.length(F.regexp_replace(lower, f"({words})", "")) / n,
-        flag(value.rlike(r"^[./~]|/[A-Za-z_.-]+/|\.[a-z]{2,4}$|^https?")),
-        flag(value.rlike(r"^[0-9a-fA-F]+$")),
-        flag(value.rlike(r"^[0-9.+/_=-]+$")),
-        flag(value.rlike(r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")),
-        flag(value.rlike(PREFIXED)),
-        flag(value.rlike(FIXED_WORDS)),
-        flag(before.rlike(TELLING)),
-        flag(before.rlike(HARMLESS)),
-        flag(before.rlike(r"[:=]\s*[\"']?$")),
+        _flag(value.rlike(r"^[./~]|/[A-Za-z_.-]+/|\.[a-z]{2,4}$|^https?")),
+        _flag(value.rlike(r"^[0-9a-fA-F]+$")),
+        _flag(value.rlike(r"^[0-9.+/_=-]+$")),
+        _flag(value.rlike(r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")),
+        _flag(value.rlike(PREFIXED)),
+        _flag(value.rlike(FIXED_WORDS)),
+    ]
+
+
+def place_features(before: Column, after: Column) -> list[Column]:
+    """What PLACE names, of the CONTEXT characters on both sides of one occurrence."""
+    return [
+        _flag(before.rlike(TELLING)),
+        _flag(before.rlike(HARMLESS)),
+        _flag(before.rlike(r"[:=]\s*[\"']?$")),
+        _flag(before.rlike(r"[\"']$") & after.rlike(r"^[\"']")),
+        _flag(after.rlike(AFTER_TELLING)),
+        _flag(after.rlike(AFTER_HARMLESS)),
     ]
 
 
+def _flag(condition: Column) -> Column:
+    return F.when(condition, 1.0).otherwise(0.0)
+
+
+def _named(columns: list[Column], names: tuple[str, ...]) -> list[Column]:
+    return [c.alias(n) for c, n in zip(columns, names, strict=True)]
+
+
+def described(value: Column, before: Column, after: Column) -> list[Column]:
+    """All features, by name."""
+    return _named(own_features(value) + place_features(before, after), NAMES)
+
+
 def labelled(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
-    """(value, before, label): fifteen kinds of findings, seven of them secrets, with material from a hash of the row number."""
+    """(value, before, after, label): eighteen kinds of findings, nine of them secrets, with material from a hash of the row number."""
     m = F.sha2(F.col("id").cast("string"), 256)
     m2 = F.sha2(F.concat(F.lit("x"), F.col("id").cast("string")), 256)
     mixed = F.translate(F.concat(F.base64(F.unhex(m)), F.base64(F.unhex(m2))), "+/=", "aZ0")
@@ -90,6 +132,9 @@ def labelled(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
     telling = pick(['token = "', "secret: ", "password=", 'api_key = "', "access_key: ", "Authorization: Bearer ", 'private_key="', "le token = \"", "and auth_token="], 1)
     plain = pick(["the ", "see ", "", "and then ", "from ", "le ", "der ", "los "], 2)
     harmless = pick(["commit ", "sha256: ", "checksum=", "md5 ", "hash: ", "etag=\"", "revision "], 3)
+    told = pick([" is the commit", " (sha256)", " as checksum", ", the revision", " = md5", " for the hash"], 50)
+    meant = pick([" is the token", " as password", " (api key)", ", our secret", " for the access key", " is my private key"], 51)
+    rest = pick(["", " and", ".", "\n", " |"], 52)
     parts = F.array(*(pick(DICTIONARY, 10 + i) for i in range(5)))
     joined = F.call_function("concat_ws", pick(["_", "-", "", "."], 4), F.slice(parts, F.lit(1), between(3, 5, 5)))
     kinds = [
@@ -100,7 +145,7 @@ def labelled(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
         (F.concat(pick(["ghp_", "xoxb-", "sk-", "AIza", "glpat-"], 9), F.substring(mixed, 1, 36)), F.concat(plain, pick(["", 'token="'], 8)), 1),
         (F.substr(F.translate(mixed, "aeiou", "!@#$%"), F.lit(1), between(10, 20, 20)), pick(["password = \"", "passwd:", "pwd="], 21), 1),
         (joined, pick(['token = "', "the ", "key: ", "secret = \"", ""], 22), 0),
-        (F.repeat(pick(["x", "0", "*", "abc", "-", "1234567890"], 23), 24), pick(['token = "', "password=", "api_key: ", ""], 24), 0),
+        (F.substr(F.repeat(pick(["x", "0", "*", "abc", "-", "1234567890", "12345678"], 23), 40), F.lit(1), between(10, 40, 56)), pick(['token = "', "password=", "api_key: ", ""], 24), 0),
         (F.substr(m, F.lit(1), F.element_at(F.array(F.lit(32), F.lit(40), F.lit(64)), between(1, 3, 25))), harmless, 0),
         (F.regexp_replace(F.substring(m, 1, 32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), pick(["uuid=", "id: ", "request id ", "the "], 26), 0),
         (F.concat(pick(["src/", "/usr/local/", "https://www.", "com.example."], 27), F.call_function("concat_ws", pick(["/", "."], 28), parts), pick(["", ".py", ".java", ".html", "/"], 29)), plain, 0),
@@ -108,10 +153,16 @@ def labelled(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
         (F.concat(pick(["ghp_", "xoxb-", "sk-", "sk_", "npm_", "glpat-"], 31), F.substr(mixed, F.lit(1), between(8, 24, 32))), F.concat(plain, pick(["", 'token="'], 33)), 1),
         (F.call_function("concat_ws", F.lit("_"), F.concat(pick(["sk-", "sk_", "npm_"], 34), pick(WORDS, 35)), pick([None, *DICTIONARY[:20], *WORDS], 36)), F.concat(plain, pick(["", "key: ", "import "], 37)), 0),
         (F.concat(pick(CAPITALS, 38), F.call_function("array_join", F.slice(F.array(*(pick(SYLLABLES, 40 + i) for i in range(9))), F.lit(1), between(4, 9, 39)), F.lit(""))), plain, 0),
+        (F.substr(mixed, F.lit(1), between(20, 40, 53)), plain, 1, meant),
+        (F.substr(m, F.lit(1), between(32, 48, 54)), plain, 1, meant),
+        (F.substr(m, F.lit(1), F.element_at(F.array(F.lit(32), F.lit(40), F.lit(64)), between(1, 3, 55))), plain, 0, told),
     ]
     at = F.pmod("id", len(kinds))
-    case = lambda k: reduce(lambda acc, i: acc.when(at == i, kinds[i][k] if k < 2 else F.lit(kinds[i][2])), range(1, len(kinds)), F.when(at == 0, kinds[0][k] if k < 2 else F.lit(kinds[0][2])))
-    return spark.range(0, rows, 1, 2).select(case(0).alias("value"), case(1).alias("before"), case(2).cast("double").alias("label"))
+    case = lambda k: reduce(lambda acc, i: acc.when(at == i, k(kinds[i])), range(1, len(kinds)), F.when(at == 0, k(kinds[0])))
+    rows = spark.range(0, rows, 1, 2).select(case(lambda x: x[0]).alias("value"), case(lambda x: x[1]).alias("before"), case(lambda x: x[3] if len(x) > 3 else rest).alias("after"), case(lambda x: F.lit(x[2])).cast("double").alias("label"))
+    # What was opened with a quote is closed by it.
+    quote = F.regexp_extract("before", "[\"']$", 0)
+    return rows.withColumn("after", F.concat(quote, "after"))
 
 
 def _tree_sql(node, columns: list[str]) -> str:
@@ -126,8 +177,8 @@ _forests: dict[str, list] = {}
 
 
 def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 7):
-    """The random forest of labelled findings (value, before, label)."""
-    rows = findings.select("label", *(c.alias(n) for c, n in zip(features(F.col("value"), F.col("before")), NAMES, strict=True)))
+    """The random forest of labelled findings (value, before, after, label)."""
+    rows = findings.select("label", *described(F.col("value"), F.col("before"), F.col("after")))
     ready = VectorAssembler(inputCols=list(NAMES), outputCol="features").transform(rows)
     return RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird", bootstrap=True).fit(ready)
 
@@ -159,7 +210,7 @@ def scan(docs: DataFrame, text: str = "text", out: str = "findings", forest: str
     (out,) = fresh(docs, out)
     body = F.coalesce(F.col(text), F.lit(""))
 
-    def described(v: Column) -> Column:
+    def found_at(v: Column) -> Column:
         # The text is split at the value: a piece's end, and what precedes it, are the words before one occurrence. A mark that no
         # text holds stands for the value, since a long one makes a slow pattern.
         mark = F.concat(F.lit("\uffff"), F.md5(F.encode(body, "UTF-8")))
@@ -169,21 +220,21 @@ def scan(docs: DataFrame, text: str = "text", out: str = "findings", forest: str
 
         def place(i: Column) -> Column:
             joined = F.call_function("array_join", F.slice(pieces, F.greatest(i - back, F.lit(1)), F.least(i, back + 1)), v)
-            before, after = F.right(joined, F.lit(CONTEXT)), F.element_at(pieces, i + 1)
+            before, after = F.right(joined, F.lit(CONTEXT)), F.left(F.element_at(pieces, i + 1), F.lit(CONTEXT))
             inside = before.rlike("[A-Za-z0-9]$") | after.rlike("^[A-Za-z0-9]") | ((after == "") & (i < n) & v.rlike("^[A-Za-z0-9]"))
-            return F.struct(inside.alias("inside"), F.struct(*(c.alias(k) for c, k in zip(features(v, before)[-3:], NAMES[-3:], strict=True))).alias("f"))
+            return F.struct(inside.alias("inside"), F.struct(*_named(place_features(before, after), PLACE)).alias("f"))
 
         places = F.array_distinct(F.transform(F.sequence(F.lit(1), n), place))
         # Parts of longer tokens are no occurrences of their own, unless there is no other.
         alone = F.filter(places, lambda p: ~p["inside"])
-        own = F.struct(*(c.alias(k) for c, k in zip(features(v, F.lit(""))[:-3], NAMES[:-3], strict=True)))
+        own = F.struct(*_named(own_features(v), OWN))
         start = F.length(F.element_at(pieces, 1)) + 1
         return F.struct(v.alias("value"), start.cast("int").alias("start"), n.alias("count"), own.alias("own"), F.when(F.size(alone) > 0, alone).otherwise(places).alias("places"))
 
-    found = F.transform(candidates(body), described)
+    found = F.transform(candidates(body), found_at)
     # The rows with candidates are few: the flag lets whole-stage code skip the rest of the work for all others.
     (held,) = fresh(docs.withColumn(out, F.lit(0)), "held_findings")
-    fields = ", ".join(f"'{k}', {'v.own' if k in NAMES[:-3] else 'p.f'}.{k}" for k in NAMES)
+    fields = ", ".join(f"'{k}', {'v.own' if k in OWN else 'p.f'}.{k}" for k in NAMES)
     scores = f"transform(transform(v.places, p -> named_struct('f', named_struct({fields}))), x -> {forest})"
     scored = f"transform({held}, v -> named_struct('value', v.value, 'start', v.start, 'count', v.count, 'score', array_max({scores})))"
     done = docs.withColumn(held, found).withColumn(out, F.expr(scored)).drop(held)
@@ -205,6 +256,6 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
 
 def op6(spark, sf_dir: str) -> DataFrame:
     """The accepted findings of all documents, without the secrets themselves: their SHA-256, place, length, count and score."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     rows = scan(docs).select("doc_id", F.explode("findings").alias("f")).filter("f.is_secret")
     return rows.select("doc_id", F.sha2("f.value", 256).alias("value_sha256"), F.col("f.start").alias("start"), F.length("f.value").alias("length"), F.col("f.count").alias("count"), F.col("f.score").alias("score"))
