@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pingmill.llm.common import encode_by_chunks, fresh, ship, table, text_slices
+from pingmill.llm.common import encode_by_chunks, fresh, ship, spread, table, text_slices
 
 #: White space as the Unicode property has it.
 SPACE = r"\t\n\x0B\f\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -426,4 +426,4 @@ def vocabulary() -> tuple[str, str]:
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
-    return round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), *vocabulary())
+    return round_trip(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), *vocabulary())

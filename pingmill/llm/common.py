@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -31,7 +32,9 @@ def ship(spark: SparkSession) -> None:
         return
     _shipped.add(app)
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    target = os.path.join(tempfile.mkdtemp(prefix="pingmill-"), "pingmill_code.zip")
+    folder = tempfile.mkdtemp(prefix="pingmill-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = os.path.join(folder, "pingmill_code.zip")
     with zipfile.ZipFile(target, "w") as z:
         for folder, _, names in os.walk(root):
             for name in names:
@@ -48,14 +51,15 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where that is unset, a folder of our own."""
+    """The folder that driver and executors share, as a URI: spark.checkpoint.dir; only where that is unset, a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "pingmill")
         os.makedirs(found[7:], exist_ok=True)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(found)
-    return found
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pingmill.llm.common import discard, encode_by_chunks, new_path, ship, table, text_slices, written
+from pingmill.llm.common import discard, encode_by_chunks, new_path, ship, spread, table, text_slices, written
 
 LIMIT, BLOCK, LANE, END = 18, 1 << 16, 256, 2
 MEMO, MEMO_CHARS, TOGETHER = 300_000, 64, 200
@@ -370,5 +370,5 @@ def op3(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = new_path(spark, "token-files")
-    token_files(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), path)
+    token_files(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), public_tokenizers.path("byte_bpe_50k.json"), path)
     return read_files(spark, path)

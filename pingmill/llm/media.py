@@ -5,7 +5,8 @@ Archives are read by `media_source` (byte-range partitions, Arrow batches, retri
 
 Defined results: null and empty texts are 64 zero bytes; equal texts give equal media, digests and features wherever they stand;
 rows of equal doc_id are all kept; a null doc_id stays null; an empty table gives no archives and no rows; a long text is
-compressed row block by row block.
+compressed row block by row block; columns other than doc_id and the text are not read, and columns that describe adds get leading
+underscores where their names are taken.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pingmill.llm import media_source
-from pingmill.llm.common import fresh, new_path, ship, table
+from pingmill.llm.common import fresh, new_path, ship, spread, table
 
 WIDTH, ROWS, LEVEL = 64, 1 << 14, 1
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -140,5 +141,5 @@ def describe(archives: DataFrame, media: str = "media") -> DataFrame:
 
 def op9(spark, sf_dir: str) -> DataFrame:
     path = new_path(spark, "media")
-    write_archives(table(spark, sf_dir, "documents").select("doc_id", "text"), path).agg(F.sum("members")).first()
+    write_archives(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), path).agg(F.sum("members")).first()
     return describe(read_archives(spark, path)).drop("archive", "offset", "length")

@@ -1,16 +1,20 @@
 """A Spark data source for directories of media archives. Self-contained: Spark ships it to workers by value.
 
-An archive is its members' bytes, then a directory of fixed-width entries in member order, then a footer. Planning reads one footer
-an archive and cuts its directory into byte ranges of about `target` bytes of members; it never lists members on the driver. A
-task reads its slice of the directory and streams the members through Arrow in batches of about `batch` bytes. A member whose read
-fails or whose checksum is wrong is read again by its own offset, up to `retries` times, without touching its neighbours.
+An archive is its members' bytes, then a directory of fixed-width entries in member order, then a footer. Its name tells how many
+members there are and where the directory begins, so planning lists names only and cuts each directory into byte ranges of about
+`target` bytes of members; it opens no archive (but such as are named otherwise, several at a time) and never lists members. A
+task checks the footer, reads its slice of the directory and streams the members through Arrow in batches of about `batch` bytes. A
+member whose read fails or whose checksum is wrong is read again by its own offset, up to `retries` times, without touching its
+neighbours.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyarrow import fs
@@ -20,19 +24,25 @@ ENTRY = "<?qQQIQ"  # has id, id, offset, length, crc32, bytes before padding
 FOOTER = "<8sQQ"  # magic, members, where the directory begins
 MAGIC = b"MEDIAARC"
 SUFFIX = ".arc"
+FIGURES = re.compile(r"\.m(\d+)\.d(\d+)\.arc$")
 SCHEMA = "doc_id long, n_bytes long, archive string, offset long, length long, media binary"
 
 
+def open_store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The Arrow file system and path of a URI as Hadoop writes it."""
+    return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", re.sub(r"^s3[an]://", "s3://", uri)))
+
+
 class ArchiveWriter:
     """Writes one archive under a temporary name; close() gives it its final name, so unfinished ones are never read.
 
-    The final name comes from the partition: a task that runs twice writes the same archive twice.
+    The final name comes from the partition and the archive's figures: a task that runs twice writes the same archive twice.
     """
 
     def __init__(self, root_uri: str, name: str, attempt: str):
-        self.store, self.root = fs.FileSystem.from_uri(root_uri)
+        self.store, self.root = open_store(root_uri)
         self.store.create_dir(self.root, recursive=True)
-        self.temporary, self.final = f"{self.root}/_{attempt}", f"{self.root}/{name}{SUFFIX}"
+        self.temporary, self.name = f"{self.root}/_{attempt}", f"{self.root}/{name}"
         self.out = self.store.open_output_stream(self.temporary, compression=None)
         self.at, self.entries = 0, []
 
@@ -45,6 +55,7 @@ class ArchiveWriter:
         self.out.write(b"".join(self.entries))
         self.out.write(struct.pack(FOOTER, MAGIC, len(self.entries), self.at))
         self.out.close()
+        self.final = f"{self.name}.m{len(self.entries)}.d{self.at}{SUFFIX}"
         try:
             self.store.move(self.temporary, self.final)
         except OSError:
@@ -68,22 +79,36 @@ class ArchiveReader(DataSourceReader):
         self.retries = int(options.get("retries", 3))
 
     def partitions(self) -> list[Slice]:
-        store, root = fs.FileSystem.from_uri(self.uri)
+        store, root = open_store(self.uri)
         if store.get_file_info(root).type == fs.FileType.NotFound:
             return [Slice("", 0, 0, 0)]
+        files = [x for x in store.get_file_info(fs.FileSelector(root, recursive=True)) if x.type == fs.FileType.File and x.path.endswith(SUFFIX)]
+        # Of one partition's archives (a task that ran twice on rows in another order) the last one counts.
+        latest = {FIGURES.sub("", x.path): x for x in sorted(files, key=lambda x: (x.mtime_ns or 0, x.path))}
+        files = sorted(latest.values(), key=lambda x: x.path)
+        with ThreadPoolExecutor(16) as pool:
+            figures = list(pool.map(lambda x: self._figures(store, x.path), files))
         out = []
-        for info in sorted(store.get_file_info(fs.FileSelector(root, recursive=True)), key=lambda x: x.path):
-            if info.type != fs.FileType.File or not info.path.endswith(SUFFIX):
-                continue
-            with store.open_input_file(info.path) as f:
-                f.seek(info.size - struct.calcsize(FOOTER))
-                magic, members, directory = struct.unpack(FOOTER, f.read(struct.calcsize(FOOTER)))
-            if magic != MAGIC:
-                raise ValueError(f"{info.path} is not a media archive")
+        for info, (members, directory) in zip(files, figures, strict=True):
             step = max(1, members * self.target // max(1, directory))
             out += [Slice(info.path, k, min(step, members - k), directory) for k in range(0, members, step)]
         return out or [Slice("", 0, 0, 0)]
 
+    def _figures(self, store, path: str) -> tuple[int, int]:
+        named = FIGURES.search(path)
+        if named:
+            return int(named[1]), int(named[2])
+        with store.open_input_file(path) as f:
+            return self._footer(f, path)
+
+    @staticmethod
+    def _footer(f, path: str) -> tuple[int, int]:
+        f.seek(f.size() - struct.calcsize(FOOTER))
+        magic, members, directory = struct.unpack(FOOTER, f.read(struct.calcsize(FOOTER)))
+        if magic != MAGIC:
+            raise ValueError(f"{path} is not a media archive")
+        return members, directory
+
     def member(self, store, path: str, f, offset: int, length: int, crc: int) -> bytes:
         """One member by its offset; a failed attempt opens the file anew."""
         for attempt in range(self.retries + 1):
@@ -102,10 +127,13 @@ class ArchiveReader(DataSourceReader):
     def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
         if not partition.count:
             return
-        store, _ = fs.FileSystem.from_uri(self.uri)
+        store, _ = open_store(self.uri)
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         with store.open_input_file(partition.path) as f:
+            members, directory = self._footer(f, partition.path)
+            if directory != partition.directory or partition.first + partition.count > members:
+                raise ValueError(f"{partition.path} is not the archive that its name tells of")
             f.seek(partition.directory + partition.first * struct.calcsize(ENTRY))
             entries = f.read(partition.count * struct.calcsize(ENTRY))
             rows, size = [], 0

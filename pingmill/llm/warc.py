@@ -1,8 +1,10 @@
 """WARC archives: writing with revisit records, and reading as a table of chunks.
 
 Writing: payloads are digested in the JVM; for each digest the record with the largest id is the response and all others are
-revisits of it. Tasks write one gzip member a record into files of the shared folder and return a table of segments (file, offset,
-length); only segments of successful tasks are in that table, so a lost executor leaves at most files that nobody reads.
+revisits of it. Payloads reach the writers as chunk rows of at most `CHUNK` bytes (revisits without any), which are compressed and
+digested one by one; a payload whose bytes disagree with its digest stops the write. Tasks write one gzip member a record into
+files of the shared folder and return a table of segments (file, offset, length); only segments of successful tasks are in that
+table, so a lost executor leaves at most files that nobody reads.
 
 Reading: a task streams its segments through a decompressor and emits rows (record, chunk number, chunk), each with the bytes and
 the SHA-1 so far. No payload is ever held whole: a record of any size is a sequence of rows of at most `CHUNK` bytes, and the row
@@ -10,7 +12,7 @@ marked `last` carries the digest of all of it. A response whose bytes disagree w
 
 Defined results: null html is the empty payload; a null url has no WARC-Target-URI; rows of equal id that are the largest of their
 digest are all responses; null ids are written as such and revisit any other; payloads under `least` bytes are always responses;
-an empty table gives no segments and no rows.
+an empty table gives no segments and no rows; columns other than page_id, url and html are not read, so none can clash.
 """
 
 from __future__ import annotations
@@ -23,11 +25,11 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pingmill.llm.common import new_path, ship, table, written
+from pingmill.llm.media_source import open_store
 
 CHUNK, SEGMENT, BLOCK = 1 << 20, 8 << 20, 1 << 16
 LEAST = 0
@@ -45,53 +47,81 @@ def roles(pages: DataFrame, least: int = LEAST) -> DataFrame:
     return rows.join(shared, "sha1", "left").withColumn("response", F.when(F.length("body") >= least, F.col("response")))
 
 
-def record(page_id: int | None, url: str | None, body: bytes, sha1: str, refers_to: int | None, revisit: bool) -> Iterator[bytes]:
-    """The bytes of one WARC record, in order; the payload is passed on in slices."""
+def record_chunks(rows: DataFrame) -> DataFrame:
+    """Rows of `roles` as chunk rows: page_id, url, sha1, response, size, chunk_no, last, chunk. A record's rows follow each other."""
+    size = F.length("body")
+    revisit = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
+    count = F.when(revisit, 1).otherwise(F.greatest(F.lit(1), F.ceil(size / CHUNK))).cast("int")
+    each = rows.select("page_id", "url", "sha1", "response", "body", size.cast("long").alias("size"), revisit.alias("revisit"), count.alias("count"))
+    each = each.select("*", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("chunk_no"))
+    chunk = F.when(F.col("revisit"), F.lit(b"")).otherwise(F.substring("body", F.col("chunk_no") * CHUNK + 1, F.lit(CHUNK)))
+    return each.select("page_id", "url", "sha1", "response", "size", "revisit", "chunk_no", (F.col("chunk_no") == F.col("count") - 1).alias("last"), chunk.alias("chunk"))
+
+
+def record_head(page_id: int | None, url: str | None, size: int, sha1: str, refers_to: int | None, revisit: bool) -> bytes:
+    """A WARC record up to its payload."""
     digest = base64.b32encode(bytes.fromhex(sha1)).decode()
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode()
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n"
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{digest}"]
     if url is not None:
         head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
     if revisit:
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
-    head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(http) + (0 if revisit else len(body))}"]
-    yield ("\r\n".join(head) + "\r\n\r\n").encode()
-    yield http
-    if not revisit:
-        for at in range(0, len(body), CHUNK):
-            yield body[at : at + CHUNK]
-    yield b"\r\n\r\n"
+    head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(http) + (0 if revisit else size)}"]
+    return ("\r\n".join(head) + "\r\n\r\n" + http).encode()
+
+
+class RecordWriter:
+    """Writes chunk rows as gzip members, one a record, to a stream; segments tells where about `SEGMENT` bytes of them lie."""
+
+    def __init__(self, out, level: int):
+        self.out, self.level = out, level
+        self.at = self.start = 0
+        self.segments: list[tuple[int, int]] = []
+
+    def add(self, page_id: int | None, url: str | None, sha1: str, response: int | None, size: int, revisit: bool, chunk_no: int, last: bool, chunk: bytes) -> None:
+        if chunk_no == 0:
+            self.press, self.digest = zlib.compressobj(self.level, zlib.DEFLATED, 31), hashlib.sha1()
+            self._put(self.press.compress(record_head(page_id, url, size, sha1, response, revisit)))
+        self.digest.update(chunk)
+        self._put(self.press.compress(chunk))
+        if last:
+            if not revisit and self.digest.hexdigest() != sha1:
+                raise ValueError(f"record {page_id}: its payload has SHA-1 {self.digest.hexdigest()}, not {sha1}")
+            self._put(self.press.compress(b"\r\n\r\n") + self.press.flush())
+            if self.at - self.start >= SEGMENT:
+                self.cut()
+
+    def _put(self, data: bytes) -> None:
+        self.out.write(data)
+        self.at += len(data)
+
+    def cut(self) -> None:
+        if self.at > self.start:
+            self.segments.append((self.start, self.at - self.start))
+            self.start = self.at
 
 
 def write_archives(rows: DataFrame, path: str, level: int = 4) -> DataFrame:
-    """Writes rows(page_id, url, body, sha1, response) as WARC files under `path`; the lazy table of their segments."""
+    """Writes rows of `roles` as WARC files under `path`; the lazy table of their segments."""
     ship(rows.sparkSession)
+    columns = ("page_id", "url", "sha1", "response", "size", "revisit", "chunk_no", "last", "chunk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(path)
+        store, root = open_store(path)
         store.create_dir(root, recursive=True)
-        name = f"{root}/{uuid.uuid4().hex}.warc.gz"
-        segments, start, at, out = [], 0, 0, None
+        name, writer = f"{root}/{uuid.uuid4().hex}.warc.gz", None
         for batch in batches:
             for k in range(batch.num_rows):
-                page, url, body, sha1, response = (batch.column(c)[k].as_py() for c in ("page_id", "url", "body", "sha1", "response"))
-                if out is None:
-                    out = store.open_output_stream(name, compression=None)
-                revisit = response is not None and page != response
-                press = zlib.compressobj(level, zlib.DEFLATED, 31)
-                for part in record(page, url, body, sha1, response, revisit):
-                    at += out.write(press.compress(part))
-                at += out.write(press.flush())
-                if at - start >= SEGMENT:
-                    segments.append((start, at - start))
-                    start = at
-        if out is not None:
-            out.close()
-            if at > start:
-                segments.append((start, at - start))
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(segments)), pa.array([x for x, _ in segments], pa.int64()), pa.array([n for _, n in segments], pa.int64())], names=["file", "offset", "length"])
-
-    return rows.select("page_id", "url", "body", "sha1", "response").mapInArrow(run, "file string, offset long, length long")
+                writer = writer or RecordWriter(store.open_output_stream(name, compression=None), level)
+                writer.add(*(batch.column(c)[k].as_py() for c in columns))
+        if writer is not None:
+            writer.out.close()
+            writer.cut()
+            found = writer.segments
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(found)), pa.array([x for x, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())], names=["file", "offset", "length"])
+
+    return record_chunks(rows).select(*columns).mapInArrow(run, "file string, offset long, length long")
 
 
 class _Members:
@@ -182,7 +212,7 @@ def chunk_table(segments: DataFrame, keep: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in batch.to_pylist():
-                store, name = fs.FileSystem.from_uri(s["root"])[0], s["file"]
+                store, name = open_store(s["root"])[0], s["file"]
                 with store.open_input_file(name) as f:
                     f.seek(s["offset"])
                     rows, size = [], 0

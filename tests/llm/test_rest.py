@@ -408,6 +408,27 @@ def test_members_are_retried_by_offset(tmp_path):
         reader.member(store, "p", io.BytesIO(b"..abd.."), 2, 3, 1)
 
 
+def test_planning_reads_names_only(tmp_path):
+    w = media_source.ArchiveWriter(f"file:{tmp_path}", "part-0", "x")
+    for i in range(3):
+        w.add(i, b"abc", 3)
+    path, members, size = w.close()
+    assert path.endswith(".m3.d9.arc") and (members, size) == (3, 9)
+    reader = media_source.ArchiveReader({"path": f"file://{tmp_path}"})
+
+    class Names:
+        def get_file_info(self, x):
+            return media_source.open_store(f"file://{tmp_path}")[0].get_file_info(x)
+
+    assert reader._figures(Names(), path) == (3, 9)  # without a way to open anything
+    other = path.replace(".m3.d9", "")
+    (tmp_path / other.rsplit("/", 1)[1]).write_bytes(open(path, "rb").read())
+    assert sorted((p.count, p.directory) for p in reader.partitions()) == [(3, 9), (3, 9)]
+    (tmp_path / path.rsplit("/", 1)[1]).rename(tmp_path / "part-0.m2.d9.arc")
+    with pytest.raises(ValueError, match="name"):
+        list(reader.read(media_source.Slice(str(tmp_path / "part-0.m2.d9.arc"), 2, 2, 9)))
+
+
 def test_unfinished_archives_are_not_read(tmp_path):
     w = media_source.ArchiveWriter(f"file://{tmp_path}", "part-0", "x")
     w.add(1, b"a", 1)
@@ -445,16 +466,32 @@ def test_least_size_of_revisits(spark):
     assert {(r.page_id, r.record_type) for r in rows} == {(1, "response"), (2, "response"), (3, "revisit"), (4, "response")}
 
 
-def test_wrong_bytes_stop_the_read():
+def gzip_member(chunks, sha1, size):
     out = io.BytesIO()
+    w = warc.RecordWriter(out, 4)
+    for k, c in enumerate(chunks):
+        w.add(1, "u", sha1, None, size, False, k, k == len(chunks) - 1, c)
+    return out, w
+
+
+def test_wrong_bytes_stop_the_write_and_the_read():
+    sha1 = hashlib.sha1(b"abcd").hexdigest()
+    out, w = gzip_member([b"ab", b"cd"], sha1, 4)
+    w.cut()
+    assert w.segments == [(0, out.tell())]
+    with pytest.raises(ValueError, match="record 1"):
+        gzip_member([b"ab", b"ce"], sha1, 4)
     press = zlib.compressobj(4, zlib.DEFLATED, 31)
-    for part in warc.record(1, "u", b"abc", hashlib.sha1(b"abd").hexdigest(), None, False):
-        out.write(press.compress(part))
-    out.write(press.flush())
-    n = out.tell()
-    out.seek(0)
+    bad = press.compress(warc.record_head(1, "u", 4, sha1, None, False) + b"abce\r\n\r\n") + press.flush()
     with pytest.raises(ValueError, match="record 1"):
-        list(warc.chunks(out, n))
+        list(warc.chunks(io.BytesIO(bad), len(bad)))
+
+
+def test_payloads_reach_the_writer_as_chunks(spark):
+    big = "b" * (2 * warc.CHUNK + 1)
+    df = spark.createDataFrame([(1, "u", big), (2, "u", big), (3, "u", None)], "page_id long, url string, html string").withColumn("body", F.lit("mine"))
+    rows = warc.record_chunks(warc.roles(df)).orderBy("page_id", "chunk_no").collect()
+    assert [(r.page_id, r.chunk_no, r.last, len(r.chunk), r.size) for r in rows] == [(1, 0, True, 0, len(big)), (2, 0, False, warc.CHUNK, len(big)), (2, 1, False, warc.CHUNK, len(big)), (2, 2, True, 1, len(big)), (3, 0, True, 0, 0)]
 
 
 # ---- all
