@@ -328,3 +328,17 @@ def near(vectors: DataFrame, bound: float = BOUND, recall: float = RECALL, slab:
 def op7(spark, sf_dir: str) -> DataFrame:
     out = near(table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v")))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")) & F.col("vec_id").isNotNull())
+
+
+#: All pairs, for small tables: exact links, and components by walking them. Recall of the operator is measured against this in the tests.
+ORACLE = """
+WITH RECURSIVE u AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND list_count(embedding) = len(embedding) AND isfinite(list_sum(CAST(embedding AS DOUBLE[]))) AND list_min(embedding) > '-infinity'::FLOAT
+    AND list_max(embedding) < 'infinity'::FLOAT AND (list_min(embedding) <> 0 OR list_max(embedding) <> 0)),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+r AS (SELECT vec_id, vec_id AS c FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.c),
+k AS (SELECT vec_id, min(c) AS component_id FROM r GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT k.vec_id, coalesce(n_links, 0) AS n_links, component_id, k.vec_id = component_id AS kept FROM k LEFT JOIN n ON n.vec_id = k.vec_id
+"""

@@ -143,3 +143,15 @@ def op9(spark, sf_dir: str) -> DataFrame:
     path = new_path(spark, "media")
     write_archives(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), path).agg(F.sum("members")).first()
     return describe(read_archives(spark, path)).drop("archive", "offset", "length")
+
+
+def payload_digests(spark, sf_dir: str) -> DataFrame:
+    """What SQL can say of op9's result: the payloads as they were read back from the archives."""
+    return op9(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+p AS (SELECT doc_id, b, octet_length(b) AS n, greatest(1, (octet_length(b) + 63) // 64) * 64 AS m FROM d)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(m AS BIGINT) AS payload_bytes, sha256(b || repeat('\x00'::BLOB, m - n)) AS payload_sha256 FROM p
+"""

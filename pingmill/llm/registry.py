@@ -25,8 +25,9 @@ def queries() -> dict[str, Query]:
         "op9_media_archives": media.op9,
         "op10_warc_chunks": warc.op10,
         "pipeline": _pipeline,
+        "media_payload_digests": media.payload_digests,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_curriculum_mix": mixing.ORACLE, "op10_warc_chunks": warc.ORACLE}
+    return {"op5_curriculum_mix": mixing.ORACLE, "op7_cap_filters": capfilter.ORACLE, "op10_warc_chunks": warc.ORACLE, "media_payload_digests": media.ORACLE}

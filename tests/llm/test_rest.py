@@ -499,7 +499,7 @@ def test_payloads_reach_the_writer_as_chunks(spark):
 
 def test_queries_against_sql(spark):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "embeddings", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     for name, sql in registry.oracle_sql().items():
         result = con.execute(sql)
