@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pingmill.llm.common import encode_by_chunks, fresh, ship, spread, table, text_slices
+from pingmill.llm.common import encode_by_chunks, fresh, ship, spread, table, text_slices, turn_to
 
 #: White space as the Unicode property has it.
 SPACE = r"\t\n\x0B\f\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -356,6 +356,7 @@ _codecs: dict[tuple[str, str], Codec] = {}
 
 def codec(path: str, pattern: str) -> Codec:
     """One codec a worker process: its states and memory serve all of the worker's tasks."""
+    turn_to("bpe", _codecs.clear)
     if (path, pattern) not in _codecs:
         _codecs[path, pattern] = Codec(path, pattern)
     return _codecs[path, pattern]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -44,6 +45,21 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(target)
 
 
+_memories: dict[str, Callable[[], None]] = {}
+
+
+def turn_to(operator: str, release: Callable[[], None] | None = None) -> None:
+    """Called by tasks: a Python worker that turns to another operator lets go of what the former one kept from task to task.
+
+    release: how to let go of what this one is about to keep.
+    """
+    for name in [n for n in _memories if n != operator]:
+        _memories.pop(name)()
+        gc.collect()
+    if release:
+        _memories[operator] = release
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A plain scan's rows dealt over all cores where it has fewer splits than those (one large row group is one split)."""
     cores = df.sparkSession.sparkContext.defaultParallelism

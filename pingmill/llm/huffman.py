@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pingmill.llm.common import discard, encode_by_chunks, new_path, ship, spread, table, text_slices, written
+from pingmill.llm.common import discard, encode_by_chunks, new_path, ship, spread, table, text_slices, turn_to, written
 
 LIMIT, BLOCK, LANE, END = 18, 1 << 16, 256, 2
 MEMO, MEMO_CHARS, TOGETHER = 300_000, 64, 200
@@ -235,6 +235,7 @@ _encoders: dict[tuple[str, bool], Encoder] = {}
 
 def encoder(path: str, special_as_text: bool = False) -> Encoder:
     """One encoder a worker process: its memory of chunks serves all of the worker's tasks."""
+    turn_to("huffman", _encoders.clear)
     if (path, special_as_text) not in _encoders:
         _encoders[path, special_as_text] = Encoder(path, special_as_text)
     return _encoders[path, special_as_text]

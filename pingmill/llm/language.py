@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pingmill.llm.common import fresh, ship, spread, table, text_slices, written
+from pingmill.llm.common import fresh, ship, spread, table, text_slices, turn_to, written
 
 N, PROBES, SLOTS_PER_GRAM = 3, 4, 12
 MIN_FREQUENCY, RATIO = 1e-5, 0.2
@@ -175,6 +175,7 @@ def learn(docs: DataFrame, min_frequency: float = MIN_FREQUENCY, ratio: float =
     ship(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("language")
         sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
         def add(lang: str, keys: np.ndarray, n: np.ndarray) -> None:
@@ -217,6 +218,7 @@ def identify(docs: DataFrame, filters: BitFilters, text: str = "text", lang_out:
     schema = docs.select("*", F.lit("").alias(lang_out), F.lit(0.0).alias(score_out)).schema
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("language")
         for batch in batches:
             for a, b in text_slices(batch, text, 16 * PIECE):
                 part = batch.slice(a, b - a)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pingmill.llm.common import discard, fresh, ship, spread, table, written
+from pingmill.llm.common import discard, fresh, ship, spread, table, turn_to, written
 from pingmill.llm.graph import components
 
 SHINGLE, SEED, NEAR = 3, 42, 3
@@ -79,6 +79,7 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp") -> DataFr
     schema = docs.select(*rest, F.lit(0).cast("long").alias(out)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("simhash")
         for batch in batches:
             got = np.fromiter((fingerprint(x.as_py()) for x in batch.column(text)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(got.view(np.int64))], names=[*rest, out])

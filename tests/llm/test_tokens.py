@@ -105,6 +105,16 @@ def test_a_vocabulary_must_hold_all_bytes():
         bpe.Transducer({bytes([b]): b for b in range(256) if b != 97})
 
 
+def test_a_worker_that_turns_to_another_operator_lets_go():
+    from pingmill.llm import common
+
+    bpe.codec(*bpe.vocabulary())
+    common.turn_to("bpe")
+    assert bpe._codecs
+    common.turn_to("another")
+    assert not bpe._codecs and not common._memories
+
+
 def test_query_1(docs, folder, spark, reference):
     rows = [(i, t) for i, t in enumerate(ODD)] + [(90, None), (None, "x"), (3, "a")]
     d = folder(documents=docs(rows))
