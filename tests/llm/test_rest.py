@@ -366,9 +366,18 @@ def test_query_9(docs, folder, spark):
     assert all(want[r.payload_sha256] == (r.n_bytes, r.payload_bytes, r.tail_crc32) for r in got if r.doc_id != 3)
     same = {(r.payload_sha256, r.media_sha256, r.feature) for r in got if r.n_bytes == 4}
     assert len(same) == 1
+    archives = media.read_archives(spark, written_archives(spark, docs(rows))).withColumn("FEATURE", F.lit("mine"))
+    described = media.describe(archives)
+    assert len(described.columns) == len(set(map(str.lower, described.columns))) and {r.FEATURE for r in described.collect()} == {"mine"}
     assert media.op9(spark, folder_of_none(spark, docs)).count() == 0
 
 
+def written_archives(spark, df):
+    path = new_path(spark, "test-media")
+    media.write_archives(df.withColumn("media", F.lit(1)), path).collect()
+    return path
+
+
 def folder_of_none(spark, docs):
     path = new_path(spark, "none")
     docs([(1, "a")]).limit(0).write.parquet(f"{path}/documents.parquet")
