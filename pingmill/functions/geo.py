@@ -104,7 +104,10 @@ def _thin(points: list, tolerance: float) -> list:
 
 
 def simplify(ring: Column, tolerance: float = 0.0008) -> Column:
-    """Fewer vertices, none of the dropped ones farther than the tolerance from what is left; a ring that would collapse stays whole."""
+    """Fewer vertices, none of the dropped ones farther than the tolerance from what is left; a ring that would collapse stays whole.
+
+    Python loops over the vertices of each ring, in Arrow batches: for outlines of areas, of which there are few.
+    """
 
     @F.pandas_udf(f"array<{POINT}>")
     def run(rings: pd.Series) -> pd.Series:
