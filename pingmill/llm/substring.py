@@ -8,17 +8,17 @@ borders depend on nothing but the words near them, however short those are. Chun
    documents or more are candidates. A shared passage of n words has n - 1 hashes in common (the first needs the word before). Its
    first and last `SPAN` of them each name a border that all its documents have, and so do all borders between, so at least
    n - 2 * SPAN words lie in whole shared chunks: 25 of 51. Every shared passage of `WORDS` words therefore holds a candidate.
-2. Neighbouring candidates that are neighbours in one other place too (the first or the last that holds them) are shared with that
-   one document; from `WORDS` words on they are a repeated passage.
-3. All other candidates, and their equals in other documents, are checked exactly: every `WORDS` words in a row around them are
-   hashed and looked up among those of the other documents. So a passage is never pieced together from shorter shared stretches.
+2. Overlapping candidates that overlap in the same way in one other place (the first or the last that holds them) are shared with
+   that one document; from `WORDS` words on they are a repeated passage.
+3. All other candidates, and their equals in other documents, are checked exactly: every `WORDS` words in a row that contain them
+   are hashed and looked up among those of the other documents. So a passage is never pieced together from shorter shared stretches.
 
 Digests are 64 bits: at 10^12 chunks one in 10^7 meets another's by accident, and a passage needs several such neighbours.
 
 Defined results: null and empty texts have no chunks; rows of equal doc_id are one document, so a passage that only they share is not
 repeated; rows equal in id and text give one row a passage; a null doc_id is a document of its own kind, equal to other nulls; a
-passage repeated inside one document only is left alone; the document of the least id keeps the passage; an empty table gives no
-passages; long texts are hashed in windows; columns other than doc_id and the text are not read by `passages` and pass through
+passage repeated inside one document only is left alone; words repeated in step (a stretch that overlaps its own equal) count once;
+the document of the least id keeps the passage; an empty table gives no passages; long texts are hashed in windows; columns other than doc_id and the text are not read by `passages` and pass through
 `remove_copies`, whatever their names.
 """
 
@@ -137,6 +137,16 @@ def run_digests(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.n
     return x ^ (x >> np.uint64(32))
 
 
+def once(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows (.., word, end word, digest) without those that overlap the row before with the same digest: words repeated in step."""
+    word, end_word, digest = columns[3:]
+    order = np.lexsort((word, digest))
+    again = (digest[order][1:] == digest[order][:-1]) & (end_word[order][:-1] > word[order][1:])
+    keep = np.ones(len(word), bool)
+    keep[order[1:][again]] = False
+    return columns if keep.all() else [c[keep] for c in columns]
+
+
 def stretches(data: bytes, words: int = STRETCH) -> list[np.ndarray]:
     """chunk number, start and end (bytes), first and end word, digest of every stretch of whole chunks with `words` words."""
     starts, stops = word_bounds(data)
@@ -148,12 +158,12 @@ def stretches(data: bytes, words: int = STRETCH) -> list[np.ndarray]:
     begins = np.concatenate([[0], ends[:-1]])
     bounds = zip(begins[: int(last.max(initial=0))].tolist(), ends.tolist(), strict=False)
     digests = np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in bounds), np.uint64)
-    return [first, begins[first], ends[last - 1], count[first], count[last], run_digests(digests, first, last)]
+    return once([first, begins[first], ends[last - 1], count[first], count[last], run_digests(digests, first, last)])
 
 
 def key_of(doc_id: Column, text: Column) -> Column:
-    """Names a row among those of its doc_id: 44 bits of a hash, above room for a chunk's number."""
-    return F.xxhash64(doc_id, text).bitwiseAND(F.lit(-NUMBERS))
+    """Names a row among those of its doc_id: 43 bits of a hash, above room for a chunk's number (and far from the ends of longs)."""
+    return F.shiftright(F.xxhash64(doc_id, text), 1).bitwiseAND(F.lit(-NUMBERS))
 
 
 _PLACES = "doc_id long, place long, start long, end long, word long, end_word long, digest long"
@@ -210,7 +220,7 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 
 def _exact(docs: DataFrame, regions: DataFrame, text: str) -> DataFrame:
-    """All runs of WORDS words around the regions(doc_id, key, spans), as rows like those of `chunks`."""
+    """All runs of WORDS words that contain a span of the regions(doc_id, key, spans), as rows like those of `chunks`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found():
@@ -220,8 +230,9 @@ def _exact(docs: DataFrame, regions: DataFrame, text: str) -> DataFrame:
                     data = body.as_buffer().to_pybytes()
                     starts, stops = word_bounds(data)
                     flat = spans.values.flatten()
-                    low = np.maximum(np.searchsorted(starts, flat[0].to_numpy()) - (WORDS - 1), 0)
-                    high = np.minimum(np.searchsorted(starts, flat[1].to_numpy()) + WORDS - 1, len(starts))
+                    low = np.maximum(np.searchsorted(starts, flat[1].to_numpy()) - WORDS, 0)
+                    high = np.minimum(np.searchsorted(starts, flat[0].to_numpy()) + WORDS, len(starts))
+                    low, high = np.minimum(low, high), np.maximum(low, high)
                     near = np.zeros(len(starts) + 1, np.int64)
                     np.add.at(near, low, 1)
                     np.add.at(near, high, -1)
@@ -234,7 +245,7 @@ def _exact(docs: DataFrame, regions: DataFrame, text: str) -> DataFrame:
                     first = first[total[first + WORDS] - total[first] == WORDS]
                     if len(first):
                         last = first + WORDS
-                        yield doc_id, key, [first, starts[first], stops[last - 1], first, last, run_digests(hashes, first, last)]
+                        yield doc_id, key, once([first, starts[first], stops[last - 1], first, last, run_digests(hashes, first, last)])
 
         yield from _emit(found())
 
@@ -256,8 +267,9 @@ def passages(docs: DataFrame, text: str = "text") -> DataFrame:
     key = F.col("place").bitwiseAND(F.lit(-NUMBERS))
     repeated = every.join(shared, "digest").withColumn("key", key)
     order = W.partitionBy("doc_id", "key").orderBy("place")
-    beside = lambda c: F.col(c) == F.lag(c).over(order) + 1
-    turns = {f"turn_{c}": F.sum(F.when(beside("place") & beside(c), 0).otherwise(1)).over(order) for c in ("first", "last")}
+    back = lambda c: F.lag(c).over(order)
+    alike = lambda c: (F.col("word") <= back("end_word")) & (F.col(c) == back(c) + (F.col("place") - back("place")))
+    turns = {f"turn_{c}": F.sum(F.when(alike(c), 0).otherwise(1)).over(order) for c in ("first", "last")}
     runs = repeated.withColumns(turns)
     n_words = lambda c: F.max("end_word").over(W.partitionBy("doc_id", "key", f"turn_{c}")) - F.min("word").over(W.partitionBy("doc_id", "key", f"turn_{c}"))
     alone = lambda c: F.col(c).bitwiseAND(F.lit(-NUMBERS)) != F.col("key")
@@ -272,7 +284,7 @@ def passages(docs: DataFrame, text: str = "text") -> DataFrame:
     columns = ["doc_id", "key", "start", "end", "word", "end_word", "least"]
     found = runs.filter("sure").select(*columns).union(exact.join(known, "digest").withColumn("key", key).select(*columns))
     # Overlapping parts are one passage. Parts with and without a lesser holder are merged by themselves first.
-    found = found.withColumn("own", F.col("least").eqNullSafe(F.col("doc_id"))).groupBy("doc_id", "key", "start", "own").agg(F.max("end").alias("end"), F.min("word").alias("word"), F.max("end_word").alias("end_word"), F.min("least").alias("least"))
+    found = found.withColumn("own", F.col("least").eqNullSafe(F.col("doc_id")))
 
     def merged(rows: DataFrame, keys: list[str], *aggregates: Column) -> DataFrame:
         w = W.partitionBy(*keys).orderBy("start")
