@@ -79,20 +79,33 @@ class CapFilters:
         a = 0.02
         while a < 0.9 and n * cap(d, a) > crowd:
             a += 0.01
-        self.threshold = a
         directions = max(4.0, SHARED / max(both_caps(d, a, bound), 1e-300))
-        self.blocks = min(d, max(2, math.ceil(math.log(directions) / math.log(MOST_CODE))))
-        self.size = math.ceil(directions ** (1 / self.blocks))
-        self.each = self.size**self.blocks
-        self.parts = np.array_split(np.arange(d), self.blocks)
-        self.tables: list[tuple[np.ndarray, list[np.ndarray]]] = []
+        blocks = min(d, max(2, math.ceil(math.log(directions) / math.log(MOST_CODE))))
+        self._shape(d, a, blocks, math.ceil(directions ** (1 / blocks)))
         one, two = self._pairs_at(d, bound)
         met = np.zeros(TRIALS, bool)
         while len(self.tables) < MOST_TABLES and met.mean() < recall:
-            self._add(d)
+            self._add()
             (i, x), (j, y) = self._table(len(self.tables) - 1, one), self._table(len(self.tables) - 1, two)
             met[np.intersect1d(i * self.each + x, j * self.each + y) // self.each] = True
 
+    def _shape(self, d: int, threshold: float, blocks: int, size: int) -> None:
+        self.d, self.threshold, self.blocks, self.size, self.each = d, threshold, blocks, size, size**blocks
+        self.parts = np.array_split(np.arange(d), blocks)
+        self.tables: list[tuple[np.ndarray, list[np.ndarray]]] = []
+
+    @classmethod
+    def again(cls, d: int, threshold: float, blocks: int, size: int, tables: int) -> CapFilters:
+        code = cls.__new__(cls)
+        code._shape(d, threshold, blocks, size)
+        for _ in range(tables):
+            code._add()
+        return code
+
+    def __reduce__(self):
+        """Tasks get five numbers and draw the same tables again."""
+        return CapFilters.again, (self.d, self.threshold, self.blocks, self.size, len(self.tables))
+
     @staticmethod
     def _pairs_at(d: int, bound: float) -> tuple[np.ndarray, np.ndarray]:
         rng = np.random.default_rng([SEED, d])
@@ -102,9 +115,9 @@ class CapFilters:
         w = _unit(w - (w * u).sum(axis=1, keepdims=True) * u)
         return u, bound * u + math.sqrt(1 - bound * bound) * w
 
-    def _add(self, d: int) -> None:
-        rng = np.random.default_rng([SEED, d, len(self.tables)])
-        turn, _ = np.linalg.qr(rng.standard_normal((d, d)))
+    def _add(self) -> None:
+        rng = np.random.default_rng([SEED, self.d, len(self.tables)])
+        turn, _ = np.linalg.qr(rng.standard_normal((self.d, self.d)))
         codes = [_unit(rng.standard_normal((self.size, len(p)))) / math.sqrt(self.blocks) for p in self.parts]
         self.tables.append((turn, codes))
 

@@ -61,9 +61,14 @@ def turn_to(operator: str, release: Callable[[], None] | None = None) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A plain scan's rows dealt over all cores where it has fewer splits than those (one large row group is one split)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """A plain scan's rows dealt over all cores where its files have fewer splits than those (a file of one row group is one split)."""
+    spark, files = df.sparkSession, df.inputFiles()
+    cores = spark.sparkContext.defaultParallelism
+    if not files or len(files) >= cores:
+        return df
+    most, path = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes(), spark._jvm.org.apache.hadoop.fs.Path
+    sizes = [path(f).getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path(f)).getLen() for f in files]
+    return df.repartition(cores) if sum(-(-n // most) for n in sizes) < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -230,13 +230,14 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    node, own, here = None, [], None
+    none = np.zeros(0, np.uint64)
+    node, own, here = None, [none], None
     for batch in batches:
         for number, kind, blob in zip(batch.column("node").to_pylist(), batch.column("kind").to_pylist(), batch.column("fps"), strict=True):
             if number != node:
                 if node is not None:
                     yield edges(*(here or Range(np.concatenate(own))).forest())
-                node, own, here = number, [], None
+                node, own, here = number, [none], None
             fps = np.frombuffer(blob.as_buffer(), np.uint64)
             if kind == 0:
                 own.append(fps)

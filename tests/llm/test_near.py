@@ -162,6 +162,16 @@ def test_decoding_lists_every_exceeding_direction():
         assert found.tolist() == want
 
 
+def test_tasks_draw_the_same_filters():
+    import pickle
+
+    code = capfilter.CapFilters(12, 50)
+    data = pickle.dumps(code)
+    again = pickle.loads(data)
+    v = capfilter._unit(np.random.default_rng(1).standard_normal((40, 12)))
+    assert len(data) < 300 and all((a == b).all() for a, b in zip(code.decode(v), again.decode(v), strict=True))
+
+
 def links_by_brute_force(ids, vectors):
     m = np.array(vectors, np.float64)
     m /= np.linalg.norm(m, axis=1, keepdims=True)
