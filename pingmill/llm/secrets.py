@@ -34,6 +34,9 @@ HEADER = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"
 PREFIXED = r"^(AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk[-_]|AIza|eyJ|glpat-|npm_|-----BEGIN)"
 #: Such tokens wherever they begin: after any character that is no letter or digit; access key ids have a fixed form and length.
 TOKEN = r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:gh[pousr]_|xox[abprs]-|sk[-_]|AIza|eyJ|glpat-|npm_)[A-Za-z0-9+/_.=-]{4,}+"
+#: What a text must hold for the patterns to match at all (the first list in lower case).
+ASSIGNED_PARTS = ("token", "secret", "passw", "pwd", "key", "auth", "credential")
+TOKEN_PARTS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk-", "sk_", "AIza", "eyJ", "glpat-", "npm_")
 #: Word parts that ordinary identifiers and prose are made of.
 DICTIONARY = "able access account action admin after all and any app array at auth back base begin block body build by call change check class clean client code com common config content control copy count create data date db default delete dev dir doc domain end env error event example exit file filter first for form format from func get global group handler has hash head help home host html http id image import in index info init input int is item java job json key lang last length level lib line link list load local lock log main make manager map max message method min mode model module name new next node not null num object of on open option or order org out output package page param parse path plugin port post print process project property public query queue read ref release report request reset resource response result return role root run save schema script search select self server service session set size sort source start state static status stop store stream string sub sync system table tag target task temp test text the time to token tool top tree type undefined update url use user util val value version view web with word work write your".split()
 #: Words that follow a known prefix in ordinary names.
@@ -198,10 +201,19 @@ def default_forest(spark: SparkSession) -> str:
     return _forests[app]
 
 
+def _all(text: Column, pattern: str, group: int = 0, parts: tuple[str, ...] = (), where: Column | None = None) -> Column:
+    """All matches; the pattern is tried only on texts that hold one of the parts without which it cannot match."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    if not parts:
+        return found
+    holds = reduce(lambda a, b: a | b, ((text if where is None else where).contains(p) for p in parts))
+    return F.when(holds, found).otherwise(F.array().cast("array<string>"))
+
+
 def candidates(text: Column) -> Column:
-    found = F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(g)) for p, g in ((RUN, 0), (ASSIGNED, 1), (TOKEN, 0))))
+    found = F.concat(_all(text, RUN), _all(text, ASSIGNED, 1, ASSIGNED_PARTS, F.lower(text)), _all(text, TOKEN, 0, TOKEN_PARTS))
     trimmed = F.transform(found, lambda v: F.regexp_replace(v, r"[.,;:)\]}]+$|^[.=-]{1,3}(?=\w)", ""))
-    return F.array_distinct(F.filter(F.concat(trimmed, F.regexp_extract_all(text, F.lit(HEADER), F.lit(0))), lambda v: F.length(v) >= 8))
+    return F.array_distinct(F.filter(F.concat(trimmed, _all(text, HEADER, 0, ("-----BEGIN ",))), lambda v: F.length(v) >= 8))
 
 
 def scan(docs: DataFrame, text: str = "text", out: str = "findings", forest: str | None = None) -> DataFrame:
@@ -257,5 +269,6 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
 def op6(spark, sf_dir: str) -> DataFrame:
     """The accepted findings of all documents, without the secrets themselves: their SHA-256, place, length, count and score."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    rows = scan(docs).select("doc_id", F.explode("findings").alias("f")).filter("f.is_secret")
+    # Not explode: Spark would infer a filter on the findings' number from it, and scan every text once more for that.
+    rows = scan(docs).select("doc_id", F.explode_outer("findings").alias("f")).filter("f.is_secret")
     return rows.select("doc_id", F.sha2("f.value", 256).alias("value_sha256"), F.col("f.start").alias("start"), F.length("f.value").alias("length"), F.col("f.count").alias("count"), F.col("f.score").alias("score"))
