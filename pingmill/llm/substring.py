@@ -52,13 +52,21 @@ def gear_hash(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def borders(data: bytes) -> list[int]:
-    """Where chunks end. Where no border comes within MOST bytes the least hash there is one, so repetitive text is cut in step too."""
-    raw, ends, last, n = np.frombuffer(data, np.uint8), [], 0, len(data)
-    h = np.empty(n, np.uint16)
-    for at in range(0, n, WINDOW):
+def gear_hashes(raw: np.ndarray) -> np.ndarray:
+    """The same, of any number of bytes in windows."""
+    if len(raw) <= WINDOW:
+        return gear_hash(raw)
+    h = np.empty(len(raw), np.uint16)
+    for at in range(0, len(raw), WINDOW):
         low = max(0, at - 15)
         h[at : at + WINDOW] = gear_hash(raw[low : at + WINDOW])[at - low :]
+    return h
+
+
+def borders(data: bytes) -> list[int]:
+    """Where chunks end. Where no border comes within MOST bytes the least hash there is one, so repetitive text is cut in step too."""
+    ends, last, n = [], 0, len(data)
+    h = gear_hashes(np.frombuffer(data, np.uint8))
     for end in [*(np.flatnonzero(h < (1 << (16 - BITS))) + 1).tolist(), n]:
         while end - last > MOST:
             last += LEAST + int(h[last + LEAST - 1 : last + MOST].argmin())
@@ -79,13 +87,11 @@ def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The 16-bit gear hash of each word's last 16 bytes, mixed with that of the word before."""
-    raw, g = np.frombuffer(data, np.uint8), np.empty(len(starts), np.uint16)
-    back = np.arange(16, dtype=np.uint16)
-    for low in range(0, len(starts), WINDOW >> 4):
-        part = slice(low, low + (WINDOW >> 4))
-        at = ends[part, None] - 1 - back
-        inside = at >= starts[part, None]
-        g[part] = ((GEAR[raw[np.maximum(at, 0)]] << back) * inside).sum(axis=1, dtype=np.uint16)
+    h = gear_hashes(np.frombuffer(data, np.uint8))
+    g, n = h[ends - 1], ends - starts
+    # What the bytes before a word have left of themselves in its hash: theirs, shifted by the word's bytes.
+    before = h[np.maximum(starts - 1, 0)] << np.minimum(n, 15).astype(np.uint16)
+    g -= np.where((n < 16) & (starts > 0), before, np.uint16(0))
     mixed = g * np.uint16(0x9E3B)
     mixed[1:] += (g[:-1] ^ (g[:-1] >> np.uint16(7))) * np.uint16(0x6A4D)
     return mixed ^ (mixed >> np.uint16(8))
@@ -105,7 +111,7 @@ def cuts(data: bytes, starts: np.ndarray, stops: np.ndarray) -> list[int]:
         at = n - (least & ((1 << 40) - 1))
         at = starts[at[np.concatenate([[True], at[1:] != at[:-1]])]]
         ends = [*at[at > 0].tolist(), len(data)]
-    if max(np.diff(ends, prepend=0)) <= MOST:
+    if max(b - a for a, b in zip([0, *ends], ends, strict=False)) <= MOST:
         return ends
     out, last = [], 0
     for end in ends:
@@ -119,18 +125,28 @@ def chunk_words(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.diff(np.searchsorted(starts, ends), prepend=0)
 
 
+INVERSE = pow(BASE, -1, 2**64)
+_powers: dict[int, np.ndarray] = {}
+
+
 def powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    """base ** 0 .. base ** (n - 1) modulo 2 ** 64; those of short documents are kept."""
+    kept = _powers.get(base)
+    if kept is not None and n <= len(kept):
+        return kept[:n]
+    out = np.full(max(n, 4096), base, np.uint64)
+    out[0] = 1
+    out = np.cumprod(out, dtype=np.uint64)
+    if len(out) <= 1 << 16:
+        _powers[base] = out
+    return out[:n]
 
 
 def run_digests(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """A 64-bit digest of values[first:last] for each pair: a polynomial of the values, free of their place, and mixed."""
     n = len(values)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * powers(n, BASE), dtype=np.uint64)])
-    back = powers(n + 1, pow(BASE, -1, 2**64))
+    back = powers(n + 1, INVERSE)
     x = (sums[last] - sums[first]) * back[first] + (last - first).astype(np.uint64)
     x ^= x >> np.uint64(31)
     x *= np.uint64(0xD6E8FEB86659FD93)
