@@ -29,7 +29,7 @@ def pings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     """maid, profile_no, sex, intensity, place1, place2; missing values are the literal \\N."""
     c, n, r = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "nation", "region"))
-    rows = c.join(F.broadcast(n), c["c_nationkey"] == n["n_nationkey"]).join(F.broadcast(r), n["n_regionkey"] == r["r_regionkey"])
+    rows = c.join(n, c["c_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"])  # both small: Spark broadcasts them by their size
     rows = rows.withColumn("profile_no", F.explode(F.array(F.lit(0), F.lit(1)))).filter("(profile_no = 0 OR c_custkey % 3 = 0) AND c_custkey % 10 <> 9")
     k = F.col("c_custkey") + F.col("profile_no")
     pick = lambda n, named: F.when(k % n == list(named)[0], named[list(named)[0]]).when(k % n == list(named)[1], named[list(named)[1]])
