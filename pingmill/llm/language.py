@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pingmill.llm.common import fresh, ship, spread, table, text_slices, turn_to, written
+from pingmill.llm.common import fresh, ship, table, text_slices, turn_to, written
+from pingmill.llm.common import spread as dealt
 
 N, PROBES, SLOTS_PER_GRAM = 3, 4, 12
 MIN_FREQUENCY, RATIO = 1e-5, 0.2
@@ -237,7 +238,7 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     filters = learn(training_rows(docs))
     out = identify(docs.select("doc_id", "text"), filters)
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
