@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pingmill.llm import bpe, capfilter, huffman, language, media, merkle, mixing, secrets, simhash, substring, warc
+from pingmill.llm import bpe, capfilter, huffman, language, media, merkle, mixing, negatives, secrets, simhash, substring, warc
 from pingmill.llm.common import Query
 
 
@@ -25,10 +25,11 @@ def queries() -> dict[str, Query]:
         "op9_media_archives": media.op9,
         "op10_warc_chunks": warc.op10,
         "op11_merkle_octopus": merkle.op11,
+        "op12_hard_negatives": negatives.op12,
         "pipeline": _pipeline,
         "media_payload_digests": media.payload_digests,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_curriculum_mix": mixing.ORACLE, "op7_cap_filters": capfilter.ORACLE, "op10_warc_chunks": warc.ORACLE, "op11_merkle_octopus": merkle.ORACLE, "media_payload_digests": media.ORACLE}
+    return {"op5_curriculum_mix": mixing.ORACLE, "op7_cap_filters": capfilter.ORACLE, "op10_warc_chunks": warc.ORACLE, "op11_merkle_octopus": merkle.ORACLE, "op12_hard_negatives": negatives.ORACLE, "media_payload_digests": media.ORACLE}
