@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pingmill.llm import bpe, capfilter, huffman, language, media, merkle, mixing, negatives, secrets, simhash, substring, warc
+from pingmill.llm import bpe, capfilter, chunks, huffman, language, media, merkle, mixing, negatives, secrets, simhash, substring, warc
 from pingmill.llm.common import Query
 
 
@@ -26,6 +26,7 @@ def queries() -> dict[str, Query]:
         "op10_warc_chunks": warc.op10,
         "op11_merkle_octopus": merkle.op11,
         "op12_hard_negatives": negatives.op12,
+        "op13_chunk_reuse_bpe": chunks.op13,
         "pipeline": _pipeline,
         "media_payload_digests": media.payload_digests,
     }
