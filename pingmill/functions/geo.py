@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pingmill.functions.cover import within  # noqa: F401  point in polygon, over adaptive covers of the areas
+
 EARTH_KM = 6371.0
 POINT = "struct<lon:double,lat:double>"
 
@@ -62,20 +64,6 @@ def inside_area(lon: Column, lat: Column, ring: Column, holes: Column | None = N
     return found & ~F.exists(F.coalesce(holes, F.array()), lambda h: (_crossings(lon, lat, h) % 2 == 1) | on_edge(lon, lat, h))
 
 
-def within(points: DataFrame, areas: DataFrame, tile: float = 0.05, name: str = "name") -> DataFrame:
-    """Left join of points(longitude, latitude) to areas(name, ring[, holes]) that strictly contain them; '' where none does.
-
-    Areas are cut into tiles of their bounding boxes, so that the join has an equal key and only near candidates are tested.
-    """
-    at = lambda c: F.floor(c / F.lit(tile)).cast("long")
-    edge = lambda f, c: f(F.transform("ring", lambda p: p[c]))
-    tiles = areas.withColumn("tx", F.explode(F.sequence(at(edge(F.array_min, "lon")), at(edge(F.array_max, "lon")))))
-    tiles = tiles.withColumn("ty", F.explode(F.sequence(at(edge(F.array_min, "lat")), at(edge(F.array_max, "lat"))))).select(F.col(name).alias("area_name"), "ring", "tx", "ty", *(["holes"] if "holes" in areas.columns else []))
-    p = points.withColumns({"tx": at(F.col("longitude")), "ty": at(F.col("latitude"))})
-    on = (p["tx"] == tiles["tx"]) & (p["ty"] == tiles["ty"]) & inside_area(p["longitude"], p["latitude"], tiles["ring"], tiles["holes"] if "holes" in areas.columns else None)
-    return p.join(tiles, on, "left").select(*points.columns, F.coalesce("area_name", F.lit("")).alias(name))
-
-
 def clip(areas: DataFrame, west: float, south: float, east: float, north: float) -> DataFrame:
     """Areas whose bounding box meets the given one."""
     edge = lambda f, c: f(F.transform("ring", lambda p: p[c]))

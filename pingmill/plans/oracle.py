@@ -30,6 +30,21 @@ people AS (
   WHERE (d.k = 0 OR c.c_custkey % 3 = 0) AND c.c_custkey % 10 <> 9),
 profiles AS (SELECT * FROM people WHERE profile_no = 0)"""
 
+#: Areas of the suppliers: corners (part 0: the ring, 1: the hole), edges, and the pings strictly within.
+AREAS = """
+a AS (SELECT s_suppkey AS k, 'area' || s_suppkey AS name, 110.0::DOUBLE + (s_suppkey * 31) % 80 / 100.0::DOUBLE AS lon0, -8.2::DOUBLE + (s_suppkey * 47) % 60 / 100.0::DOUBLE AS lat0, 3 + s_suppkey % 7 AS r FROM supplier),
+v AS (SELECT a.*, part, i, lon0 + (mx * r) / 800.0::DOUBLE AS x, lat0 + (my * r) / 800.0::DOUBLE AS y
+      FROM a, (VALUES (0, 0, 0, 0), (0, 1, 8, 0), (0, 2, 8, 4), (0, 3, 4, 4), (0, 4, 4, 8), (0, 5, 0, 8), (1, 0, 1, 1), (1, 1, 3, 1), (1, 2, 3, 3), (1, 3, 1, 3)) t(part, i, mx, my)
+      WHERE part = 0 OR k % 3 = 0)"""
+AREA_HITS = """
+e AS (SELECT v.k, v.name, v.part, v.x AS ax, v.y AS ay, w.x AS bx, w.y AS by, v.lon0, v.lat0, v.r
+      FROM v JOIN v w ON v.k = w.k AND v.part = w.part AND w.i = (v.i + 1) % CASE WHEN v.part = 0 THEN 6 ELSE 4 END),
+h AS (SELECT seq, name, part,
+        sum(CASE WHEN (ay > latitude) <> (by > latitude) AND longitude < (bx - ax) * (latitude - ay) / nullif(by - ay, 0) + ax THEN 1 ELSE 0 END) % 2 = 1 AS odd,
+        bool_or((bx - ax) * (latitude - ay) - (by - ay) * (longitude - ax) = 0 AND longitude BETWEEN least(ax, bx) AND greatest(ax, bx) AND latitude BETWEEN least(ay, by) AND greatest(ay, by)) AS touched
+      FROM pings JOIN e ON longitude BETWEEN lon0 - 0.001 AND lon0 + r / 100.0 + 0.001 AND latitude BETWEEN lat0 - 0.001 AND lat0 + r / 100.0 + 0.001 GROUP BY ALL),
+i AS (SELECT seq, name FROM h GROUP BY seq, name HAVING bool_or(part = 0 AND odd AND NOT touched) AND NOT bool_or(part = 1 AND (odd OR touched)))"""
+
 
 def sql(deg: float, hex_deg: float, areas: dict, box: tuple, baseline: int, clip: tuple) -> dict[str, str]:
     cells = f"""
@@ -100,7 +115,6 @@ hx AS (SELECT CAST(CASE WHEN da > db AND da > dc THEN -b - c ELSE a END AS BIGIN
         for (x1, y1), (x2, y2) in zip(pts, [*pts[1:], pts[0]], strict=True)
     )
     inside = " UNION ALL ".join(f"SELECT seq, '{name}' AS name FROM pings WHERE ({ring(pts)}) % 2 = 1 AND NOT ({edge(pts)})" for name, pts in areas.items())
-    boxes = " UNION ALL ".join(f"SELECT '{name}' AS name, {min(x for x, _ in pts)}::DOUBLE AS w, ({min(y for _, y in pts)})::DOUBLE AS s, {max(x for x, _ in pts)}::DOUBLE AS e, ({max(y for _, y in pts)})::DOUBLE AS n" for name, pts in areas.items())
     hx, hy = f"{hex_deg * 3**0.5!r} * (x + y / 2)", f"{hex_deg * 1.5!r} * y"
     half, size = hex_deg * 3**0.5 / 2, hex_deg
     corners = ((0.0, size), (half, size / 2), (half, -size / 2), (0.0, -size), (-half, -size / 2), (-half, size / 2))
@@ -184,6 +198,7 @@ UNION ALL SELECT maid, 'gap', segment, 2, pt, timestamp, CASE WHEN timestamp - p
         "bbox_clip": f"{base} SELECT {day}, count(*) AS n_pings FROM pings WHERE longitude BETWEEN {west}::DOUBLE AND {east}::DOUBLE AND latitude BETWEEN ({south})::DOUBLE AND ({north})::DOUBLE GROUP BY date",
         "date_range_scan": f"{base} SELECT {day}, count(*) AS n_pings FROM pings WHERE date BETWEEN DATE '2024-01-03' AND DATE '2024-01-05' GROUP BY date",
         "sample": f"{base} SELECT seq, maid FROM pings ORDER BY md5('42/' || CAST(seq AS VARCHAR)), seq LIMIT 100",
-        "area_clip": f"SELECT name FROM ({boxes}) WHERE e >= {clip[0]}::DOUBLE AND w <= {clip[2]}::DOUBLE AND n >= ({clip[1]})::DOUBLE AND s <= ({clip[3]})::DOUBLE",
+        "area_clip": f"WITH {AREAS} SELECT name FROM v WHERE part = 0 GROUP BY name HAVING max(x) >= {clip[0]}::DOUBLE AND min(x) <= {clip[2]}::DOUBLE AND max(y) >= ({clip[1]})::DOUBLE AND min(y) <= ({clip[3]})::DOUBLE",
+        "area_visits": f"{base}, {AREAS}, {AREA_HITS} SELECT coalesce(i.name, '') AS name, count(*) AS n_pings, count(DISTINCT pings.maid) AS n_devices FROM pings LEFT JOIN i USING (seq) GROUP BY 1",
         "point_in_polygon": f"{base}, i AS ({inside}) SELECT coalesce(name, '') AS name, count(*) AS n_pings FROM pings LEFT JOIN i USING (seq) GROUP BY 1",
     }

@@ -41,3 +41,17 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 6 == 0, "\\N").otherwise(F.col("r_name")).alias("place1"),
         F.col("n_name").alias("place2"),
     )
+
+
+#: Corners of a service area and of its hole, in 800ths of a degree times the area's size.
+AREA_RING, AREA_HOLE = ((0, 0), (8, 0), (8, 4), (4, 4), (4, 8), (0, 8)), ((1, 1), (3, 1), (3, 3), (1, 3))
+
+
+def service_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """name, ring, holes: one area for each supplier, of a size and at a place that follow from its key; every third has a hole."""
+    k = F.col("s_suppkey").cast("long")
+    east, north = F.lit(110.0) + (k * 31) % 80 / F.lit(100.0), F.lit(-8.2) + (k * 47) % 60 / F.lit(100.0)
+    corner = lambda x, y: F.struct((east + x * (3 + k % 7) / F.lit(800.0)).alias("lon"), (north + y * (3 + k % 7) / F.lit(800.0)).alias("lat"))
+    ring = lambda corners: F.array(*(corner(x, y) for x, y in corners))
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey")
+    return rows.select(F.concat(F.lit("area"), k.cast("string")).alias("name"), ring(AREA_RING).alias("ring"), F.when(k % 3 == 0, F.array(ring(AREA_HOLE))).alias("holes"))
