@@ -55,11 +55,12 @@ def number(rows: DataFrame, group: str, order: list[str]) -> tuple[DataFrame, in
     """rows with tree (its group's number, null first), size (rows of the group), position in the group and rank among all rows;
     then the number of groups and the size of the largest.
 
-    Rows are range-sorted into files once. The rest needs only one count a file and group: sums over the files of a group (at most
+    Rows (digests, not texts) are written first, since range-sorting reads its input twice, and range-sorted into files once. The rest needs only one count a file and group: sums over the files of a group (at most
     the number of range partitions) and over the files (as many).
     """
     keys = [group, *order]
-    dealt = rows.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*keys, "_tie").sortWithinPartitions(*keys, "_tie").drop("_tie")
+    narrow, _ = written(rows.withColumn("_tie", F.monotonically_increasing_id()), "digests")
+    dealt = narrow.repartitionByRange(*keys, "_tie").sortWithinPartitions(*keys, "_tie").drop("_tie")
     held, _ = written(dealt.withColumn("_at", F.monotonically_increasing_id()), "leaves")
     file = F.shiftright("_at", 33)
     runs = held.groupBy(file.alias("_file"), F.col(group).alias("_group")).agg(F.count("*").alias("_k"), F.min("_at").alias("_first"))
