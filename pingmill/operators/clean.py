@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pingmill.functions.geo import haversine_km
+from pingmill.operators import tiles
 
 MISSING = "\\N"
 
@@ -23,18 +24,16 @@ def clean_mobility(df: DataFrame) -> DataFrame:
     return df.withColumn("datetime", at).withColumns({"date": F.to_date("datetime"), "hour": F.hour("datetime")})
 
 
-def speed_to_previous(order: list[str]) -> tuple[Column, Column]:
-    """(km, minutes) from the previous ping of the device."""
-    w = W.partitionBy("maid").orderBy(*order)
-    back = lambda c: F.lag(c).over(w)
-    return haversine_km(back("longitude"), back("latitude"), F.col("longitude"), F.col("latitude")), (F.col("timestamp") - back("timestamp")) / 60.0
+def speed_outliers(pings: DataFrame, max_kph: float = 120.0, min_gap_min: float = 0.1, out: str = "is_outlier", order=("timestamp", "seq"), tile: int = tiles.WIDTH) -> DataFrame:
+    """pings with a flag: faster than max_kph from the previous raw ping, at least min_gap_min later. First pings and gaps of 0 never are.
 
-
-def speed_outliers(pings: DataFrame, max_kph: float = 120.0, min_gap_min: float = 0.1, out: str = "is_outlier", order=("timestamp", "seq")) -> DataFrame:
-    """pings with a flag: faster than max_kph from the previous raw ping, at least min_gap_min later. First pings and gaps of 0 never are."""
-    km, minutes = speed_to_previous(list(order))
+    order: begins with the time; a device's pings are scanned in tiles of `tile` seconds, so one with most of the rows is spread.
+    """
+    rows = tiles.scan(pings, ["longitude", "latitude", "timestamp"], order=order, width=tile)
+    km = haversine_km(F.col("_prev.longitude"), F.col("_prev.latitude"), F.col("longitude"), F.col("latitude"))
+    minutes = (F.col("timestamp") - F.col("_prev.timestamp")) / 60.0
     fast = km / F.nullif(minutes / 60.0, F.lit(0.0)) > max_kph
-    return pings.withColumn(out, F.coalesce((minutes > 0) & (minutes >= min_gap_min) & fast, F.lit(False)))
+    return rows.withColumn(out, F.coalesce((minutes > 0) & (minutes >= min_gap_min) & fast, F.lit(False))).select(*(c for c in pings.columns if c != out), out)
 
 
 def filter_speed_outliers(pings: DataFrame, max_kph: float = 120.0, min_gap_min: float = 0.1) -> DataFrame:

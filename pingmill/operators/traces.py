@@ -10,54 +10,61 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pingmill.functions.geo import haversine_km
+from pingmill.operators import tiles
 
 DAY = 86400
 
 
-def _order(keys=("maid",)):
-    return W.partitionBy(*keys).orderBy("timestamp", "seq")
+def segment_parts(pings: DataFrame, gap_min: float = 30, keys=("maid",), tile: int = tiles.WIDTH) -> DataFrame:
+    """Runs of pings with gaps of at most gap_min, in parts of one time tile each: keys, segment (its number), tile, n, start, end, line
+    (timestamp, seq, at), before (whether a gap precedes the part's first ping, and the ping before it).
+
+    A row holds one tile's pings, so a device that is never silent has many rows of bounded size; `line_segments` joins them.
+    """
+    at = F.array(F.bround("longitude", 6), F.bround("latitude", 6))
+    rows = tiles.scan(pings.withColumn("_at", at), ["timestamp", "_at"], keys, width=tile, flag=lambda p, c: c("timestamp") - p["timestamp"] > gap_min * 60)
+    return rows.groupBy(*keys, "_tile", F.col("_flags").alias("segment")).agg(
+        F.count("*").alias("n"),
+        F.min("timestamp").alias("start"),
+        F.max("timestamp").alias("end"),
+        F.array_sort(F.collect_list(F.struct("timestamp", "seq", "_at"))).alias("line"),
+        F.min_by(F.struct(F.col("_flag").alias("gap"), F.col("_prev.timestamp").alias("t"), F.col("_prev._at").alias("at")), F.struct("timestamp", "seq")).alias("before"),
+    ).withColumnRenamed("_tile", "tile")
 
 
-def line_segments(pings: DataFrame, gap_min: float = 30, label_min: float = 60, keys=("maid",)) -> DataFrame:
+def line_segments(pings: DataFrame, gap_min: float = 30, label_min: float = 60, keys=("maid",), tile: int = tiles.WIDTH) -> DataFrame:
     """Runs of pings with gaps of at most gap_min are 'move' lines (two points or more); each longer gap is a 'gap' line of its two ends.
 
     maid, kind, segment, n, start, end, label, coordinates (lon, lat to 6 digits). Labels: +Hh MMm for gaps of label_min or more.
     """
-    w = _order(keys)
-    at = F.array(F.bround("longitude", 6), F.bround("latitude", 6))
-    rows = pings.withColumns({"_at": at, "_t": F.lag("timestamp").over(w), "_p": F.lag(at).over(w)})
-    rows = rows.withColumn("_gap", F.coalesce((F.col("timestamp") - F.col("_t")) > gap_min * 60, F.lit(False)))
-    rows = rows.withColumn("segment", F.sum(F.col("_gap").cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
     # The gap before a run hangs on the run's first ping, so one aggregate gives both kinds of lines.
-    runs = rows.groupBy(*keys, "segment").agg(
-        F.count("*").alias("n"),
-        F.min("timestamp").alias("start"),
-        F.max("timestamp").alias("end"),
-        F.array_sort(F.collect_list(F.struct("timestamp", "seq", "_at"))).alias("_line"),
-        F.min_by(F.struct("_gap", "_t", "_p"), F.struct("timestamp", "seq")).alias("_f"),
-    )
-    before, first = F.col("_f._t"), F.col("_line")[0]["_at"]
+    runs = segment_parts(pings, gap_min, keys, tile).groupBy(*keys, "segment").agg(
+        F.sum("n").alias("n"),
+        F.min("start").alias("start"),
+        F.max("end").alias("end"),
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("tile", "line"))), lambda p: p["line"])).alias("_line"),
+        F.min_by("before", "tile").alias("_f"),
+    )
+    before, first = F.col("_f.t"), F.col("_line")[0]["_at"]
     minutes = F.floor((F.col("start") - before) / 60).cast("long")
     label = F.when((F.col("start") - before) >= label_min * 60, F.format_string("+%dh %02dm", F.floor(minutes / 60), F.pmod(minutes, F.lit(60)))).otherwise("")
     line = lambda kind, n, start, end, text, path: F.struct(F.lit(kind).alias("kind"), n.cast("long").alias("n"), start.alias("start"), end.alias("end"), text.alias("label"), path.alias("coordinates"))
     move = line("move", F.col("n"), F.col("start"), F.col("end"), F.lit(""), F.transform("_line", lambda p: p["_at"]))
-    gap = line("gap", F.lit(2), before, F.col("start"), label, F.array(F.col("_f._p"), first))
-    lines = F.filter(F.array(F.when(F.col("n") >= 2, move), F.when(F.col("_f._gap"), gap)), lambda x: x.isNotNull())
+    gap = line("gap", F.lit(2), before, F.col("start"), label, F.array(F.col("_f.at"), first))
+    lines = F.filter(F.array(F.when(F.col("n") >= 2, move), F.when(F.col("_f.gap"), gap)), lambda x: x.isNotNull())
     out = runs.select(*keys, "segment", F.explode(lines).alias("x"))
-    return out.select(*keys, "x.kind", "segment", *(f"x.{c}" for c in ("n", "start", "end", "label", "coordinates")))
+    return out.select(*keys, "x.kind", F.col("segment").cast("long").alias("segment"), *(f"x.{c}" for c in ("n", "start", "end", "label", "coordinates")))
 
 
-def points(pings: DataFrame, keys=("maid",)) -> DataFrame:
+def points(pings: DataFrame, keys=("maid",), tile: int = tiles.WIDTH) -> DataFrame:
     """maid, idx, time, tsec, speed_kmh (to the previous ping, 0 at first and where time stands still), lon, lat."""
-    w = _order(keys)
-    back = lambda c: F.lag(c).over(w)
-    hours = (F.col("timestamp") - back("timestamp")) / 3600.0
-    km = haversine_km(back("longitude"), back("latitude"), F.col("longitude"), F.col("latitude"))
+    rows = tiles.scan(pings, ["timestamp", "longitude", "latitude"], keys, width=tile)
+    hours = (F.col("timestamp") - F.col("_prev.timestamp")) / 3600.0
+    km = haversine_km(F.col("_prev.longitude"), F.col("_prev.latitude"), F.col("longitude"), F.col("latitude"))
     speed = F.coalesce(F.when(hours > 0, km / F.nullif(hours, F.lit(0.0))), F.lit(0.0))
     tsec = F.pmod("timestamp", F.lit(DAY))
     time = F.format_string("%02d:%02d:%02d", F.floor(tsec / 3600), F.floor(tsec / 60) % 60, tsec % 60)
-    idx = (F.row_number().over(w) - 1).cast("long")
-    return pings.select(*keys, idx.alias("idx"), time.alias("time"), tsec.alias("tsec"), F.bround(speed, 1).alias("speed_kmh"), F.bround("longitude", 6).alias("lon"), F.bround("latitude", 6).alias("lat"))
+    return rows.select(*keys, F.col("_n").cast("long").alias("idx"), time.alias("time"), tsec.alias("tsec"), F.bround(speed, 1).alias("speed_kmh"), F.bround("longitude", 6).alias("lon"), F.bround("latitude", 6).alias("lat"))
 
 
 def geojson(features: DataFrame, kind: str, coordinates: str, properties: list[str]) -> DataFrame:
@@ -114,12 +121,12 @@ def as_of(trace: DataFrame, tsec: int) -> DataFrame:
 
 
 def as_of_join(trace: DataFrame, times: DataFrame) -> DataFrame:
-    """For every (maid, tsec) of `times`, the last point at or before it: a union and one window, no range join."""
-    ask = times.select("maid", "tsec", F.lit(1).alias("_ask"), F.lit(None).cast("struct<idx:long,lon:double,lat:double>").alias("_p"))
-    have = trace.select("maid", "tsec", F.lit(0).alias("_ask"), F.struct("idx", "lon", "lat").alias("_p"))
-    w = W.partitionBy("maid").orderBy("tsec", "_ask", "_p.idx").rowsBetween(W.unboundedPreceding, 0)
-    both = have.unionByName(ask).withColumn("_last", F.last("_p", ignorenulls=True).over(w))
-    return both.filter("_ask = 1").select("maid", "tsec", "_last.*")
+    """For every (maid, tsec) of `times`, the last point at or before it: a union and windows by tiles of an hour, no range join.
+
+    A device's points are reduced to the last of each second of the day before anything moves.
+    """
+    have = trace.groupBy("maid", "tsec").agg(F.max_by(F.struct("idx", "lon", "lat"), "idx").alias("_last"))
+    return tiles.last_at_or_before(have, times.select("maid", "tsec"), "_last", "tsec").select("maid", "tsec", "_last.*")
 
 
 def burst_counts(trace: DataFrame, reach: float = 0.001) -> DataFrame:
