@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pingmill.operators.quantiles import exact_quantiles
+
 
 def overview_mobility(pings: DataFrame) -> DataFrame:
     return pings.agg(
@@ -83,4 +85,23 @@ def sample(df: DataFrame, n: int, seed: int = 42, key: str = "seq") -> DataFrame
 
 
 def run_summary(metrics: DataFrame, columns: list[str]) -> DataFrame:
-    return metrics.agg(*(f(c).alias(f"{n}_{c}") for c in columns for n, f in (("mean", F.avg), ("median", F.median))))
+    """One row: mean and exact median of each column. The rows are kept while they are read several times, in memory or on disk."""
+    rows = metrics.select(*columns).persist()
+    try:
+        means = rows.agg(*(F.avg(c) for c in columns)).first()
+        medians = exact_quantiles(rows, columns)
+    finally:
+        rows.unpersist()
+    values = [x for c, mean in zip(columns, means, strict=True) for x in (mean, medians[c][0])]
+    names = [f"{n}_{c}" for c in columns for n in ("mean", "median")]
+    return metrics.sparkSession.range(1).select(*(F.lit(v).cast("double").alias(n) for v, n in zip(values, names, strict=True)))
+
+
+def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> DataFrame:
+    """column, share, value: exact quantiles of several columns, with a few passes and bounded tasks."""
+    rows = df.select(*columns).persist()
+    try:
+        found = exact_quantiles(rows, columns, shares)
+    finally:
+        rows.unpersist()
+    return df.sparkSession.createDataFrame([(c, float(s), v) for c in columns for s, v in zip(shares, found[c], strict=True)], "column string, share double, value double")

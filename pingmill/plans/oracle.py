@@ -37,11 +37,11 @@ v AS (SELECT a.*, part, i, lon0 + (mx * r) / 800.0::DOUBLE AS x, lat0 + (my * r)
       FROM a, (VALUES (0, 0, 0, 0), (0, 1, 8, 0), (0, 2, 8, 4), (0, 3, 4, 4), (0, 4, 4, 8), (0, 5, 0, 8), (1, 0, 1, 1), (1, 1, 3, 1), (1, 2, 3, 3), (1, 3, 1, 3)) t(part, i, mx, my)
       WHERE part = 0 OR k % 3 = 0)"""
 AREA_HITS = """
-e AS (SELECT v.k, v.name, v.part, v.x AS ax, v.y AS ay, w.x AS bx, w.y AS by, v.lon0, v.lat0, v.r
+e AS (SELECT v.k, v.name, v.part, v.x AS ax, v.y AS ay, w.x AS cx, w.y AS cy, v.lon0, v.lat0, v.r
       FROM v JOIN v w ON v.k = w.k AND v.part = w.part AND w.i = (v.i + 1) % CASE WHEN v.part = 0 THEN 6 ELSE 4 END),
 h AS (SELECT seq, name, part,
-        sum(CASE WHEN (ay > latitude) <> (by > latitude) AND longitude < (bx - ax) * (latitude - ay) / nullif(by - ay, 0) + ax THEN 1 ELSE 0 END) % 2 = 1 AS odd,
-        bool_or((bx - ax) * (latitude - ay) - (by - ay) * (longitude - ax) = 0 AND longitude BETWEEN least(ax, bx) AND greatest(ax, bx) AND latitude BETWEEN least(ay, by) AND greatest(ay, by)) AS touched
+        sum(CASE WHEN (ay > latitude) <> (cy > latitude) AND longitude < (cx - ax) * (latitude - ay) / nullif(cy - ay, 0) + ax THEN 1 ELSE 0 END) % 2 = 1 AS odd,
+        bool_or((cx - ax) * (latitude - ay) - (cy - ay) * (longitude - ax) = 0 AND longitude BETWEEN least(ax, cx) AND greatest(ax, cx) AND latitude BETWEEN least(ay, cy) AND greatest(ay, cy)) AS touched
       FROM pings JOIN e ON longitude BETWEEN lon0 - 0.001 AND lon0 + r / 100.0 + 0.001 AND latitude BETWEEN lat0 - 0.001 AND lat0 + r / 100.0 + 0.001 GROUP BY ALL),
 i AS (SELECT seq, name FROM h GROUP BY seq, name HAVING bool_or(part = 0 AND odd AND NOT touched) AND NOT bool_or(part = 1 AND (odd OR touched)))"""
 
@@ -134,6 +134,7 @@ UNION ALL SELECT maid, 'gap', segment, 2, pt, timestamp, CASE WHEN timestamp - p
         "people_clean": f"{people} SELECT maid, CAST(profile_no AS BIGINT) AS profile_no, sex, intensity, place1, place2 FROM people",
         "people_profiles": f"{people} SELECT maid, sex, intensity, place1, place2 FROM profiles",
         "daily_counts": f"{base} SELECT {day}, count(*) AS n_pings, count(DISTINCT maid) AS n_devices FROM pings GROUP BY date",
+        "daily_counts_merged": f"{base} SELECT {day}, count(*) AS n_pings, count(DISTINCT maid) AS n_devices FROM pings GROUP BY date",
         "hourly_counts": f"{base} SELECT timestamp - timestamp % 3600 AS bucket, count(*) AS n_pings FROM pings GROUP BY 1",
         "hourly_zero_filled": f"{base}, h AS (SELECT timestamp - timestamp % 3600 AS bucket, count(*) AS n FROM pings GROUP BY 1), e AS (SELECT unnest(range((SELECT min(bucket) FROM h), (SELECT max(bucket) FROM h) + 1, 3600)) AS bucket) SELECT e.bucket, coalesce(n, 0) AS n_pings FROM e LEFT JOIN h USING (bucket)",
         "diurnal_by_hour_days": f"{base} SELECT hour, count(*) AS n_pings, count(DISTINCT date) AS n_days, round(count(*)::DOUBLE / count(DISTINCT date), 6) AS mean_pings FROM pings GROUP BY hour",
@@ -170,6 +171,8 @@ UNION ALL SELECT maid, 'gap', segment, 2, pt, timestamp, CASE WHEN timestamp - p
         "net_flows": f"{place} SELECT CAST(a.date AS VARCHAR) AS date, a.origin_place AS pair_a, a.dest_place AS pair_b, a.n_pings - coalesce(b.n_pings, 0) AS net_n_pings FROM pf a LEFT JOIN pf b ON a.date = b.date AND a.origin_place = b.dest_place AND a.dest_place = b.origin_place WHERE a.origin_place < a.dest_place",
         "between_places": f"{flows} SELECT {day}, origin, dest, n_devices, n_pings FROM flows WHERE origin <> dest",
         "top_corridors": f"{flows}, t AS (SELECT origin, dest FROM flows GROUP BY origin, dest ORDER BY sum(n_pings) DESC, origin, dest LIMIT 10) SELECT {day}, origin, dest, n_devices, n_pings FROM flows JOIN t USING (origin, dest)",
+        "occupancy_7h_merged": f"{occ(25200)} SELECT * FROM occ",
+        "metric_quantiles": f"{days}, q AS (SELECT unnest([0.0, 0.05, 0.25, 0.5, 0.9, 0.999, 1.0])::DOUBLE AS share) " + " UNION ALL ".join(f"SELECT '{c}' AS column, share, CAST((SELECT quantile_cont(CAST({c} AS DOUBLE), [0.0, 0.05, 0.25, 0.5, 0.9, 0.999, 1.0]) FROM days)[list_position([0.0, 0.05, 0.25, 0.5, 0.9, 0.999, 1.0]::DOUBLE[], share)] AS DOUBLE) AS value FROM q" for c in ("n_pings", "radius_km")),
         "trace_segments": seg,
         "trace_points": f"{points} SELECT * FROM points",
         "pick_top": f"{spans} SELECT maid, n, round(span_km, 6) AS span_km FROM sp ORDER BY sp.span_km DESC, maid LIMIT 8",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pingmill.functions import cells as cell_functions
 from pingmill.functions import geo
 from pingmill.functions.cells import Hexagon, Square, with_cells
-from pingmill.operators import clean, contacts, homes, metrics, od, reports, spatial, temporal, traces
+from pingmill.operators import clean, contacts, distinct, homes, metrics, od, reports, spatial, temporal, traces
 from pingmill.plans import oracle
 from pingmill.sources import ingest, views
 
@@ -58,6 +58,10 @@ def days(spark, d):
     return metrics.device_day_metrics(cells(spark, d), found_homes(spark, d))
 
 
+def hourly_parts(spark, d):
+    return distinct.parts(cells(spark, d), distinct.dictionary(pings(spark, d)))
+
+
 def flows(spark, d):
     return od.aggregate_od(od.device_day_od(cells(spark, d)))
 
@@ -108,6 +112,8 @@ def queries() -> dict[str, Query]:
         "occupancy_1h": occupancy("1h"),
         "occupancy_30min": occupancy("30min"),
         "occupancy_7h": occupancy("7h"),
+        "occupancy_7h_merged": lambda s, d: distinct.occupancy(hourly_parts(s, d), "7h"),
+        "daily_counts_merged": lambda s, d: distinct.daily(hourly_parts(s, d)).select("date", "n_pings", "n_devices"),
         "meeting_index": lambda s, d: contacts.meeting_index(occupancy()(s, d)),
         "meeting_index_daily": lambda s, d: contacts.meeting_index_daily(occupancy()(s, d)),
         "crowding": lambda s, d: contacts.crowding_counts(occupancy("7h")(s, d)),
@@ -156,6 +162,7 @@ def queries() -> dict[str, Query]:
         "hex_boundaries": lambda s, d: cell_functions.boundaries(with_cells(pings(s, d), HEX), HEX).select("cell", *(F.col("ring")[k][c].alias(f"{c}{k}") for k in range(6) for c in ("lon", "lat"))),
         "grid_boundaries": lambda s, d: cell_functions.boundaries(cells(s, d), INDEX).select("cell", *(F.col("ring")[k][c].alias(f"{c}{k}") for k in range(4) for c in ("lon", "lat"))),
         "run_summary": lambda s, d: reports.run_summary(days(s, d), ["n_pings", "n_cells", "n_trips", "radius_km"]),
+        "metric_quantiles": lambda s, d: reports.quantiles(days(s, d), ["n_pings", "radius_km"], [0.0, 0.05, 0.25, 0.5, 0.9, 0.999, 1.0]),
         "bbox_clip": lambda s, d: pings(s, d).filter(geo.in_box(F.col("longitude"), F.col("latitude"), *map(F.lit, BOX))).groupBy("date").agg(F.count("*").alias("n_pings")),
         "date_range_scan": lambda s, d: ingest.date_range(pings(s, d), "2024-01-03", "2024-01-05").groupBy("date").agg(F.count("*").alias("n_pings")),
         "area_clip": lambda s, d: geo.clip(views.service_areas(s, d), *CLIP).select("name"),
