@@ -222,28 +222,42 @@ def scan(docs: DataFrame, text: str = "text", out: str = "findings", forest: str
     (out,) = fresh(docs, out)
     body = F.coalesce(F.col(text), F.lit(""))
 
-    def found_at(v: Column) -> Column:
-        # The text is split at the value: a piece's end, and what precedes it, are the words before one occurrence. A mark that no
-        # text holds stands for the value, since a long one makes a slow pattern.
-        mark = F.concat(F.lit("\uffff"), F.md5(F.encode(body, "UTF-8")))
-        pieces = F.split(F.replace(body, v, mark), mark, -1)
-        n = F.size(pieces) - 1
+    def let(value: Column, use) -> Column:
+        """use(value), with the value computed once: a lambda's body computes its expressions again wherever they stand."""
+        return F.transform(F.array(value), use)[0]
+
+    def place(pieces: Column, v: Column, n: Column, i: Column) -> Column:
         back = F.ceil(F.lit(CONTEXT) / F.length(v)).cast("int")
+        joined = F.call_function("array_join", F.slice(pieces, F.greatest(i - back, F.lit(1)), F.least(i, back + 1)), v)
+        sides = F.struct(F.right(joined, F.lit(CONTEXT)).alias("before"), F.left(F.element_at(pieces, i + 1), F.lit(CONTEXT)).alias("after"))
 
-        def place(i: Column) -> Column:
-            joined = F.call_function("array_join", F.slice(pieces, F.greatest(i - back, F.lit(1)), F.least(i, back + 1)), v)
-            before, after = F.right(joined, F.lit(CONTEXT)), F.left(F.element_at(pieces, i + 1), F.lit(CONTEXT))
+        def described_place(c: Column) -> Column:
+            before, after = c["before"], c["after"]
             inside = before.rlike("[A-Za-z0-9]$") | after.rlike("^[A-Za-z0-9]") | ((after == "") & (i < n) & v.rlike("^[A-Za-z0-9]"))
             return F.struct(inside.alias("inside"), F.struct(*_named(place_features(before, after), PLACE)).alias("f"))
 
-        places = F.array_distinct(F.transform(F.sequence(F.lit(1), n), place))
-        # Parts of longer tokens are no occurrences of their own, unless there is no other.
-        alone = F.filter(places, lambda p: ~p["inside"])
-        own = F.struct(*_named(own_features(v), OWN))
-        start = F.length(F.element_at(pieces, 1)) + 1
-        return F.struct(v.alias("value"), start.cast("int").alias("start"), n.alias("count"), own.alias("own"), F.when(F.size(alone) > 0, alone).otherwise(places).alias("places"))
+        return let(sides, described_place)
+
+    def found_at(v: Column, mark: Column) -> Column:
+        # The text is split at the value: a piece's end, and what precedes it, are the words before one occurrence. A mark that no
+        # text holds stands for the value, since a long one makes a slow pattern.
+        def described_value(pieces: Column) -> Column:
+            n = F.size(pieces) - 1
+            own = F.struct(*_named(own_features(v), OWN))
+            start = (F.length(F.element_at(pieces, 1)) + 1).cast("int")
+
+            def kept(places: Column) -> Column:
+                # Parts of longer tokens are no occurrences of their own, unless there is no other.
+                alone = F.filter(places, lambda p: ~p["inside"])
+                chosen = let(alone, lambda x: F.when(F.size(x) > 0, x).otherwise(places))
+                return F.struct(v.alias("value"), start.alias("start"), n.alias("count"), own.alias("own"), chosen.alias("places"))
+
+            return let(F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: place(pieces, v, n, i))), kept)
+
+        return let(F.split(F.replace(body, v, mark), mark, -1), described_value)
 
-    found = F.transform(candidates(body), found_at)
+    mark = F.concat(F.lit("\uffff"), F.md5(F.encode(body, "UTF-8")))
+    found = let(mark, lambda m: F.transform(candidates(body), lambda v: found_at(v, m)))
     # The rows with candidates are few: the flag lets whole-stage code skip the rest of the work for all others.
     (held,) = fresh(docs.withColumn(out, F.lit(0)), "held_findings")
     fields = ", ".join(f"'{k}', {'v.own' if k in OWN else 'p.f'}.{k}" for k in NAMES)
