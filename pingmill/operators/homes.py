@@ -24,12 +24,21 @@ def night_counts(pings: DataFrame, hours=NIGHT, cell: str = "cell") -> DataFrame
     return at_night(pings, hours).groupBy("maid", cell).agg(F.count("*").alias("n"))
 
 
+def night_parts(pings: DataFrame, hours=NIGHT, cell: str = "cell", tz_offset_hours: int = 0) -> DataFrame:
+    """maid, cell, date, n: night pings of a device, cell and date. Parts of different dates merge by union, so they can be stored."""
+    return at_night(pings, hours, tz_offset_hours).groupBy("maid", cell, "date").agg(F.count("*").alias("n"))
+
+
 def detect_homes(pings: DataFrame, hours=NIGHT, min_nights: int = 1, index=DEFAULT, cell: str = "cell", tz_offset_hours: int = 0) -> DataFrame:
     """maid, home_cell, n_home_pings, n_nights (distinct dates with any night ping), home_lat, home_lon; ties go to the first name.
 
     Pings are counted by (maid, cell, date) before anything moves; one exchange on maid of those counts serves the rest.
     """
-    per_day = at_night(pings, hours, tz_offset_hours).groupBy("maid", cell, "date").agg(F.count("*").alias("n"))
+    return homes_of(night_parts(pings, hours, cell, tz_offset_hours), min_nights, index, cell)
+
+
+def homes_of(per_day: DataFrame, min_nights: int = 1, index=DEFAULT, cell: str = "cell") -> DataFrame:
+    """The homes that `night_parts` of any dates give."""
     # A date counts in the row of its first cell only, so that nights are a sum and no list of dates is carried.
     first = F.row_number().over(W.partitionBy("maid", "date").orderBy(cell)) == 1
     per_day = per_day.repartition("maid").withColumn("_night", F.when(first & F.col("date").isNotNull(), 1).otherwise(0))

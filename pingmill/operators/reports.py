@@ -67,6 +67,17 @@ def share_comparison(pings: DataFrame, profiles: DataFrame, column: str) -> Data
     return both.withColumn("ratio", F.col("ping_share") / F.nullif(F.col("profile_share"), F.lit(0.0)))
 
 
+def place_rollup(pings: DataFrame, profiles: DataFrame, levels: list[str]) -> DataFrame:
+    """Devices and pings at every level of a hierarchy of places, from `levels` in full down to the total.
+
+    level is the grouping id: bit k is set where the k-th place from the right is summed over, so a missing place (level 0, null) and a
+    sum over places differ. Pings are counted by device first: devices are then plain counts at all levels, and no set is carried.
+    """
+    per = pings.filter("maid IS NOT NULL").groupBy("maid").agg(F.count("*").alias("n"))
+    rows = per.join(profiles.select("maid", *levels), "maid", "left")
+    return rows.rollup(*levels).agg(F.grouping_id().alias("level"), F.count("*").alias("n_devices"), F.sum("n").alias("n_pings"))
+
+
 def clipped_histogram(values: DataFrame, column: str, most: float, bins: int = 40) -> DataFrame:
     """bin 0..bins-1 of equal width up to `most`; greater values are in the last."""
     at = F.least(F.floor(F.least(F.col(column), F.lit(float(most))) * bins / most), F.lit(bins - 1)).cast("long")

@@ -174,6 +174,8 @@ UNION ALL SELECT maid, 'gap', segment, 2, pt, timestamp, CASE WHEN timestamp - p
         "occupancy_7h_merged": f"{occ(25200)} SELECT * FROM occ",
         "metric_quantiles": f"{days}, q AS (SELECT unnest([0.0, 0.05, 0.25, 0.5, 0.9, 0.999, 1.0])::DOUBLE AS share) " + " UNION ALL ".join(f"SELECT '{c}' AS column, share, CAST((SELECT quantile_cont(CAST({c} AS DOUBLE), [0.0, 0.05, 0.25, 0.5, 0.9, 0.999, 1.0]) FROM days)[list_position([0.0, 0.05, 0.25, 0.5, 0.9, 0.999, 1.0]::DOUBLE[], share)] AS DOUBLE) AS value FROM q" for c in ("n_pings", "radius_km")),
         "trace_segments": seg,
+        "trace_segments_sql": seg,
+        "place_rollup": f"{base}, {PEOPLE}, d AS (SELECT maid, count(*) AS n FROM pings GROUP BY maid) SELECT place1, place2, CAST(GROUPING(place1, place2) AS BIGINT) AS level, count(*) AS n_devices, CAST(sum(n) AS BIGINT) AS n_pings FROM d LEFT JOIN profiles USING (maid) GROUP BY ROLLUP (place1, place2)",
         "trace_points": f"{points} SELECT * FROM points",
         "pick_top": f"{spans} SELECT maid, n, round(span_km, 6) AS span_km FROM sp ORDER BY sp.span_km DESC, maid LIMIT 8",
         "pick_mix": f"{spans}, b AS (SELECT *, CASE WHEN span_km >= 25 THEN 'long' WHEN span_km >= 5 THEN 'med' ELSE 'short' END AS band FROM sp), k AS (SELECT *, row_number() OVER (PARTITION BY band ORDER BY span_km DESC, maid) AS r FROM b) SELECT maid, band, round(span_km, 6) AS span_km FROM k WHERE r <= CASE WHEN band = 'long' THEN 1 ELSE 10 END ORDER BY CASE band WHEN 'long' THEN 0 WHEN 'med' THEN 2 * r - 1 ELSE 2 * r END LIMIT 8",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pingmill.functions import cells as cell_functions
-from pingmill.functions import geo
+from pingmill.functions import geo, table_functions
 from pingmill.functions.cells import Hexagon, Square, with_cells
 from pingmill.operators import clean, contacts, distinct, homes, metrics, od, reports, spatial, temporal, traces
 from pingmill.plans import oracle
@@ -86,7 +86,16 @@ def by_group(spark, d):
 
 
 def segments(spark, d):
-    s = traces.line_segments(pings(spark, d))
+    return written_out(traces.line_segments(pings(spark, d)))
+
+
+def segments_in_sql(spark, d):
+    table_functions.register(spark)
+    call = "SELECT * FROM trace_segments(TABLE(SELECT maid, seq, timestamp, longitude, latitude FROM {pings}) PARTITION BY maid ORDER BY (timestamp, seq))"
+    return written_out(spark.sql(call, pings=pings(spark, d)))
+
+
+def written_out(s):
     return s.select("maid", "kind", "segment", "n", "start", "end", "label", F.array_join(F.transform("coordinates", lambda p: F.array_join(F.transform(p, lambda x: F.format_string("%.6f", x)), " ")), ";").alias("line"))
 
 
@@ -138,6 +147,7 @@ def queries() -> dict[str, Query]:
         "between_places": lambda s, d: od.between_places(flows(s, d)),
         "top_corridors": lambda s, d: od.top_corridors(flows(s, d), 10),
         "trace_segments": segments,
+        "trace_segments_sql": segments_in_sql,
         "trace_points": trace,
         "pick_top": lambda s, d: traces.pick_top(pings(s, d), 8, 5),
         "pick_mix": lambda s, d: traces.pick_mix(pings(s, d), 8, 5),
@@ -154,6 +164,7 @@ def queries() -> dict[str, Query]:
         "pivot_normalised": lambda s, d: reports.pivot_normalised(pings(s, d), first_profiles(s, d), "intensity", INTENSITY),
         "two_level_mean": lambda s, d: reports.two_level_mean(pings(s, d), first_profiles(s, d), "sex", "intensity", INTENSITY),
         "ping_vs_profile_share": lambda s, d: reports.share_comparison(pings(s, d), first_profiles(s, d), "place1"),
+        "place_rollup": lambda s, d: reports.place_rollup(pings(s, d), first_profiles(s, d), ["place1", "place2"]),
         "clipped_histogram": lambda s, d: reports.clipped_histogram(days(s, d), "radius_km", 20.0),
         "clipped_histogram_cells": lambda s, d: reports.clipped_histogram(days(s, d), "n_cells", 50.0),
         "clipped_histogram_home": lambda s, d: reports.clipped_histogram(days(s, d), "max_dist_home_km", 30.0),
