@@ -13,6 +13,9 @@ borders depend on nothing but the words near them, however short those are. Chun
 3. All other candidates, and their equals in other documents, are checked exactly: every `WORDS` words in a row that contain them
    are hashed and looked up among those of the other documents. So a passage is never pieced together from shorter shared stretches.
 
+A passage of step 2 begins and ends with whole chunks: of a shared stretch, up to `SPAN` + a chunk's words at either end may be left out
+of its extent (4 % of the repeated words in mixed documents); that it is repeated is never missed. Those of step 3 have exact ends.
+
 Digests are 64 bits: at 10^12 chunks one in 10^7 meets another's by accident, and a passage needs several such neighbours.
 
 Defined results: null and empty texts have no chunks; rows of equal doc_id are one document, so a passage that only they share is not
@@ -36,8 +39,8 @@ from pyspark.sql import functions as F
 from pingmill.llm.common import discard, fresh, ship, spread, table, written
 
 BITS, LEAST, MOST, STRETCH, WORDS, SPAN, WINDOW = 5, 16, 160, 25, 51, 13, 1 << 22
-#: Chunks of a document told apart by their place; rows that are emitted at once.
-NUMBERS, AT_ONCE = 1 << 20, 50_000
+#: Chunks that a document can have (some 700 MB of text; more is an error, never a wrong place); rows that are emitted at once.
+NUMBERS, AT_ONCE = 1 << 24, 50_000
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 16, 256, dtype=np.uint16)
 BASE = 0x9E3779B97F4A7C15
 
@@ -190,7 +193,9 @@ def _rows(held: list[tuple]) -> pa.RecordBatch:
     counts = [len(x[2][0]) for x in held]
     ids = pa.array([x[0] for x in held], pa.int64()).take(pa.array(np.repeat(np.arange(len(held)), counts)))
     columns = [np.concatenate([x[2][k] for x in held]).astype(np.uint64 if k == 5 else np.int64).view(np.int64) for k in range(6)]
-    columns[0] = np.repeat(np.array([x[1] for x in held], np.int64), counts) + columns[0] % NUMBERS
+    if len(columns[0]) and columns[0].max() >= NUMBERS:
+        raise ValueError(f"a document has over {NUMBERS} chunks")
+    columns[0] = np.repeat(np.array([x[1] for x in held], np.int64), counts) + columns[0]
     return pa.RecordBatch.from_arrays([ids, *map(pa.array, columns)], names=[c.split()[0] for c in _PLACES.split(", ")])
 
 

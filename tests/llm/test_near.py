@@ -370,3 +370,13 @@ def test_passages_of_the_given_documents(spark):
                 want |= {r.doc_id, seen[h]}
     got = {r.doc_id for r in substring.passages(df).collect()}
     assert got - want == set() and len(want - got) <= 0.005 * len(want)
+
+
+def test_long_documents_have_numbers_of_their_own():
+    """Chunks beyond the millionth keep their place; what would not fit is refused."""
+    base = 5 * substring.NUMBERS
+    arrays = lambda first: [np.arange(first, first + 3)] + [np.arange(3)] * 5
+    got = substring._rows([(7, base, arrays(0)), (7, base, arrays(1_100_000))])
+    assert got.column("place").to_pylist() == [base, base + 1, base + 2, base + 1_100_000, base + 1_100_001, base + 1_100_002]
+    with pytest.raises(ValueError, match="chunks"):
+        substring._rows([(7, base, arrays(substring.NUMBERS - 1))])
