@@ -37,11 +37,11 @@ def detect_homes(pings: DataFrame, hours=NIGHT, min_nights: int = 1, index=DEFAU
     return homes_of(night_parts(pings, hours, cell, tz_offset_hours), min_nights, index, cell)
 
 
-def homes_of(per_day: DataFrame, min_nights: int = 1, index=DEFAULT, cell: str = "cell") -> DataFrame:
-    """The homes that `night_parts` of any dates give."""
+def homes_of(per_day: DataFrame, min_nights: int = 1, index=DEFAULT, cell: str = "cell", dealt: bool = False) -> DataFrame:
+    """The homes that `night_parts` of any dates give. dealt: the rows lie by maid already, as those of a bucketed table do."""
     # A date counts in the row of its first cell only, so that nights are a sum and no list of dates is carried.
     first = F.row_number().over(W.partitionBy("maid", "date").orderBy(cell)) == 1
-    per_day = per_day.repartition("maid").withColumn("_night", F.when(first & F.col("date").isNotNull(), 1).otherwise(0))
+    per_day = (per_day if dealt else per_day.repartition("maid")).withColumn("_night", F.when(first & F.col("date").isNotNull(), 1).otherwise(0))
     per = per_day.groupBy("maid", cell).agg(F.sum("n").alias("n"), F.sum("_night").alias("nights"))
     w = W.partitionBy("maid").orderBy(F.col("n").desc(), cell)
     top = per.withColumns({"_r": F.row_number().over(w), "n_nights": F.sum("nights").over(W.partitionBy("maid"))}).filter("_r = 1")
