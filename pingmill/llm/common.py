@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import os
 import shutil
@@ -46,6 +47,17 @@ def ship(spark: SparkSession) -> None:
 
 
 _memories: dict[str, Callable[[], None]] = {}
+_latest: list[str] = []
+
+
+def _give_back() -> None:
+    """Returns freed memory to the system: the allocators of Arrow and of C keep it otherwise, and the next operator's comes on top."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
 
 
 def turn_to(operator: str, release: Callable[[], None] | None = None) -> None:
@@ -55,7 +67,9 @@ def turn_to(operator: str, release: Callable[[], None] | None = None) -> None:
     """
     for name in [n for n in _memories if n != operator]:
         _memories.pop(name)()
-        gc.collect()
+    if _latest != [operator]:
+        _latest[:] = [operator]
+        _give_back()
     if release:
         _memories[operator] = release
 
