@@ -172,7 +172,7 @@ UNION ALL SELECT maid, 'gap', segment, 2, pt, timestamp, CASE WHEN timestamp - p
         "between_places": f"{flows} SELECT {day}, origin, dest, n_devices, n_pings FROM flows WHERE origin <> dest",
         "top_corridors": f"{flows}, t AS (SELECT origin, dest FROM flows GROUP BY origin, dest ORDER BY sum(n_pings) DESC, origin, dest LIMIT 10) SELECT {day}, origin, dest, n_devices, n_pings FROM flows JOIN t USING (origin, dest)",
         "occupancy_7h_merged": f"{occ(25200)} SELECT * FROM occ",
-        "metric_quantiles": f"{days}, q AS (SELECT unnest([0.0, 0.05, 0.25, 0.5, 0.9, 0.999, 1.0])::DOUBLE AS share) " + " UNION ALL ".join(f"SELECT '{c}' AS column, share, CAST((SELECT quantile_cont(CAST({c} AS DOUBLE), [0.0, 0.05, 0.25, 0.5, 0.9, 0.999, 1.0]) FROM days)[list_position([0.0, 0.05, 0.25, 0.5, 0.9, 0.999, 1.0]::DOUBLE[], share)] AS DOUBLE) AS value FROM q" for c in ("n_pings", "radius_km")),
+        "metric_quantiles": f"{days}, q AS (SELECT unnest([0.0, 0.05, 0.25, 0.5, 0.9, 0.999, 1.0])::DOUBLE AS share) " + " UNION ALL ".join(f"SELECT '{c}' AS column, share, round(CAST((SELECT quantile_cont(CAST({c} AS DOUBLE), [0.0, 0.05, 0.25, 0.5, 0.9, 0.999, 1.0]) FROM days)[list_position([0.0, 0.05, 0.25, 0.5, 0.9, 0.999, 1.0]::DOUBLE[], share)] AS DOUBLE), 6) AS value FROM q" for c in ("n_pings", "radius_km")),
         "trace_segments": seg,
         "trace_segments_sql": seg,
         "place_rollup": f"{base}, {PEOPLE}, d AS (SELECT maid, count(*) AS n FROM pings GROUP BY maid) SELECT place1, place2, CAST(GROUPING(place1, place2) AS BIGINT) AS level, count(*) AS n_devices, CAST(sum(n) AS BIGINT) AS n_pings FROM d LEFT JOIN profiles USING (maid) GROUP BY ROLLUP (place1, place2)",
