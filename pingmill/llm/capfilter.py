@@ -10,10 +10,14 @@ The threshold is chosen from the number of vectors so that about `CROWD` unrelat
 of random vectors exactly at the bound meet with a share of `RECALL` (measured on such pairs, which closer ones exceed); recall
 therefore depends neither on the number of vectors nor on their length.
 
-Equal vectors are one class (an aggregate), so copies never multiply. What a filter gets is the class's vector and the short list of
-its filter numbers. A pair that meets in several filters counts in the least of them, which both lists tell. Filters with more than
-`SLAB` classes are cut into slabs, and all pairs of slabs are compared in tasks of their own. Tasks return sums of links and the
-edges of a spanning forest, never the pairs.
+Equal vectors are one class (an aggregate), so copies never multiply. The join on filters has three steps, so that vectors do not
+travel once for each of their filters. First, filters get (class, sketch) rows only: a sketch is the vector in at most `SKETCH`
+numbers of one byte. A class stays in the filters where some sketch is near enough for a link. Second, the classes that stay
+somewhere go there again with the list of those filters. A pair that meets in several filters counts in the least of them, which both
+lists tell, and a class stays in the filters that own one of its pairs. Third, vectors go to those filters, which for most are none
+or one, and are verified. Sketches of up to `SKETCH` components allow for all that rounding can do; those of longer vectors are
+projections, and allow for six standard deviations beside. Filters with more than `SLAB` classes are cut into slabs, and all pairs of
+slabs are compared in tasks of their own. Tasks return sums of links and the edges of a spanning forest, never the pairs.
 
 Defined results: null, empty and zero vectors and those with null, NaN or infinite components link with nothing (0 links, a
 component of their own); vectors of different length do not link; rows of equal vec_id are vectors of their own, each with its own
@@ -35,8 +39,8 @@ from pingmill.llm.common import discard, ship, table, written
 from pingmill.llm.graph import components
 
 BOUND, RECALL, CROWD, SLAB, RUN = 0.9, 0.96, 64.0, 4096, 4096
-#: Filters that a pair at the bound shares in one table on average, code vectors of a block at most, tables at most.
-SHARED, MOST_CODE, MOST_TABLES = 0.35, 2048, 128
+#: Filters that a pair at the bound shares in one table on average, code vectors of a block at most, components of a sketch at most.
+SHARED, MOST_CODE, SKETCH = 0.35, 2048, 128
 #: Pairs on which recall is measured, and cells compared at once.
 TRIALS, CELLS = 1000, 1 << 22
 SEED = 11
@@ -84,7 +88,7 @@ class CapFilters:
         self._shape(d, a, blocks, math.ceil(directions ** (1 / blocks)))
         one, two = self._pairs_at(d, bound)
         met = np.zeros(TRIALS, bool)
-        while len(self.tables) < MOST_TABLES and met.mean() < recall:
+        while met.mean() < recall:
             self._add()
             (i, x), (j, y) = self._table(len(self.tables) - 1, one), self._table(len(self.tables) - 1, two)
             met[np.intersect1d(i * self.each + x, j * self.each + y) // self.each] = True
@@ -166,8 +170,26 @@ def _matrix(vectors: pa.Array, d: int) -> np.ndarray:
     return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
 
 
+def sketches(u: np.ndarray) -> np.ndarray:
+    """Unit vectors as rows of one-byte numbers, longer ones projected to `SKETCH` components."""
+    d = u.shape[1]
+    if d > SKETCH:
+        turn, _ = np.linalg.qr(np.random.default_rng([SEED, d, SKETCH]).standard_normal((d, SKETCH)))
+        u = u @ turn
+    most = np.maximum(np.abs(u).max(axis=1, keepdims=True), 1e-300)
+    return np.rint(u * (127 / most)).astype(np.int8)
+
+
+def sketch_bound(k: int, bound: float) -> float:
+    """The least cosine that sketches of k components can have for vectors at the bound."""
+    if k == SKETCH:
+        bound -= 6 * (1 - bound * bound) / math.sqrt(k)
+    # Rounding moves a vector by at most half a unit a component, while its length is at least 127 units.
+    return math.cos(min(math.pi, math.acos(max(-1.0, bound)) + 2 * math.asin(min(1.0, math.sqrt(k) / 254)))) - 1e-5
+
+
 def listed(classes: DataFrame, codes: dict[int, CapFilters]) -> DataFrame:
-    """cid, n, v and the numbers of the filters that each class exceeds; those of different vector lengths never agree."""
+    """cid, the numbers of the filters that each class exceeds (those of different vector lengths never agree), and its sketch."""
     first, start = {}, 0
     for d, code in sorted(codes.items()):
         first[d], start = start, start + len(code.tables) * code.each
@@ -179,48 +201,32 @@ def listed(classes: DataFrame, codes: dict[int, CapFilters]) -> DataFrame:
                 sizes = np.array([len(x) for x in part.column("v")])
                 for d in np.unique(sizes).tolist():
                     mine = part.filter(pa.array(sizes == d))
-                    found = codes[d].decode(_unit(_matrix(mine.column("v"), d)))
+                    u = _unit(_matrix(mine.column("v"), d))
+                    found = codes[d].decode(u)
                     lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, found)]).astype(np.int32), pa.array(np.concatenate(found) + first[d]))
-                    yield pa.RecordBatch.from_arrays([*mine.columns, lists], names=["cid", "n", "v", "filters"])
+                    small = pa.array([x.tobytes() for x in sketches(u)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([mine.column("cid"), lists, small], names=["cid", "filters", "sketch"])
+
+    return classes.select("cid", "v").mapInArrow(run, "cid long, filters array<long>, sketch binary")
 
-    kind = classes.schema["v"].dataType.simpleString()
-    return classes.select("cid", "n", "v").mapInArrow(run, f"cid long, n long, v {kind}, filters array<long>")
+
+PLACE = ["filter", "x", "y", "slab"]
 
 
 def dealt(lists: DataFrame, slab: int) -> DataFrame:
-    """One row for each class and filter it exceeds: filter, x, y (slabs; 0, 0 where there is one), slab, cid, n, v, filters (packed).
+    """One row for each class and filter it exceeds: filter, x, y (slabs; 0, 0 where there is one), slab, cid, sketch.
 
-    Filters with more than `slab` classes are found from ids alone; vectors move once, with their filters.
+    Filters with more than `slab` classes are found from ids alone.
     """
     met = lists.select("cid", F.explode("filters").alias("filter"))
     sizes, _ = written(met.groupBy("filter").agg(F.count("*").alias("size")).filter(F.col("size") > slab), "crowded-filters")
     parts = F.ceil(F.col("size") / slab).cast("int").alias("parts")
-    crowded = met.join(sizes.select("filter", parts), "filter").groupBy("cid").agg(F.collect_list(F.struct("filter", "parts")).alias("crowded"))
-    rows = lists.join(crowded, "cid", "left").select("cid", "n", "v", "filters", "crowded", F.pmod(F.xxhash64("cid"), F.lit(1 << 30)).alias("h"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["filter", "x", "y", "slab", "cid", "n", "v", "filters"]
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                counts = np.array([len(x) for x in part.column("filters")])
-                row = np.repeat(np.arange(len(counts)), counts)
-                number = part.column("filters").flatten().to_numpy()
-                pieces = np.ones(len(row), np.int64)
-                ends = np.cumsum(counts)
-                for i, found in enumerate(part.column("crowded").to_pylist()):
-                    for f in found or ():
-                        k = ends[i] - counts[i]
-                        pieces[k + np.searchsorted(number[k : ends[i]], f["filter"])] = f["parts"]
-                other = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                own = np.repeat(part.column("h").to_numpy()[row] % pieces, pieces)
-                row, number = np.repeat(row, pieces), np.repeat(number, pieces)
-                packed = pa.array([x.values.to_numpy().astype("<i8").tobytes() for x in part.column("filters")], pa.binary())
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(np.minimum(own, other).astype(np.int32)), pa.array(np.maximum(own, other).astype(np.int32)), pa.array(own.astype(np.int32)), part.column("cid").take(take), part.column("n").take(take), part.column("v").take(take), packed.take(take)], names=names)
-
-    kind = lists.schema["v"].dataType.simpleString()
-    return rows.mapInArrow(run, f"filter long, x int, y int, slab int, cid long, n long, v {kind}, filters binary")
+    crowded = met.join(sizes.select("filter", parts), "filter").groupBy("cid").agg(F.map_from_entries(F.collect_list(F.struct("filter", "parts"))).alias("crowded"))
+    rows = lists.join(crowded, "cid", "left").select("cid", "sketch", F.explode("filters").alias("filter"), "crowded")
+    rows = rows.select("cid", "sketch", "filter", F.coalesce(F.try_element_at("crowded", "filter"), F.lit(1)).alias("parts"))
+    own = F.pmod(F.pmod(F.xxhash64("cid"), F.lit(1 << 30)), F.col("parts")).cast("int")
+    rows = rows.select("cid", "sketch", "filter", own.alias("slab"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    return rows.select("filter", F.least("slab", "other").alias("x"), F.greatest("slab", "other").alias("y"), "slab", "cid", "sketch")
 
 
 def _pairs(u: np.ndarray, starts: np.ndarray, ends: np.ndarray, bound: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -254,50 +260,10 @@ def _changes(t: pa.RecordBatch) -> np.ndarray:
     return np.flatnonzero((f[1:] != f[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
 
 
-def _verify(bound: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pingmill.llm.simhash import unite
-
-        def solve(t: pa.RecordBatch) -> pa.RecordBatch | None:
-            cid, n, group, x, y, slab = (t.column(c).to_numpy() for c in ("cid", "n", "filter", "x", "y", "slab"))
-            sizes = np.array([len(v) for v in t.column("v")])
-            groups = np.cumsum(np.bincount(_changes(t), minlength=len(cid)))
-            pairs = []
-            for d in np.unique(sizes).tolist():
-                at = np.flatnonzero(sizes == d)
-                mine = groups[at]
-                ends = np.append(np.flatnonzero(mine[1:] != mine[:-1]) + 1, len(at))
-                u = _unit(_matrix(t.column("v").take(pa.array(at)), d))
-                for i, j in _pairs(u, np.concatenate([[0], ends[:-1]]), ends, bound):
-                    i, j = at[i], at[j]
-                    # In a group of two slabs only pairs across them count: each slab has a group of its own.
-                    keep = (x[i] == y[i]) | (slab[i] != slab[j])
-                    pairs.append((i[keep], j[keep]))
-            i, j = (np.concatenate([p[k] for p in pairs]) for k in (0, 1)) if pairs else (cid[:0], cid[:0])
-            if not len(i):
-                return None
-            # Filter lists are unpacked for the classes with links only.
-            ids, first, where = np.unique(cid, return_index=True, return_inverse=True)
-            linked = np.unique(np.concatenate([where[i], where[j]]))
-            number = np.full(len(ids), -1)
-            number[linked] = np.arange(len(linked))
-            lists = [np.frombuffer(t.column("filters")[int(first[k])].as_buffer(), "<i8") for k in linked]
-            ends = np.cumsum([len(x) for x in lists])
-            starts = np.concatenate([[0], ends[:-1]])
-            shared = np.concatenate(lists)
-            span = int(shared.max()) + 1
-            owned = np.repeat(np.arange(len(linked)), ends - starts) * span + shared  # ascending, since each list is
-            a, b = number[where[i]], number[where[j]]
-            own = _owns(group[i], a, b, shared, starts, ends, owned, span)
-            i, j, a, b = i[own], j[own], a[own], b[own]
-            links = np.bincount(a, n[j], len(linked)) + np.bincount(b, n[i], len(linked))
-            parent = unite(np.arange(len(linked)), a, b)
-            touched = np.flatnonzero(links)
-            if not len(touched):
-                return None
-            names = ids[linked]
-            return pa.RecordBatch.from_arrays([pa.array(names[touched]), pa.array(names[parent[touched]]), pa.array(links[touched].astype(np.int64))], names=["a", "b", "links"])
+def _grouped(solve):
+    """An Arrow function that calls solve with whole groups (filter, x, y), about `RUN` rows at once."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.RecordBatch | None = None
         for batch in batches:
             rows = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
@@ -314,6 +280,108 @@ def _verify(bound: float):
     return run
 
 
+def _near_in_groups(t: pa.RecordBatch, sizes: np.ndarray, unit, bound) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of rows of one group whose cosine reaches bound(size); unit(at, size) gives the rows' unit vectors."""
+    x, y, slab = (t.column(c).to_numpy() for c in ("x", "y", "slab"))
+    groups = np.cumsum(np.bincount(_changes(t), minlength=t.num_rows))
+    pairs = []
+    for d in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == d)
+        mine = groups[at]
+        ends = np.append(np.flatnonzero(mine[1:] != mine[:-1]) + 1, len(at))
+        for i, j in _pairs(unit(at, d), np.concatenate([[0], ends[:-1]]), ends, bound(d)):
+            i, j = at[i], at[j]
+            # In a group of two slabs only pairs across them count: each slab has a group of its own.
+            keep = (x[i] == y[i]) | (slab[i] != slab[j])
+            pairs.append((i[keep], j[keep]))
+    return tuple(np.concatenate([p[k] for p in pairs]) if pairs else np.zeros(0, np.int64) for k in (0, 1))
+
+
+def _near_sketches(t: pa.RecordBatch, bound: float) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.array([len(x.as_buffer()) for x in t.column("sketch")])
+
+    def unit(at: np.ndarray, k: int) -> np.ndarray:
+        rows = b"".join(memoryview(t.column("sketch")[int(i)].as_buffer()) for i in at)
+        u = np.frombuffer(rows, np.int8).reshape(-1, k).astype(np.float32)
+        return u / np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1)
+
+    return _near_in_groups(t, sizes, unit, lambda k: sketch_bound(k, bound))
+
+
+def _owned(t: pa.RecordBatch, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs that meet here first, i and j, with the numbers of their classes, a and b, and the ids that those stand for."""
+    cid, group = t.column("cid").to_numpy(), t.column("filter").to_numpy()
+    # Filter lists are unpacked for the classes with pairs only.
+    ids, first, where = np.unique(cid, return_index=True, return_inverse=True)
+    linked = np.unique(np.concatenate([where[i], where[j]]))
+    number = np.full(len(ids), -1)
+    number[linked] = np.arange(len(linked))
+    lists = [t.column("filters")[int(first[k])].values.to_numpy(zero_copy_only=False) for k in linked]
+    ends = np.cumsum([len(x) for x in lists])
+    starts = np.concatenate([[0], ends[:-1]])
+    shared = np.concatenate(lists)
+    span = int(shared.max()) + 1
+    owned = np.repeat(np.arange(len(linked)), ends - starts) * span + shared  # ascending, since each list is
+    a, b = number[where[i]], number[where[j]]
+    own = _owns(group[i], a, b, shared, starts, ends, owned, span)
+    return i[own], j[own], a[own], b[own], ids[linked]
+
+
+def _stay(bound: float, owners: bool):
+    """Rows (filter, x, y, slab, cid) that have a near sketch in their group, with `owners` in the first that both stay in."""
+
+    def solve(t: pa.RecordBatch) -> pa.RecordBatch | None:
+        i, j = _near_sketches(t, bound)
+        if owners and len(i):
+            i, j, *_ = _owned(t, i, j)
+        return t.select([*PLACE, "cid"]).take(pa.array(np.unique(np.concatenate([i, j])))) if len(i) else None
+
+    return _grouped(solve)
+
+
+def _verify(bound: float):
+    from pingmill.llm.simhash import unite
+
+    def solve(t: pa.RecordBatch) -> pa.RecordBatch | None:
+        n = t.column("n").to_numpy()
+        sizes = np.array([len(v) for v in t.column("v")])
+        i, j = _near_in_groups(t, sizes, lambda at, d: _unit(_matrix(t.column("v").take(pa.array(at)), d)), lambda d: bound)
+        if not len(i):
+            return None
+        i, j, a, b, names = _owned(t, i, j)
+        links = np.bincount(a, n[j], len(names)) + np.bincount(b, n[i], len(names))
+        parent = unite(np.arange(len(names)), a, b)
+        touched = np.flatnonzero(links)
+        if not len(touched):
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(names[touched]), pa.array(names[parent[touched]]), pa.array(links[touched].astype(np.int64))], names=["a", "b", "links"])
+
+    return _grouped(solve)
+
+
+def _placed(places: DataFrame, by_class: DataFrame) -> DataFrame:
+    """Rows of by_class (cid, ...) in all their places (filter, x, y, slab, cid); each row meets its places once, before they are dealt."""
+    held = places.groupBy("cid").agg(F.collect_list(F.struct(*PLACE)).alias("places"))
+    return by_class.join(held, "cid").select(F.explode("places").alias("p"), *by_class.columns).select("p.*", *by_class.columns)
+
+
+def links_between(lists: DataFrame, classes: DataFrame, bound: float = BOUND, slab: int = SLAB) -> DataFrame:
+    """a, b (an edge of a forest) and the links that a counts, of classes that meet in a filter and reach the bound."""
+    spark = lists.sparkSession
+    keys, count = ["filter", "x", "y"], int(spark.conf.get("spark.sql.shuffle.partitions"))
+    apart = lambda rows: rows.repartition(count, *keys).sortWithinPartitions(*keys)
+    kind = "filter long, x int, y int, slab int, cid long"
+    stay, first = written(apart(dealt(lists, slab)).mapInArrow(_stay(bound, False), kind), "near-sketches")
+    shared = stay.groupBy("cid").agg(F.array_sort(F.collect_set("filter")).alias("filters"))
+    shared, held = written(shared.join(lists.select("cid", "sketch"), "cid"), "near-lists")
+    own, second = written(apart(_placed(stay, shared)).mapInArrow(_stay(bound, True), kind), "owned-places")
+    whole = shared.select("cid", "filters").join(classes.select("cid", "n", "v"), "cid")
+    found, _ = written(apart(_placed(own, whole)).mapInArrow(_verify(bound), "a long, b long, links long"), "links")
+    for path in (first, held, second):
+        discard(spark, path)
+    return found
+
+
 def near(vectors: DataFrame, bound: float = BOUND, recall: float = RECALL, slab: int = SLAB) -> DataFrame:
     """vec_id, n_links, component_id for every row of vectors(vec_id, v)."""
     spark = vectors.sparkSession
@@ -322,9 +390,7 @@ def near(vectors: DataFrame, bound: float = BOUND, recall: float = RECALL, slab:
     lengths = classes.groupBy(F.size("v").alias("d")).count().collect()  # one row for each vector length
     codes = {r["d"]: CapFilters(r["d"], r["count"], bound, recall) for r in lengths}
     lists, held = written(listed(classes, codes), "filter-lists")
-    keys, count = ["filter", "x", "y"], int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = dealt(lists, slab).repartition(count, *keys).sortWithinPartitions(*keys).mapInArrow(_verify(bound), "a long, b long, links long")
-    found, _ = written(found, "links")
+    found = links_between(lists, classes, bound, slab)
     discard(spark, held)
     links = found.groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
     labels = components(found.filter("a <> b").select("a", "b")).withColumnRenamed("node", "cid")

@@ -225,6 +225,38 @@ def test_recall_of_planted_pairs(spark):
     assert len(tight) > 400 and sum(got[i] == (1, i) and got[1500 + i] == (1, i) for i in tight) >= 0.9 * len(tight)
 
 
+@pytest.mark.parametrize("d", [2, 33, 64, 128, 129, 768])
+def test_sketches_lose_no_pair_at_the_bound(d):
+    one, two = capfilter.CapFilters._pairs_at(d, 0.9)
+    one[:50], two[:50] = np.eye(d)[0], 0.9 * np.eye(d)[0] + np.sqrt(0.19) * np.eye(d)[1]  # uneven vectors round worst
+    small = [x / np.linalg.norm(x, axis=1, keepdims=True) for x in (capfilter.sketches(v).astype(float) for v in (one, two))]
+    low = capfilter.sketch_bound(min(d, capfilter.SKETCH), 0.9)
+    assert small[0].shape[1] == min(d, capfilter.SKETCH) and ((small[0] * small[1]).sum(axis=1) >= low).all()
+    assert d < 64 or (small[0] @ small[0][50:].T >= low).sum() <= 1000  # unrelated ones do not stay
+
+
+def test_vectors_move_to_few_filters(spark):
+    """Vectors of 300 components: those without neighbours go nowhere, pairs to one filter, and a close group to a few."""
+    rng = np.random.default_rng(2)
+    near = lambda x, n: x + 0.1 * rng.standard_normal((n, 300))
+    m = rng.standard_normal((700, 300))
+    m = np.concatenate([m, near(m[:100], 100), near(m[200], 40)]).astype("float32")
+    df = spark.createDataFrame([(i, row) for i, row in enumerate(m.tolist())], "vec_id long, v array<float>")
+    _, classes = capfilter.classes_of(df)
+    lists = capfilter.listed(classes, {300: capfilter.CapFilters(300, len(m))}).persist()
+    places = capfilter.dealt(lists, 4096).repartition(4, "filter", "x", "y").sortWithinPartitions("filter", "x", "y")
+    stay = places.mapInArrow(capfilter._stay(0.9, False), "filter long, x int, y int, slab int, cid long")
+    shared = stay.groupBy("cid").agg(F.array_sort(F.collect_set("filter")).alias("filters")).join(lists.select("cid", "sketch"), "cid")
+    own = capfilter._placed(stay, shared).repartition(4, "filter", "x", "y").sortWithinPartitions("filter", "x", "y").mapInArrow(capfilter._stay(0.9, True), "filter long, x int, y int, slab int, cid long")
+    goes = {r.vec_id: r["count"] for r in own.join(classes.select("cid", F.col("least").alias("vec_id")), "cid").groupBy("vec_id").count().collect()}
+    assert all(goes.get(i, 0) == 0 for i in range(100, 700) if i != 200) and all(goes.get(i, 0) <= 1 for i in range(100))
+    assert sum(i in goes for i in range(100)) >= 95  # a few exceed no filter, which is the method's loss
+    assert max(goes.values()) < lists.select(F.max(F.size("filters"))).first()[0] / 2
+    got = {r.vec_id: r.n_links for r in capfilter.near(df).collect()}
+    want, _ = links_by_brute_force(range(len(m)), m)
+    assert all(got[i] <= n for i, n in want.items()) and sum(got.values()) >= 0.95 * sum(want.values())
+
+
 def test_each_link_is_counted_once(spark):
     """Vectors so close that they meet in nearly all their filters, many of them in crowded ones."""
     rng = np.random.default_rng(3)
