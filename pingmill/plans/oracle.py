@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pingmill.functions import globe
+
 R = 6371.0
 
 
@@ -207,3 +209,36 @@ UNION ALL SELECT maid, 'gap', segment, 2, pt, timestamp, CASE WHEN timestamp - p
         "area_visits": f"{base}, {AREAS}, {AREA_HITS} SELECT coalesce(i.name, '') AS name, count(*) AS n_pings, count(DISTINCT pings.maid) AS n_devices FROM pings LEFT JOIN i USING (seq) GROUP BY 1",
         "point_in_polygon": f"{base}, i AS ({inside}) SELECT coalesce(name, '') AS name, count(*) AS n_pings FROM pings LEFT JOIN i USING (seq) GROUP BY 1",
     }
+
+
+def globe_sql(frequency: int, coarse: int) -> dict[str, str]:
+    """The queries over the spherical index: faces by the nearest centre, cells by rounded barycentric coordinates."""
+    rows = ", ".join("(" + ", ".join(map(repr, [*f, *globe.middle(f), *(x for row in globe.shares(f) for x in row)])) + ")" for f in globe.faces())
+    corners = ", ".join(f"({k}, {x!r}::DOUBLE, {y!r}::DOUBLE, {z!r}::DOUBLE)" for k, (x, y, z) in enumerate(globe.vertices()))
+    columns = ", ".join(["v0", "v1", "v2", "mx", "my", "mz", *(f"{s}{c}" for s in "pqr" for c in "xyz")])
+    part = lambda s: f"x * f.{s}x::DOUBLE + y * f.{s}y::DOUBLE + z * f.{s}z::DOUBLE"
+
+    def mended(source: str, more: str, unit: int = 1) -> str:
+        near = {s: f"round({s} / {unit}::DOUBLE)" for s in "abc"}
+        off = {s: f"abs({near[s]} * {unit} - {s})" for s in "abc"}
+        first = f"{off['a']} > {off['b']} AND {off['a']} > {off['c']}"
+        return f"""SELECT {more}, CAST(CASE WHEN {first} THEN whole - {near['b']} - {near['c']} ELSE {near['a']} END AS BIGINT) AS i,
+          CAST(CASE WHEN NOT ({first}) AND {off['b']} > {off['c']} THEN whole - {near['a']} - {near['c']} ELSE {near['b']} END AS BIGINT) AS j, whole FROM {source}"""
+
+    name = "'s' || concat_ws('.', " + ", ".join(f"CASE WHEN {w} > 0 THEN v{k} || 'x' || CAST({w} AS BIGINT) END" for k, w in enumerate(("i", "j", "(whole - i - j)"))) + ")"
+    base = f"""WITH {PINGS}, f({columns}) AS (VALUES {rows}),
+    w AS (SELECT seq, maid, date, cos(radians(latitude)) * cos(radians(longitude)) AS x, cos(radians(latitude)) * sin(radians(longitude)) AS y, sin(radians(latitude)) AS z FROM pings),
+    g AS (SELECT seq, maid, date, x, y, z, arg_max(f, x * f.mx::DOUBLE + y * f.my::DOUBLE + z * f.mz::DOUBLE) AS f FROM w, f GROUP BY ALL),
+    u AS (SELECT maid, date, f.v0 AS v0, f.v1 AS v1, f.v2 AS v2, {part('p')} AS p, {part('q')} AS q, {part('r')} AS r FROM g),
+    s AS (SELECT *, p * {frequency} / (p + q + r) AS a, q * {frequency} / (p + q + r) AS b, r * {frequency} / (p + q + r) AS c, {frequency} AS whole FROM u),
+    m AS ({mended('s', 'maid, date, v0, v1, v2')}), named AS (SELECT *, {name} AS cell FROM m)"""
+    up = f"t AS (SELECT maid, v0, v1, v2, i * {coarse} AS a, j * {coarse} AS b, (whole - i - j) * {coarse} AS c, {coarse} AS whole FROM named), n AS ({mended('t', 'maid, v0, v1, v2', frequency)})"
+    summed = ", ".join(f"sum(w * {c}) AS {c}" for c in "xyz")
+    middle = f"""k(v, x, y, z) AS (VALUES {corners}), d AS (SELECT DISTINCT cell, v0, v1, v2, i, j, whole - i - j AS l FROM named),
+    e AS (SELECT cell, v0 AS v, i AS w FROM d UNION ALL SELECT cell, v1, j FROM d UNION ALL SELECT cell, v2, l FROM d),
+    o AS (SELECT cell, {summed} FROM e JOIN k ON k.v = e.v GROUP BY cell)"""
+    return {
+        "globe_daily": f"{base} SELECT CAST(date AS VARCHAR) AS date, cell, count(*) AS count FROM named GROUP BY ALL",
+        "globe_centroids": f"{base}, {middle} SELECT cell, round(degrees(atan2(z, sqrt(x * x + y * y))), 6) AS lat, round(degrees(atan2(y, x)), 6) AS lon FROM o",
+        "globe_rollup": f"{base}, {up} SELECT {name} AS cell, count(*) AS n_pings, count(DISTINCT maid) AS n_devices FROM n GROUP BY 1",
+    }

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from pingmill.functions import cells as cell_functions
 from pingmill.functions import geo, table_functions
 from pingmill.functions.cells import Hexagon, Square, with_cells
+from pingmill.functions.globe import Globe
 from pingmill.operators import clean, contacts, distinct, homes, metrics, od, reports, spatial, temporal, traces
 from pingmill.plans import oracle
 from pingmill.sources import ingest, views
 
 Query = Callable[[SparkSession, str], DataFrame]
-INDEX, HEX = Square(0.05), Hexagon(0.03)
+INDEX, HEX, GLOBE, COARSE = Square(0.05), Hexagon(0.03), Globe(1500), 300
 BASELINE, LEVELS, INTENSITY = 7, "place1", ["high", "medium", "low"]
 REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 #: Named areas in degrees for the point-in-polygon query.
@@ -46,6 +47,11 @@ def first_profiles(spark: SparkSession, d: str) -> DataFrame:
     return clean.profiles(clean.clean_people(views.people(spark, d)))
 
 
+def globe_rollup(spark, d):
+    fine = with_cells(pings(spark, d), GLOBE).groupBy("cell", "maid").agg(F.count("*").alias("n"))
+    return fine.groupBy(GLOBE.coarser(F.col("cell"), COARSE).alias("cell")).agg(F.sum("n").alias("n_pings"), F.countDistinct("maid").alias("n_devices"))
+
+
 def found_homes(spark, d, **options):
     return homes.detect_homes(cells(spark, d), index=INDEX, **options)
 
@@ -172,6 +178,9 @@ def queries() -> dict[str, Query]:
         "hex_centroids": lambda s, d: cell_functions.centroids(with_cells(pings(s, d), HEX), HEX),
         "hex_boundaries": lambda s, d: cell_functions.boundaries(with_cells(pings(s, d), HEX), HEX).select("cell", *(F.col("ring")[k][c].alias(f"{c}{k}") for k in range(6) for c in ("lon", "lat"))),
         "grid_boundaries": lambda s, d: cell_functions.boundaries(cells(s, d), INDEX).select("cell", *(F.col("ring")[k][c].alias(f"{c}{k}") for k in range(4) for c in ("lon", "lat"))),
+        "globe_daily": lambda s, d: spatial.aggregate_grid(with_cells(pings(s, d), GLOBE), by_date=True),
+        "globe_centroids": lambda s, d: cell_functions.centroids(with_cells(pings(s, d), GLOBE), GLOBE),
+        "globe_rollup": globe_rollup,
         "run_summary": lambda s, d: reports.run_summary(days(s, d), ["n_pings", "n_cells", "n_trips", "radius_km"]),
         "metric_quantiles": lambda s, d: reports.quantiles(days(s, d), ["n_pings", "radius_km"], [0.0, 0.05, 0.25, 0.5, 0.9, 0.999, 1.0]),
         "bbox_clip": lambda s, d: pings(s, d).filter(geo.in_box(F.col("longitude"), F.col("latitude"), *map(F.lit, BOX))).groupBy("date").agg(F.count("*").alias("n_pings")),
@@ -185,4 +194,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.sql(INDEX.degrees, HEX.degrees, AREAS, BOX, BASELINE, CLIP)
+    return oracle.sql(INDEX.degrees, HEX.degrees, AREAS, BOX, BASELINE, CLIP) | oracle.globe_sql(GLOBE.frequency, COARSE)
