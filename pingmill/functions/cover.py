@@ -6,7 +6,8 @@ no outline touches is all inside an area (`inner`: points in it need no test) or
 carries only the edges beside it and, of those to the east, what a ray from inside it can tell apart, so the exact test there gives
 what it gives with all edges.
 
-An area of any size has a few hundred cells. Cells are cut in numpy, an area at a time; all that touches points is column expressions.
+An area of any size has a few hundred cells. Cells are cut in numpy, those of many areas at a time; all that touches points is column
+expressions.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ LEAST_LEVEL, MOST_LEVEL = 0, 28
 MARGIN = 1e-9
 #: Stands for a coordinate beyond all others.
 BIG = 1e9
+#: Pairs of a cell and an edge that a task looks at in one go, some 100 bytes each.
+PAIRS = 2**16
 EDGE = "struct<ax:double,ay:double,bx:double,by:double,part:int>"
 _FIELDS = ("ax", "ay", "bx", "by", "part")
 
@@ -86,82 +89,149 @@ def root_level(found: Column) -> Column:
     return F.greatest(F.least(F.coalesce(level, F.lit(MOST_LEVEL)), F.lit(MOST_LEVEL)), F.lit(LEAST_LEVEL)).cast("int")
 
 
-def split(e: np.ndarray, level: int, depth: int, deepest: int, few: int) -> Iterator[tuple[int, int, int, str, np.ndarray]]:
-    """(level, x, y, kind, edges) of one area's cells from its edges (rows ax, ay, bx, by, part) and the level of its roots."""
+def _runs(counts: np.ndarray) -> np.ndarray:
+    """0 to n - 1 for each count n, one after the other."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _roots(low: np.ndarray, high: np.ndarray, first: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, ...]:
+    """area, level, x, y of the cells that meet the areas' boxes, and all pairs (cell, edge) of an area's cells and edges."""
+    s = np.ldexp(1.0, 8 - level)[:, None]
+    start, end = (np.floor(f.reduceat(v, first[:-1]) / s).astype(int) for f, v in ((np.minimum, low), (np.maximum, high)))
+    wide, tall = np.where(end >= start, end - start + 1, 0).T
+    area = np.repeat(np.arange(len(level)), wide * tall)
+    k = _runs(wide * tall)
+    n = np.diff(first)[area]
+    cell = np.repeat(np.arange(len(area)), n)
+    return area, level[area], start[area, 0] + k // tall[area], start[area, 1] + k % tall[area], cell, first[area][cell] + _runs(n)
+
+
+def split(e: np.ndarray, first: np.ndarray, level: np.ndarray, depth: int, deepest: int, few: int, most: int = PAIRS) -> Iterator[tuple[np.ndarray, ...]]:
+    """The cells of many areas, some at a time: area, level, x, y, whether inner, where each one's edges end, and those edges.
+
+    `e` has rows ax, ay, bx, by, part; those of area k are rows first[k] to first[k + 1] (at least one), `level` is that of its roots.
+    All cells that are at hand are cut at once, as long as they have at most `most` pairs of a cell and an edge.
+    """
     low, high = np.minimum(e[:, :2], e[:, 2:4]), np.maximum(e[:, :2], e[:, 2:4])
-    s = 2.0 ** (8 - level)
-    (x0, y0), (x1, y1) = np.floor(low.min(0) / s).astype(int), np.floor(high.max(0) / s).astype(int)
-    todo = [(level, x, y, np.arange(len(e))) for x in range(x0, x1 + 1) for y in range(y0, y1 + 1)]
+    todo = [_roots(low, high, first, level)]
     while todo:
-        at, x, y, mine = todo.pop()
-        s = 2.0 ** (8 - at)
+        area, at, x, y, cell, edge = todo.pop()
+        if len(edge) > most and len(area) > 1:
+            half = len(area) // 2
+            k = np.searchsorted(cell, half)  # pairs are in the order of their cells
+            todo += [(area[:half], at[:half], x[:half], y[:half], cell[:k], edge[:k]), (area[half:], at[half:], x[half:], y[half:], cell[k:] - half, edge[k:])]
+            continue
+        s = np.ldexp(1.0, 8 - at)
         west, south, east, north = x * s - MARGIN, y * s - MARGIN, (x + 1) * s + MARGIN, (y + 1) * s + MARGIN
-        mine = mine[(high[mine, 1] >= south) & (low[mine, 1] <= north) & (high[mine, 0] >= west)]  # what a ray to the east can meet
-        near = e[mine[(low[mine, 0] <= east)]]
+        keep = (high[edge, 1] >= south[cell]) & (low[edge, 1] <= north[cell]) & (high[edge, 0] >= west[cell])  # what a ray to the east can meet
+        cell, edge = cell[keep], edge[keep]
+        far = low[edge, 0] > east[cell]
+        near, by = e[edge[~far]], cell[~far]
         # An edge passes unless all corners lie on one side of it.
         dx, dy = near[:, 2] - near[:, 0], near[:, 3] - near[:, 1]
-        corners = np.stack([dx * (q - near[:, 1]) - dy * (p - near[:, 0]) for p in (west, east) for q in (south, north)])
-        passing = int(((corners.min(0) <= 0) & (corners.max(0) >= 0)).sum())
-        k = at - level
-        if k == 0 or (passing and at < MOST_LEVEL and (k < depth or (passing > few and k < deepest))):
-            todo += [(at + 1, 2 * x + i, 2 * y + j, mine) for i in (0, 1) for j in (0, 1)]
-        elif passing:
-            far = low[mine, 0] > east
-            yield at, x, y, "edge", np.concatenate([e[mine[~far]], _far(e[mine[far]], south, north)])
-        elif _inside((west + east) / 2, (south + north) / 2, e[mine]):
-            yield at, x, y, "inner", e[:0]
-
-
-def _far(e: np.ndarray, south: float, north: float) -> np.ndarray:
+        corners = np.stack([dx * (q[by] - near[:, 1]) - dy * (p[by] - near[:, 0]) for p in (west, east) for q in (south, north)])
+        passing = np.bincount(by[(corners.min(0) <= 0) & (corners.max(0) >= 0)], minlength=len(area))
+        k = at - level[area]
+        cut = (k == 0) | ((passing > 0) & (at < MOST_LEVEL) & ((k < depth) | ((passing > few) & (k < deepest))))
+        if cut.any():
+            number, n, mine = np.cumsum(cut) - 1, int(cut.sum()), cut[cell]
+            fours = [(i, j) for i in (0, 1) for j in (0, 1)]
+            xs, ys = (np.concatenate([2 * v[cut] + ij[d] for ij in fours]) for d, v in enumerate((x, y)))
+            cells = np.concatenate([number[cell[mine]] + q * n for q in range(4)])
+            todo.append((np.tile(area[cut], 4), np.tile(at[cut] + 1, 4), xs, ys, cells, np.tile(edge[mine], 4)))
+        edges_of, inner = (passing > 0) & ~cut, (passing == 0) & ~cut
+        mine = inner[cell]
+        inner[inner] = _inside((west + east) / 2, (south + north) / 2, cell[mine], e[edge[mine]])[inner]
+        done = np.flatnonzero(edges_of | inner)
+        if len(done):
+            a, b = edges_of[by], edges_of[cell] & far
+            beyond, of = _far(cell[b], e[edge[b]], south, north)
+            owner = np.concatenate([by[a], of])
+            flat = np.concatenate([near[a], beyond])[np.argsort(owner, kind="stable")]
+            yield area[done], at[done], x[done], y[done], inner[done], np.cumsum(np.bincount(owner, minlength=len(area))[done]), flat
+
+
+def _far(cell: np.ndarray, e: np.ndarray, south: np.ndarray, north: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Fewer edges with the same effect on rays that start between two latitudes, for edges that lie east of all those rays' starts.
 
     Such a ray crosses an edge if one end is above it and the other is not, so only the ends count: two at one latitude cancel (as they
-    do at each corner between two such edges), and those outside the latitudes are always or never above.
+    do at each corner between two such edges), and those outside the latitudes are always or never above. Row k of `e` belongs to
+    cell[k], whose latitudes south and north hold; the second result says to which cell an edge belongs.
     """
-    out = []
-    for part in np.unique(e[:, 4]):
-        ends, n = np.unique(e[e[:, 4] == part][:, [1, 3]], return_counts=True)
-        ends = ends[n % 2 == 1]
-        always, ends = int((ends > north).sum()), ends[(ends >= south) & (ends <= north)]
-        if len(ends) % 2:
-            ends, always = np.append(ends, BIG), always + 1
-        if always % 2:
-            ends = np.append(ends, [-BIG, BIG])
-        out += [(BIG, a, BIG, b, part) for a, b in ends.reshape(-1, 2)]
-    return np.array(out).reshape(-1, 5)
-
-
-def _inside(lon: float, lat: float, e: np.ndarray) -> bool:
-    """For a point that lies on no edge."""
-    e = e[(e[:, 1] > lat) != (e[:, 3] > lat)]
-    crossed = e[lon < (e[:, 2] - e[:, 0]) * (lat - e[:, 1]) / (e[:, 3] - e[:, 1]) + e[:, 0], 4].astype(int)
-    odd = np.bincount(crossed, minlength=1) % 2
-    return bool(odd[0]) and not odd[1:].any()
+    owner, part, lat = np.tile(cell, 2), np.tile(e[:, 4], 2), np.concatenate([e[:, 1], e[:, 3]])
+    ends, n = _counted(owner, part, lat)
+    owner, part, lat = (v[n % 2 == 1] for v in ends)
+    (group, of), inverse = _groups(owner, part)
+    always = np.bincount(inverse[lat > north[owner]], minlength=len(group))
+    here = (lat >= south[owner]) & (lat <= north[owner])
+    odd = np.bincount(inverse[here], minlength=len(group)) % 2 == 1
+    both = (always + odd) % 2 == 1
+    rows = [(owner[here], part[here], np.zeros(int(here.sum())), lat[here])]
+    rows += [(group[m], of[m], np.full(int(m.sum()), order), np.full(int(m.sum()), value)) for m, order, value in ((odd, 1.0, BIG), (both, 2.0, -BIG), (both, 3.0, BIG))]
+    owner, part, order, lat = (np.concatenate(c) for c in zip(*rows, strict=True))
+    by = np.lexsort((lat, order, part, owner))
+    owner, part, lat = owner[by][::2], part[by][::2], lat[by].reshape(-1, 2)
+    big = np.full(len(owner), BIG)
+    return np.stack([big, lat[:, 0], big, lat[:, 1], part], axis=1), owner
+
+
+def _counted(*keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The different combinations in order, and how often each occurs."""
+    by = np.lexsort(keys[::-1])
+    keys = [k[by] for k in keys]
+    new = np.ones(len(by), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    start = np.flatnonzero(new)
+    return [k[start] for k in keys], np.diff(np.append(start, len(by)))
+
+
+def _groups(*keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The different combinations of keys that are in order, and the place of each row's among them."""
+    found, n = _counted(*keys)
+    return found, np.repeat(np.arange(len(n)), n)
+
+
+def _inside(lon: np.ndarray, lat: np.ndarray, cell: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """For a point of each cell that lies on no edge; row k of `e` belongs to cell[k]."""
+    met = (e[:, 1] > lat[cell]) != (e[:, 3] > lat[cell])
+    cell, e = cell[met], e[met]
+    crossed = lon[cell] < (e[:, 2] - e[:, 0]) * (lat[cell] - e[:, 1]) / (e[:, 3] - e[:, 1]) + e[:, 0]
+    (cell, part), n = _counted(cell[crossed], e[crossed, 4])
+    odd = n % 2 == 1
+    found = np.zeros(len(lon), bool)
+    found[cell[odd & (part == 0)]] = True
+    found[cell[odd & (part > 0)]] = False
+    return found
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of areas whose edges, but for the last area's, are at most PAIRS."""
+    n = np.asarray(batch.column("edges").value_lengths())
+    ends = np.append(np.unique((np.cumsum(n) - n) // PAIRS, return_index=True)[1], len(n))
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        yield batch.slice(a, b - a)
 
 
 def cover(areas: DataFrame, name: str = "name", depth: int = DEPTH, deepest: int = DEEPEST, few: int = FEW) -> DataFrame:
     """areas(name, ring[, holes]) to cells: name, level, x, y, kind ('inner' or 'edge'), edges. Areas without a ring have none.
 
-    Vertices must not be null; an area's cells are disjoint, those of different areas may overlap. A task cuts its areas one by one.
+    Vertices must not be null; an area's cells are disjoint, those of different areas may overlap. Areas are dealt over all tasks, as
+    files of areas are small.
     """
     found = edges(F.col("ring"), F.col("holes") if "holes" in areas.columns else None)
     rows = areas.filter(F.size("ring") > 0).select(F.col(name).alias("name"), found.alias("edges")).withColumn("level", root_level(F.col("edges")))
+    rows = rows.repartition(int(areas.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for area, level, lists in zip(batch.column("name"), batch.column("level").to_pylist(), batch.column("edges"), strict=True):
-                e = np.stack([np.asarray(lists.values.field(f), np.float64) for f in _FIELDS], axis=1)
-                cells = list(split(e, level, depth, deepest, few))
-                if not cells:
-                    continue
-                flat = np.concatenate([c[4] for c in cells])
+        for batch in (part for whole in batches for part in _slices(whole)):
+            names, lists = batch.column("name"), batch.column("edges")
+            e = np.stack([np.asarray(lists.flatten().field(f), np.float64) for f in _FIELDS], axis=1)
+            first = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))])
+            for area, level, x, y, inner, ends, flat in split(e, first, np.asarray(batch.column("level")), depth, deepest, few):
                 parts = [pa.array(flat[:, k] if k < 4 else flat[:, k].astype(np.int32)) for k in range(5)]
-                ends = np.cumsum([0, *(len(c[4]) for c in cells)]).astype(np.int32)
-                columns = [pa.array([c[k] for c in cells], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.string()))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([area.as_py()] * len(cells), area.type), *columns, pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(parts, list(_FIELDS)))],
-                    names=["name", "level", "x", "y", "kind", "edges"],
-                )
+                found = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.StructArray.from_arrays(parts, list(_FIELDS)))
+                columns = [names.take(pa.array(area)), pa.array(level, pa.int32()), pa.array(x), pa.array(y), pa.array(np.where(inner, "inner", "edge")), found]
+                yield pa.RecordBatch.from_arrays(columns, names=["name", "level", "x", "y", "kind", "edges"])
 
     return rows.mapInArrow(run, f"name {dict(rows.dtypes)['name']}, level int, x long, y long, kind string, edges array<{EDGE}>")
 

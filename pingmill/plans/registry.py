@@ -186,7 +186,7 @@ def queries() -> dict[str, Query]:
         "bbox_clip": lambda s, d: pings(s, d).filter(geo.in_box(F.col("longitude"), F.col("latitude"), *map(F.lit, BOX))).groupBy("date").agg(F.count("*").alias("n_pings")),
         "date_range_scan": lambda s, d: ingest.date_range(pings(s, d), "2024-01-03", "2024-01-05").groupBy("date").agg(F.count("*").alias("n_pings")),
         "area_clip": lambda s, d: geo.clip(views.service_areas(s, d), *CLIP).select("name"),
-        "area_visits": lambda s, d: geo.within(pings(s, d), views.service_areas(s, d)).groupBy("name").agg(F.count("*").alias("n_pings"), F.countDistinct("maid").alias("n_devices")),
+        "area_visits": lambda s, d: spatial.area_visits(pings(s, d), views.service_areas(s, d)),
         "point_in_polygon": lambda s, d: geo.within(pings(s, d), areas(s)).groupBy("name").agg(F.count("*").alias("n_pings")),
         "sample": lambda s, d: reports.sample(pings(s, d).select("seq", "maid"), 100),
     }
